@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, tokens
+from lodestone.llm import decontaminate, jpeg, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_store": tokens.op2,
+        "op4_progressive_jpeg": jpeg.op4,
         "op7_decontaminate": decontaminate.op7,
     }
 
