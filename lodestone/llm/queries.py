@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, jpeg, tokens
+from lodestone.llm import decontaminate, jpeg, language, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_store": tokens.op2,
         "op4_progressive_jpeg": jpeg.op4,
         "op7_decontaminate": decontaminate.op7,
+        "op10_language_id": language.op10,
     }
 
 
