@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -28,6 +31,29 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def map_whole(df: DataFrame, run: Callable, extra: str = "") -> DataFrame:
+    """mapInArrow over all columns of df, whatever their names, with the columns of `extra` ("name type, ..") after them.
+
+    `run` gets and gives record batches by position; names that the extra columns share with df's stay as they are.
+    """
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    more = [x.strip().split(" ", 1) for x in extra.split(",") if x.strip()]
+    schema = StructType(plain.schema.fields)
+    for i, (_, kind) in enumerate(more):
+        schema = StructType([*schema.fields, StructField(f"e{i}", kind_of(kind))])
+    names = schema.fieldNames()
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=names)
+
+    return plain.mapInArrow(renamed, schema).toDF(*df.columns, *[n for n, _ in more])
+
+
+def kind_of(name: str):
+    return {"double": DoubleType(), "long": LongType(), "string": StringType(), "binary": BinaryType()}[name]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 

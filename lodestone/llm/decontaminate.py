@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, pick, read
+from lodestone.llm.common import documents, map_whole, pick, read
 
 #: Lower case for A-Z, a space for what [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ leaves out (after lowering); other bytes stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -135,11 +135,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs, all columns kept, without those that hold a benchmark window."""
-    d = docs.toDF(*docs.columns)
-    out_schema = d.schema
-    parts = list(blocks(pick(benchmark, "item_id", "text")))
-    at = d.columns.index("text")
-    for block in parts:
+    d, at = docs, docs.columns.index("text")
+    for block in blocks(pick(benchmark, "item_id", "text")):
         sent = d.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -147,7 +144,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10)
             for b in batches:
                 yield b.filter(pa.array([not scan(t, a)[1] for t in b.column(at).to_pylist()], pa.bool_()))
 
-        d = d.mapInArrow(run, out_schema)
+        d = map_whole(d, run)
     return d
 
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, jpeg, language, tokens
+from lodestone.llm import decontaminate, jpeg, language, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_store": tokens.op2,
         "op4_progressive_jpeg": jpeg.op4,
+        "op5_quality": quality.op5,
         "op7_decontaminate": decontaminate.op7,
         "op10_language_id": language.op10,
     }
