@@ -112,11 +112,30 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words(data: bytes, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: bytes, space: np.ndarray = SPACE, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (byte offsets) and 64-bit hashes of the words of one UTF-8 text.
 
     A word's hash depends on its bytes alone, so equal words have equal hashes in any document.
+    A long text is worked off in parts that end at white space, to bound memory.
     """
+    if len(data) <= part:
+        return _words(data, space)
+    b, at, found = np.frombuffer(data, np.uint8), 0, []
+    while at < len(data):
+        to = min(at + part, len(data))
+        while to < len(data):
+            gap = np.flatnonzero(space[b[to : to + part]])
+            if len(gap):
+                to += int(gap[0])
+                break
+            to = min(to + part, len(data))
+        s, e, h = _words(data[at:to], space)
+        found.append((s + at, e + at, h))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _words(data: bytes, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     b = np.frombuffer(data, np.uint8)
     if not len(b):
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)

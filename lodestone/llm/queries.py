@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, jpeg, language, quality, tokens
+from lodestone.llm import decontaminate, jpeg, language, quality, substrings, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_progressive_jpeg": jpeg.op4,
         "op5_quality": quality.op5,
         "op7_decontaminate": decontaminate.op7,
+        "op9_substring_dedup": substrings.op9,
         "op10_language_id": language.op10,
     }
 
