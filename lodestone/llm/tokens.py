@@ -14,77 +14,101 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents, mix, read, shared_dir, windows
 
-#: The split pattern of the byte-level pre-tokeniser (fixed value, public).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = 0
 MIN_IDS, MASK, MAX_IDS, ROLL = 64, 511, 4096, 16
 
 
+class Memo:
+    """A dict of bounded size: the older half of what was not asked for lately is forgotten."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those that must be put; what is known is moved to the new half first, so that new[key] then holds for all."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        out = []
+        for k in keys - self.new.keys():
+            if (v := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self.new[k] = v
+        return out
+
+
+#: A space before white space, where a text must not be cut.
+_RISK = re.compile(r" (?=\s)")
+_WHITE = re.compile(r"\s")
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, equal to the library's on the whole text."""
 
-    def __init__(self, path: str, most: int = 1_500_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.t, self.most = Tokenizer.from_file(path), most
+        self.t = Tokenizer.from_file(path)
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
-        self.find = regex.compile(PATTERN).findall
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.tokens: dict[str, bytes] = {}
+        self.pieces = Memo(most)
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.pieces) > self.most:
-            self.pieces = {"": b""}
-        if len(self.tokens) > self.most:
-            self.tokens = {}
-        parts = [self.find(p) for p in pieces]
-        new = list({x for p in parts for x in p if x not in self.tokens})
-        self.tokens.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        get = self.tokens.__getitem__
-        self.pieces.update((p, b"".join(map(get, x))) for p, x in zip(pieces, parts, strict=True))
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.plain(text)
-        pieces = text.split(" ")
-        if len(pieces) > 1:
-            first, rest = pieces[0], pieces[1:]
-            if "" in rest or any(p[0].isspace() for p in rest):
-                pieces = [first]
-                for p in rest:
-                    if not p or p[0].isspace():
-                        pieces[-1] += " " + p
+        found = self.t.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)
+        self.pieces.new.update(zip(pieces, [array("I", e.ids).tobytes() for e in found], strict=True))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        cut: list[tuple[str, list[str]] | None] = []
+        for t in texts:
+            if any(s in t for s in self.special) or len(t) > 1 << 24:
+                cut.append(None)
+                continue
+            first, *rest = t.split(" ")
+            if rest and _RISK.search(t):
+                joined, rest = rest, []
+                for p in joined:
+                    if p and not _WHITE.match(p) and not p[0].isspace():
+                        rest.append(p)
+                    elif rest:
+                        rest[-1] += " " + p
                     else:
-                        pieces.append(" " + p)
-            else:
-                pieces = [first, *[" " + p for p in rest]]
-        try:
-            return b"".join(map(self.pieces.__getitem__, pieces))
-        except KeyError:
-            self.learn([p for p in dict.fromkeys(pieces) if p not in self.pieces])
+                        first += " " + p
+            cut.append((first, rest))
+        self.learn(self.pieces.missing({p for c in cut if c for p in c[1] if len(p) < 200}))
+        get, out = self.pieces.new.__getitem__, []
+        for t, c in zip(texts, cut, strict=True):
+            if c is None:
+                out.append(self.plain(t))
+                continue
+            first, rest = c
+            head = self.plain(first) if first else b""
             try:
-                return b"".join(map(self.pieces.__getitem__, pieces))
-            except KeyError:  # forgotten meanwhile
-                self.learn(list(dict.fromkeys(pieces)))
-                return b"".join(map(self.pieces.__getitem__, pieces))
+                out.append(head + b"".join(map(get, rest)))
+            except KeyError:  # long pieces are not remembered
+                known = self.pieces.new
+                out.append(head + b"".join([known[p] if p in known else self.plain(" " + p) for p in rest]))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
 
 @lru_cache(2)
@@ -118,11 +142,12 @@ _CHUNK_SQL = "hash binary, n long, data binary, refs array<struct<doc_id:long,ri
 
 def _chunks(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, z, end = encoder(path), zstandard.ZstdCompressor(3), np.array([end_id], "<u4").tobytes()
+        enc, z, end = encoder(path), zstandard.ZstdCompressor(1), np.array([end_id], "<u4").tobytes()
         for b in batches:
             found: dict[bytes, tuple[int, bytes, list]] = {}
-            for doc_id, rid, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = enc.encode(text) + end
+            coded = (raw for i in range(0, b.num_rows, 256) for raw in enc.encode_many(b.column(2).slice(i, 256).to_pylist()))
+            for doc_id, rid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), coded, strict=True):
+                raw += end
                 start = 0
                 for seq, stop in enumerate(cuts(np.frombuffer(raw, "<u4"))):
                     part = raw[4 * start : 4 * stop]
