@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, jpeg, language, quality, substrings, tokens
+from lodestone.llm import decontaminate, jpeg, language, minhash, quality, substrings, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_store": tokens.op2,
         "op4_progressive_jpeg": jpeg.op4,
         "op5_quality": quality.op5,
+        "op6_minhash": minhash.op6,
         "op7_decontaminate": decontaminate.op7,
         "op9_substring_dedup": substrings.op9,
         "op10_language_id": language.op10,
