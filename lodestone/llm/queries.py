@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, jpeg, language, minhash, pii, quality, substrings, tokens
+from lodestone.llm import decontaminate, html, jpeg, language, minhash, pii, quality, substrings, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": quality.op5,
         "op6_minhash": minhash.op6,
         "op7_decontaminate": decontaminate.op7,
+        "op8_html_main_text": html.op8,
         "op9_substring_dedup": substrings.op9,
         "op10_language_id": language.op10,
     }
