@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, html, jpeg, language, minhash, pii, quality, substrings, tokens
+from lodestone.llm import decontaminate, html, jpeg, language, minhash, pieces, pii, quality, substrings, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1,
         "op2_token_store": tokens.op2,
+        "op3_sentencepiece": pieces.op3,
         "op4_progressive_jpeg": jpeg.op4,
         "op5_quality": quality.op5,
         "op6_minhash": minhash.op6,
