@@ -14,6 +14,7 @@ entry a batch into its bucket. Hits go back to the batch, from there to its docu
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -73,15 +74,19 @@ def _send(rows: list[tuple], buckets: int, wide: bool) -> Iterator[pa.RecordBatc
     owner = np.repeat(lead, count)
     again = ~new
     table = np.array([[r[0], r[1], n] for r, n in zip(rows, lens, strict=True)], np.int64)
-    body = b"".join([np.array([len(rows), again.sum()], np.int64).tobytes(), table.tobytes(), np.concatenate([r[3] for r in rows]).astype(np.uint32).tobytes(), owner[again].astype(np.uint32).tobytes(), order[again].astype(np.uint32).tobytes()])
+    starts = b"" if not wide else zlib.compress(np.diff(np.concatenate([r[3] for r in rows]).astype(np.int32), prepend=np.int32(0)).tobytes(), 1)
+    pairs = zlib.compress(np.concatenate([owner[again], order[again]]).astype(np.uint32).tobytes(), 1)
+    body = np.array([len(rows), len(starts), len(pairs)], np.int64).tobytes() + table.tobytes() + starts + pairs
     bucket = (sorted_h[first] >> np.uint64(33)) % np.uint64(buckets)
-    at = np.argsort(bucket, kind="stable")
+    at = np.lexsort((lead, bucket))
     edges = np.flatnonzero(np.diff(bucket[at].astype(np.int64), prepend=-1))
     out: list[tuple[int, int, bytes]] = [(batch % buckets, 1, body)]
     kept = sorted_h[first] if wide else (sorted_h[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     for a, z in zip(edges, np.append(edges[1:], len(at)), strict=True):
         i = at[a:z]
-        out.append((int(bucket[at[a]]), 0, np.array([len(i)], np.int64).tobytes() + kept[i].tobytes() + lead[i].astype(np.uint32).tobytes() + np.packbits(flags[i] & 1).tobytes() + np.packbits(flags[i] >> 1).tobytes()))
+        step = np.diff(lead[i], prepend=0)  # places rise, so their steps are short
+        step = step.astype(np.uint16 if step.max() < 65536 else np.uint32)
+        out.append((int(bucket[at[a]]), 0, np.array([len(i), step.itemsize], np.int64).tobytes() + kept[i].tobytes() + step.tobytes() + np.packbits(flags[i] & 1).tobytes() + np.packbits(flags[i] >> 1).tobytes()))
     for i in range(0, len(out), 512):
         o = out[i : i + 512]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in o], pa.int32()), pa.array([batch] * len(o), pa.int64()), pa.array([x[1] for x in o], pa.int32()), pa.array([x[2] for x in o], pa.binary())], names=["bucket", "batch", "kind", "body"])
@@ -98,12 +103,12 @@ def _meet(wide: bool):
             if k:
                 out.append((b, 1, x))
                 continue
-            n = int(np.frombuffer(x, np.int64, 1)[0])
-            at = 8
+            n, wide_step = np.frombuffer(x, np.int64, 2).tolist()
+            at = 16
             hs.append(np.frombuffer(x, kind_of, n, at))
             at += n * np.dtype(kind_of).itemsize
-            leads.append(np.frombuffer(x, np.uint32, n, at))
-            at += 4 * n
+            leads.append(np.cumsum(np.frombuffer(x, np.uint16 if wide_step == 2 else np.uint32, n, at), dtype=np.uint32))
+            at += wide_step * n
             bits = -(-n // 8)
             blocks.append(np.unpackbits(np.frombuffer(x, np.uint8, bits, at))[:n])
             multi.append(np.unpackbits(np.frombuffer(x, np.uint8, bits, at + bits))[:n])
@@ -119,7 +124,7 @@ def _meet(wide: bool):
             lead = np.concatenate(leads)[hit]
             by = np.argsort(src[hit], kind="stable")
             for i, part in zip(*_groups(src[hit][by], lead[by]), strict=True):
-                out.append((who[i], 0, part.tobytes()))
+                out.append((who[i], 0, zlib.compress(part.tobytes(), 1)))
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["batch", "kind", "body"])
 
     return run
@@ -135,22 +140,23 @@ def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.nd
 def _home(table: pa.Table) -> pa.Table:
     """Of one batch: its table and its hits, as starts of hits for each document that has some."""
     kind, body = _batch(table, ["kind", "body"])
-    hits = [np.frombuffer(x, np.uint32) for k, x in zip(kind, body, strict=True) if not k]
+    hits = [np.frombuffer(zlib.decompress(x), np.uint32) for k, x in zip(kind, body, strict=True) if not k]
     rows: list[tuple] = []
     tables = list(dict.fromkeys(x for k, x in zip(kind, body, strict=True) if k))  # a batch of equal rows may occur twice, with equal tables
     for x in tables if hits else []:
-        n, again = np.frombuffer(x, np.int64, 2)
-        t = np.frombuffer(x, np.int64, 3 * n, 16).reshape(-1, 3)
-        total, at = int(t[:, 2].sum()), 16 + 24 * int(n)
-        starts = np.frombuffer(x, np.uint32, total, at)
-        owner = np.frombuffer(x, np.uint32, again, at + 4 * total)
-        other = np.frombuffer(x, np.uint32, again, at + 4 * (total + int(again)))
+        n, packed, pairs = np.frombuffer(x, np.int64, 3).tolist()
+        t = np.frombuffer(x, np.int64, 3 * n, 24).reshape(-1, 3)
+        total, at = int(t[:, 2].sum()), 24 + 24 * n
+        # without starts of their own, entries are all windows of a document in turn
+        starts = np.cumsum(np.frombuffer(zlib.decompress(x[at : at + packed]), np.int32), dtype=np.int32).astype(np.uint32) if packed else None
+        owner, other = np.frombuffer(zlib.decompress(x[at + packed : at + packed + pairs]), np.uint32).reshape(2, -1)
         mark = np.zeros(total, bool)
         mark[np.concatenate(hits)] = True
         mark[other[mark[owner]]] = True
         ends = np.cumsum(t[:, 2])
         for (k1, k2, m), e in zip(t.tolist(), ends.tolist(), strict=True):
-            if (got := starts[e - m : e][mark[e - m : e]]).size:
+            mine = np.flatnonzero(mark[e - m : e])
+            if (got := (starts[e - m : e][mine] if starts is not None else mine.astype(np.uint32))).size:
                 rows.append((k1, k2, got.tobytes()))
     return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["k1", "k2", "starts"])
 
@@ -178,7 +184,7 @@ def _extend(buckets: int, window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _parts(batches, 2):
             found = []
-            for k1, k2, text, starts in rows:
+            for k1, k2, text, starts, _ in rows:
                 h = windows(words(text.encode("utf-8", "surrogatepass"))[2], window)
                 # candidate windows: those that hold a hit block
                 step = np.zeros(len(h) + window + 1, np.int64)
@@ -223,7 +229,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> D
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), d.rdd.getNumPartitions())
     keyed = d.select("k1", "k2", "text")
     hits = _repeats(keyed.mapInArrow(_anchors(buckets, block), _SENT), False)
-    held = d.join(hits, ["k1", "k2"]).select("k1", "k2", "text", "starts")
+    # with doc_id, so that this join and the last one share one exchange of the texts
+    held = d.join(hits, ["k1", "k2"]).select("k1", "k2", "text", "starts", "doc_id")
     found = _repeats(held.mapInArrow(_extend(buckets, window, block), _SENT), True)
     return d.join(found, ["k1", "k2"], "left").select("doc_id", "text", "starts")
 
