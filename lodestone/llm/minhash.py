@@ -7,9 +7,15 @@ enters the join with its rarest ones only (prefix), values that no second docume
 collisions of a candidate pair are counted over the whole signatures. Pairs that keep MATCH or more are
 confirmed on the full shingle sets.
 
-Equal sets are one class from the start. Within a posting every class is first compared with the
-smallest one only; when components are known, what is still apart within a posting is compared pair by pair.
-So no group of near copies is ever expanded into all its pairs, and no link between components is lost.
+Equal sets are one class from the start. Within a posting every class is first compared only with the one
+whose coordinates are the commonest (the least edited copy, as a rule). When components are known, classes of a
+posting that are still apart are compared in blocks of bounded size, by both signatures, and only pairs
+that may be similar leave the block. So no group of near copies is expanded into all its pairs, and no
+link between components is lost.
+
+The second signature, BINS values of one byte, has the smallest shingle hash of each of BINS ranges. The share
+of equal ones among those that are not empty in both estimates the similarity; a pair must come within
+SLACK standard deviations of the threshold.
 """
 
 from __future__ import annotations
@@ -26,6 +32,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import LOWER, documents, mix, read, shared_dir, windows, words
 
 K, MATCH, SHINGLE, PERCENT = 64, 42, 5, 85
+BINS, SLACK = 512, 4.2
+#: Classes of one posting that are compared at once.
+BLOCK = 2048
 _rng = np.random.default_rng(99)
 _XOR, _MUL = _rng.integers(0, 2**63, (2, K), dtype=np.uint64)
 _MUL = _MUL | np.uint64(1)
@@ -47,17 +56,26 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
+def bins(s: np.ndarray) -> bytes:
+    """One byte of the smallest hash in each of BINS ranges of sorted hashes, from 1; 0 for an empty range."""
+    out = np.zeros(BINS, np.uint8)
+    where, first = np.unique(s >> np.uint64(64 - 9), return_index=True)
+    out[where.astype(np.int64)] = 1 + mix(s[first]) % np.uint64(255)
+    return out.tobytes()
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 512):
             c = b.slice(i, 512)
-            n, key, sig = [], [], []
+            n, key, sig, low = [], [], [], []
             for t in c.column(1).to_pylist():
                 s = shingles(t)
                 n.append(len(s))
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(signature(s).view(np.int32) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([c.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "set_key", "sig"])
+                low.append(bins(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([c.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32())), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig", "bins"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +101,41 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long")
 
 
+def _apart(table: pa.Table) -> pa.Table:
+    """Of one block of a posting: pairs (a, b) of different components that may be similar and whose first common posting is this one."""
+    at = table.column("at")[0].as_py() >> 32
+    rep, comp, own, n, mask = (np.array(table.column(c).to_pylist()) for c in ("rep", "component", "own", "n_shingles", "mask"))
+    sig = np.array(table.column("sig").to_pylist(), np.int32)
+    low = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+    mask = mask.astype(np.int64).view(np.uint64)
+    names, count = np.unique(comp, return_counts=True)
+    main = comp == names[np.argmax(count)]
+    two = table.column("x")[0].as_py() != table.column("y")[0].as_py()
+    found_a, found_b = [], []
+    rest = np.flatnonzero(~main)
+    for k in range(0, len(rest), 32):
+        i = rest[k : k + 32]
+        ok = (comp[i, None] != comp) & (main | (rep[i, None] < rep)) & (100 * np.minimum(n[i, None], n) >= PERCENT * np.maximum(n[i, None], n))
+        if two:
+            ok &= own[i, None] != own
+        r, c = np.nonzero(ok)
+        for z in range(0, len(r), 1 << 15):
+            a, b = i[r[z : z + (1 << 15)]], c[z : z + (1 << 15)]
+            same = sig[a] == sig[b]
+            bits = np.packbits(same, axis=1, bitorder="little").view(np.uint64).ravel()
+            shared = bits & mask[a] & mask[b]
+            keep = (same.sum(axis=1) >= MATCH) & ((shared & (~shared + np.uint64(1))) == np.uint64(1 << at))
+            a, b = a[keep], b[keep]
+            there = ((low[a] | low[b]) != 0).sum(axis=1)
+            equal = ((low[a] == low[b]) & (low[a] != 0)).sum(axis=1)
+            t = PERCENT / 100
+            keep = equal >= t * there - SLACK * np.sqrt(t * (1 - t) * there)
+            found_a.append(rep[a[keep]])
+            found_b.append(rep[b[keep]])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
+    return pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) of each node of links (a, b), by large-star and small-star steps."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
@@ -122,9 +175,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = f"{shared_dir(spark)}/minhash-{uuid.uuid4().hex}"
     d = documents(docs)
-    d.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, sig array<int>").write.parquet(f"{base}/signed")
+    d.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, sig array<int>, bins binary").write.parquet(f"{base}/signed")
     signed = spark.read.parquet(f"{base}/signed")
-    of_class = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    of_class = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bins").alias("bins"))
     of_class.write.parquet(f"{base}/classes")
     classes = spark.read.parquet(f"{base}/classes")
 
@@ -135,15 +188,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("df", "at"))).alias("p"))
         .where(F.size("p") >= MATCH)
+        .withColumn("weight", F.aggregate("p", F.lit(0).cast("long"), lambda t, x: t + x["df"]))
         # of K coordinates those that nobody shares come first; what is left of the prefix are the rarest shared ones
-        .select("rep", F.explode(F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - MATCH + 1))).alias("x"))
-        .select("rep", F.col("x.at").alias("at"))
+        .withColumn("p", F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - MATCH + 1)))
+        .withColumn("mask", F.aggregate("p", F.lit(0).cast("long"), lambda t, x: t.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x["at"], 32).cast("int")))))
+        .select("rep", "weight", "mask", F.explode("p").alias("x"))
+        .select("rep", "weight", "mask", F.col("x.at").alias("at"))
     )
     prefix.write.parquet(f"{base}/prefix")
     prefix = spark.read.parquet(f"{base}/prefix")
 
     texts = d.where("doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id", "left_semi")
-    heads = prefix.groupBy("at").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1").select("at", "a")
+    heads = prefix.groupBy("at").agg(F.min(F.struct(-F.col("weight"), "rep")).alias("h"), F.count("*").alias("c")).where("c > 1").select("at", F.col("h.rep").alias("a"))
     stars = _candidates(prefix.join(heads, "at").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), classes)
     stars.write.parquet(f"{base}/stars")
     tested = spark.read.parquet(f"{base}/stars")
@@ -151,13 +207,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = spark.read.parquet(f"{base}/links")
     comp = components(links)
 
-    placed = prefix.join(comp, prefix.rep == comp.node, "left").select("at", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = placed.groupBy("at").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("rep", "component")).alias("h")).where("lo <> hi").select("at", F.col("h.component").alias("head"))
-    open_ = placed.join(apart, "at")
-    x, y = open_.where("component <> head").select("at", F.col("rep").alias("a"), F.col("component").alias("ca")), open_.select("at", F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("head")).alias("main"))
-    rest = x.join(y, "at").where("ca <> cb and (main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = _candidates(rest.join(tested, ["a", "b"], "left_anti"), classes)
-    confirm(rest, texts).distinct().write.parquet(f"{base}/links2")
+    placed = prefix.join(comp, prefix.rep == comp.node, "left").select("at", "rep", "mask", F.coalesce("component", "rep").alias("component"))
+    apart = placed.groupBy("at").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("at", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    open_ = placed.join(apart, "at").withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    open_ = open_.join(classes.select("rep", "n_shingles", "sig", "bins"), "rep").select("at", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"), "own", "rep", "mask", "component", "n_shingles", "sig", "bins")
+    rest = open_.groupBy("at", "x", "y").applyInArrow(_apart, "a long, b long").distinct()
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    confirm(rest.join(tested, ["a", "b"], "left_anti"), texts).distinct().write.parquet(f"{base}/links2")
     more = spark.read.parquet(f"{base}/links2")
     if more.take(1):
         comp = components(links.unionByName(more))
