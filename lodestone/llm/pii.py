@@ -36,8 +36,6 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 CONTEXT, MIN_DOCS, DISCLOSURE = 60, 4, 0.95
 #: Words of contexts: whole ones of four letters or more.
 TERM = r"(?<![\p{L}])[\p{L}]{4,40}+(?![\p{L}])"
-#: The most candidate terms that are broadcast; beyond that the join shuffles.
-SMALL_TERMS = 200_000
 _STEP = 256
 
 
@@ -136,11 +134,9 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     base = f"{shared_dir(spark)}/pii-{uuid.uuid4().hex}"
     pairs.join(n_e, ["kind", "value"]).write.parquet(f"{base}/pairs")
     pairs = spark.read.parquet(f"{base}/pairs")
-    terms = pairs.select("term").distinct()
-    if terms.count() <= SMALL_TERMS:
-        terms = F.broadcast(terms)
-    said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = said.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted before the join, within each partition first: a common word is a few rows, not a row for each of its documents
+    said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = said.join(pairs.select("term").distinct(), "term", "left_semi")
     n = found.agg(F.count("*").alias("n"))
     stats = pairs.join(n_t, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(n))  # one row of n, a row a kind
     pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
