@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.plans import extraction, records, screens
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**extraction.QUERIES, **records.QUERIES, **screens.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**extraction.ORACLES, **records.ORACLES, **screens.ORACLES}
