@@ -1,0 +1,191 @@
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.functions.rules import IRON
+from lodestone.operators import acquisition, citations, fulltext, linkage, logs, screening
+from lodestone.sources import config, files, payloads
+from lodestone.streaming import stateless
+
+
+def value(spark, column, **cells):
+    return spark.createDataFrame([tuple(cells.values())], list(cells)).select(column.alias("v")).first().v
+
+
+@pytest.mark.parametrize(("doi", "want"), [(" HTTPS://DX.DOI.org/10.1/AB ", "10.1/ab"), ("doi:10.1/x", "10.1/x"), ("10.1/Y", "10.1/y"), ("", "")])
+def test_doi(spark, doi, want):
+    assert value(spark, T.normalize_doi(F.col("d")), d=doi) == want
+
+
+def test_text_functions(spark):
+    assert value(spark, T.clean_text(F.col("d")), d=" &lt;b&gt;x&lt;/b&gt; &amp; <i>y</i> ") == "x & y"
+    assert value(spark, T.normalize_title(F.col("d")), d="<i>The</i> Café — No. 1") == "the caf no 1"
+    assert value(spark, T.safe_filename(F.col("d")), d="..a b/ç?.") == "a_b_ç.pdf"
+    assert value(spark, T.paper_filename(F.col("y"), F.col("a"), F.col("t")), y="2020", a="Ann Lee; Bo", t="A (new) way to go on") == "2020_Lee_A_new_way_to.pdf"
+    assert value(spark, T.paper_filename(F.col("y"), F.col("a"), F.col("t")), y="", a="", t="!!") == "XXXX_Unknown_paper.pdf"
+    assert value(spark, T.append_unique(F.col("a"), F.col("b")), a="x; x; y", b="y; z; z") == "x; x; y; z"
+    assert value(spark, T.capitalize(F.col("a")), a="photoCATAL x") == "Photocatal x"
+    index = spark.sql("select map('b', array(1, 3), 'a', array(0)) as m").select(T.abstract_from_index(F.col("m")).alias("v")).first().v
+    assert index == "a b b"
+
+
+SIGNALS = "iron catalyst asymmetric hydrogenation h2"
+
+
+@pytest.mark.parametrize(
+    ("title", "decision", "tier", "score"),
+    [
+        (SIGNALS, "Include", "Tier 1", "100"),
+        (SIGNALS.replace("iron ", ""), "Primary", "Tier 2", "75"),
+        (SIGNALS.replace("asymmetric ", ""), "Primary", "Tier 1", "80"),
+        (SIGNALS + " review", "Review", "Tier 1", "100"),
+        (SIGNALS + " review hydrosilylation", "Exclude", "Tier 1", "100"),
+        ("", "Primary", "Tier 2", "0"),
+        ("advance", "Review", "Tier 2", "0"),
+    ],
+)
+def test_screen(spark, title, decision, tier, score):
+    r = screening.screen(spark.createDataFrame([(title, None, "")], "title string, abstract string, record_type string")).first()
+    assert r.inclusion_decision.startswith(decision) and (r.tier, r.confidence_score) == (tier, score)
+    if "review" in title:
+        assert r.record_type == "review"
+
+
+def papers(spark, title, text, pdf=True, error=None):
+    p = spark.createDataFrame([(1, title, pdf, error)], "doc_id int, title string, has_pdf boolean, error string")
+    return fulltext.classify(p, spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(text)], "doc_id int, page_no int, text string")).first()
+
+
+GOOD = ["Intro.", "Iron with H2 gave a chiral product. It had 95% ee. Table 1 shows the substrate scope."]
+
+
+@pytest.mark.parametrize(
+    ("title", "text", "kw", "label", "reason"),
+    [
+        ("Iron asymmetric hydrogenation", GOOD, {}, "A", "Full text"),
+        ("Iron asymmetric hydrogenation", GOOD, {"pdf": False}, "C", "No accessible"),
+        ("Iron asymmetric hydrogenation", GOOD, {"error": "bad"}, "C", "PDF text"),
+        ("Iron transfer hydrogenation", GOOD, {}, "B", "Title: prohibited system (transfer hydrogenation)"),
+        ("A ruthenium story", GOOD, {}, "B", "Title identifies non-Iron catalyst: ruthenium"),
+        ("A story", ["Cobalt under H2."], {}, "B", "H2 evidence sentence identifies non-Iron catalyst: Cobalt"),
+        ("Iron hydrogenation", GOOD, {}, "B", "Title identifies Iron-catalysed"),
+        ("Machine learning of iron", GOOD, {}, "B", "Non-primary"),
+        ("Iron asymmetric addition", GOOD, {}, "C", "Full-text evidence incomplete: "),
+        ("Iron asymmetric hydrogenation", ["None."], {}, "C", "Full-text evidence incomplete: molecular H2, ee value, substrate scope"),
+    ],
+)
+def test_fulltext(spark, title, text, kw, label, reason):
+    r = papers(spark, title, text, **kw)
+    assert r.classification[0] == label and r.decision_reason.startswith(reason)
+
+
+def test_fulltext_evidence(spark):
+    r = papers(spark, "Iron asymmetric hydrogenation", GOOD)
+    assert (r.metal_used, r.hydrogen_source, r.ee_value, r.pages_used) == ("Iron (title evidence)", "H2", "95% ee", "2")
+    assert r.evidence_sentence == "Iron with H2 gave a chiral product." and r.exclusion_keywords == "None"
+
+
+def greedy(rows):
+    """The rule over a list, as the docstring of linkage states it."""
+    founders, by_doi, out = [], {}, []
+    for o, doi, title in rows:
+        home = by_doi.get(doi) if doi else None
+        if home is None and title:
+            home = next((f for f, t in founders if t == title), None)
+        if home is None and title:
+            near = [(f, t) for f, t in founders if t and t.split()[:4] == title.split()[:4]]
+            home = next((f for f, t in near if min(len(t), len(title)) >= 24 and SequenceMatcher(None, title, t).ratio() >= 0.94), None)
+        if home is None:
+            home = o
+            founders.append((o, title))
+        if doi:
+            by_doi[doi] = home
+        out.append((o, home))
+    return out
+
+
+def test_linkage(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [
+        (1, "10.1/a", base), (2, "10.1/b", base), (3, "10.1/b", "other words are here now"), (4, "", base + "s"), (5, "", base.replace("four", "for")), (6, "", ""), (7, "", ""), (8, "10.1/c", ""), (9, "10.1/c", "late title of the paper nine"),
+        (10, "", "late title of the paper nine"), (11, "", "one two three four"), (12, "", "one two three fourx"), (13, "", base + "ss"), (14, "", base + "sssss"),
+    ]
+    df = spark.createDataFrame(rows, "ord long, doi string, title string").repartition(3)
+    got = sorted((r.ord, r.cluster) for r in linkage.greedy_clusters(linkage.keys(df)).collect())
+    assert got == greedy(rows)
+
+
+def test_merge(spark):
+    rows = [(1, "", "A; A", "0", "x|y"), (2, "T", "B; A", "7", "y|z"), (3, "U", None, "1", "")]
+    d = spark.createDataFrame(rows, "ord long, title string, source_database string, cited_by_count string, referenced_works string")
+    m = linkage.merge(d, spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "ord long, cluster long")).orderBy("ord").collect()
+    assert [(r.ord, r.title, r.source_database, r.cited_by_count, r.referenced_works) for r in m] == [(1, "T", "A; B", "0", "x|y|z"), (3, "U", "", "1", "")]
+
+
+def test_citations(spark):
+    rows = [(i, f"w{i}", "review" if i % 2 else "primary", "iron", "", 5, f"w{(i + 1) % 6}||w99") for i in range(6)]
+    r = spark.createDataFrame(rows, "ord long, id string, record_type string, title string, abstract string, cited_by int, referenced_works string")
+    top, prim = citations.seeds(r, 2, 1)
+    assert [x.id for x in top.collect()] == ["w1", "w3"] and [x.id for x in prim.collect()] == ["w0"]
+    got = sorted((x.mode[0], x.seed_id, x.id) for x in citations.chase(r, r, 2, 1).collect())
+    assert got == [("b", "w0", "w1"), ("f", "w0", "w5"), ("r", "w1", "w2"), ("r", "w3", "w4")]
+
+
+def test_acquisition(spark):
+    html = '<title>x</title><body><a href="/si/suppl_file.pdf">SI</a><a href="/main.pdf">PDF</a> Just a moment. Access denied <input type="password"></body>'
+    r = acquisition.page_class(spark.createDataFrame([(1, "http://h/p", html)], "page_id int, url string, html string")).first()
+    assert (r.challenge, r.login, r.paywall, r.pdf_link) == ("cloudflare", True, True, "/main.pdf")
+    d = spark.createDataFrame([("http://h/a/", "x.pdf", bytearray(b"%PDF" + b"0" * 20000), "text/html"), ("http://h/a/", " ", bytearray(b"%PDF"), "application/pdf")], "u string, l string, c binary, t string")
+    got = d.select(acquisition.resolve("u", "l").alias("r"), acquisition.valid_file(F.col("c"), F.col("t")).alias("ok")).collect()
+    assert [(x.r, x.ok) for x in got] == [("http://h/a/x.pdf", True), (None, False)]
+
+
+def test_logs_and_files(spark, tmp_path):
+    log = files.RunLog(spark, str(tmp_path / "state"))
+    log.start("r", "pdf_download", rows=3)
+    log.finish("r", "pdf_download")
+    assert log.is_done("r", "pdf_download")
+    with pytest.raises(ValueError):
+        log.start("r", "nonsense")
+    s = logs.summary(log.states(), spark.createDataFrame([("r",)], "run_id string")).orderBy("place").collect()
+    assert [x.status for x in s] == ["pending", "pending", "done", "pending", "pending"]
+    files.append_event(spark, str(tmp_path / "log"), "e", a=1)
+    assert spark.read.json(str(tmp_path / "log")).count() == 1
+    files.write_sheets({"s": spark.createDataFrame([(1, None)], "a int, b string")}, str(tmp_path / "x"), ["b", "a", "c"])
+    assert spark.read.json(str(tmp_path / "x/s")).first().asDict() == {"a": "1", "b": "", "c": ""}
+    pages = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("d", 3, None)], "doc_id string, page_no int, text string")
+    assert files.pages_to_text(pages).first().text == "a\nb\n"
+
+
+def test_payloads(spark, tmp_path):
+    (tmp_path / "o.json").write_text('{"id":"https://openalex.org/W1","title":"A <i>review</i>","doi":"https://doi.org/10.1/A","type":"article","publication_year":2020,"abstract_inverted_index":{"b":[1],"a":[0]},"referenced_works":["x","y"],"authorships":[{"author":{"display_name":"N"}},{"author":{"display_name":null}}],"best_oa_location":{"pdf_url":"u1"},"locations":[{"pdf_url":"u2"},{"pdf_url":"u1"}],"query":"q"}\n')
+    (tmp_path / "c.json").write_text('{"title":["B"],"author":[{"given":"G","family":"F"},{}],"published":{"date-parts":[[2019,1]]},"DOI":"10.1/B","type":"journal-article","reference":[{"DOI":"10.1/z"},{}],"query":"q"}\n')
+    o, c = (payloads.read_payloads(spark, str(tmp_path / f"{n}.json"), s) for n, s in (("o", "openalex"), ("c", "crossref")))
+    a, b = payloads.union_sources({"openalex": o, "crossref": c}).orderBy("source_no").collect()
+    assert (a.title, a.doi, a.record_type, a.abstract, a.referenced_works, a.authors, a.cited_by_count) == ("A review", "10.1/a", "review", "a b", "x|y", "N; ", "0")
+    assert (b.title, b.year, b.record_type, b.referenced_works, b.authors) == ("B", "2019", "primary", "https://doi.org/10.1/z", "G F")
+    assert payloads.pdf_urls(o, "openalex").first().pdf_urls == ["u1", "u2"]
+    assert [r["query"] for r in payloads.queries_of(spark, {"g": ["1", "2"], "h": ["3"]}).orderBy("group_no", "query_no").collect()] == ["1", "2", "3"]
+
+
+def test_config(tmp_path):
+    assert config.merged({"a": {"b": 1, "c": [1]}, "d": 2}, {"a": {"c": [2]}}) == {"a": {"b": 1, "c": [2]}, "d": 2}
+    (tmp_path / "c.yaml").write_text("metal: {name: Cobalt, symbol: Co, regex: cobalt}\nscreening: {metal_exclusion_terms: [x]}")
+    (tmp_path / "b.yaml").write_text("screening: {universal_exclusion_terms: [y], title_threshold: 0.9}")
+    p = config.screen_pack(config.load(tmp_path / "c.yaml", tmp_path / "b.yaml"))
+    assert (p.name, p.exclusions, p.signals) == ("Cobalt", ("y", "x"), IRON.signals)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    d = spark.createDataFrame([(str(i), f"Run {i}. It gave {i}% ee.") for i in range(20)], "doc_id string, text string")
+    d.write.parquet(str(tmp_path / "in"))
+    q = stateless.write_stream(stateless.stream_candidates(stateless.read_stream(spark, str(tmp_path / "in"), "doc_id string, text string")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    from lodestone.operators.candidates import extract_candidates
+
+    want = sorted(map(str, extract_candidates(d).collect()))
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == want
