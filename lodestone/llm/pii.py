@@ -127,7 +127,8 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     near = found.where(F.size("spans") > 0).select("k1", "k2", F.explode("spans").alias("x")).select("k1", "k2", "x.kind", F.lower("x.m").alias("value"), F.explode("x.terms").alias("t")).select("k1", "k2", "kind", "value", F.lower("t.m").alias("term"), "t.s", "t.e")
-    pairs = near.select("k1", "k2", "kind", "value", "term").distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_DOCS)
+    each = F.flatten(F.transform("spans", lambda x: F.transform(x["terms"], lambda t: F.struct(x["kind"].alias("kind"), F.lower(x["m"]).alias("value"), F.lower(t["m"]).alias("term")))))
+    pairs = found.where(F.size("spans") > 0).select(F.explode(F.array_distinct(each)).alias("x")).groupBy("x.kind", "x.value", "x.term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_DOCS)
     per_doc = found.where(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), F.lower(x["m"]).alias("value"))))).alias("x"))
     n_e = per_doc.groupBy("x.kind", "x.value").agg(F.count("*").alias("n_e"))
     kinds = found.where(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform("spans", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_kind"))
@@ -140,6 +141,7 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     n = found.agg(F.count("*").alias("n"))
     stats = pairs.join(n_t, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(n))  # one row of n, a row a kind
     pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
+    pmi = pmi + 1e-9  # equal counts are to give equal logarithms
     risky = stats.where((pmi >= DISCLOSURE * F.log2(F.col("n") / F.col("n_e"))) & (pmi >= F.log2(F.col("n") / F.col("n_kind")))).select("kind", "value", "term")
     return near.join(risky, ["kind", "value", "term"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
 
