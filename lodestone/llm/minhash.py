@@ -15,7 +15,7 @@ link between components is lost.
 
 The second signature, BINS values of one byte, has the smallest shingle hash of each of BINS ranges. The share
 of equal ones among those that are not empty in both estimates the similarity; a pair must come within
-SLACK standard deviations of the threshold.
+SLACK standard deviations (and two values) of the threshold.
 """
 
 from __future__ import annotations
@@ -128,8 +128,9 @@ def _apart(table: pa.Table) -> pa.Table:
             a, b = a[keep], b[keep]
             there = ((low[a] | low[b]) != 0).sum(axis=1)
             equal = ((low[a] == low[b]) & (low[a] != 0)).sum(axis=1)
-            t = PERCENT / 100
-            keep = equal >= t * there - SLACK * np.sqrt(t * (1 - t) * there)
+            # the smallest hashes are a sample of the union without repeats: hypergeometric
+            t, union = PERCENT / 100, (n[a] + n[b]) / (1 + PERCENT / 100)
+            keep = equal >= t * there - SLACK * np.sqrt(t * (1 - t) * there * np.clip((union - there) / np.maximum(union - 1, 1), 0, 1)) - 2
             found_a.append(rep[a[keep]])
             found_b.append(rep[b[keep]])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
