@@ -136,8 +136,8 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs.join(n_e, ["kind", "value"]).write.parquet(f"{base}/pairs")
     pairs = spark.read.parquet(f"{base}/pairs")
     # counted before the join, within each partition first: a common word is a few rows, not a row for each of its documents
-    said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n_t = said.join(pairs.select("term").distinct(), "term", "left_semi")
+    # (an inner join, as a semi join would be moved below the count)
+    n_t = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     n = found.agg(F.count("*").alias("n"))
     stats = pairs.join(n_t, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(n))  # one row of n, a row a kind
     pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
