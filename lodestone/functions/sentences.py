@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from lodestone.functions.regexes import strip
 
 #: A text falls into chunks that end with their delimiter, so that lengths add up to places.
-CHUNK = r"(?sU).*?(?:[.!?]\s+|\n+)|.+$"
+CHUNK = r"(?s).*?(?:[.!?]\s+|\n+)|.+$"
+_WHITE = " \t\n\x0b\x0c\r"
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 _STEP = 128
 
 
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def _add(acc: Column, chunk: Column) -> Column:
-    body = strip(chunk)
-    lead = F.length(chunk) - F.length(F.regexp_replace(chunk, r"(?U)^\s+", ""))
+    # ASCII is trimmed without a regular expression
+    body = F.when(_ascii(chunk), F.btrim(chunk, F.lit(_WHITE))).otherwise(strip(chunk))
+    lead = F.length(chunk) - F.length(F.when(_ascii(chunk), F.ltrim(chunk, F.lit(_WHITE))).otherwise(F.regexp_replace(chunk, r"(?U)^\s+", "")))
     span = F.struct((acc["at"] + lead).cast("int").alias("start"), (acc["at"] + lead + F.length(body)).cast("int").alias("end"), body.alias("text"))
     return F.struct((acc["at"] + F.length(chunk)).alias("at"), F.when(body == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
@@ -25,7 +31,8 @@ def sentence_spans(text: Column) -> Column:
 
     Null and blank texts have none. Places are added up in steps, so a text of n sentences takes about n * _STEP moves, not n * n.
     """
-    chunks = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CHUNK), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    chunks = F.when(_ascii(text), F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit("(?U)" + CHUNK), F.lit(0)))
 
     def block(c: Column):
         def run(acc: Column, i: Column) -> Column:
