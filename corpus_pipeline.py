@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm import decontaminate, minhash, pieces, pii, quality
 from lodestone.llm.common import read, shared_dir
 
+#: Similarity of near duplicates; the 85 of op6 is that query's alone.
+NEAR_PERCENT = 80
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the classifier rejects; it learns from the labelled rows of the documents at hand."""
@@ -16,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return minhash.keep_one(docs)
+    """One document of each group of texts with a similarity of NEAR_PERCENT or more stays."""
+    return minhash.keep_one(docs, NEAR_PERCENT)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

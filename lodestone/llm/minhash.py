@@ -1,10 +1,10 @@
 """Near-duplicate documents by an inverted join over MinHash signature coordinates.
 
 A document is posted under each (coordinate, value) of its signature of K values. Two sets with a
-similarity of at least the threshold agree in at least MATCH of K coordinates (up to a chance of about 1e-5
-at the threshold itself, less above), so any K - MATCH + 1 coordinates of one hold a collision: a document
+similarity of at least the threshold agree in at least least_equal() of K coordinates (up to a chance of LOSS
+at the threshold itself, less above), so any K - least_equal() + 1 coordinates of one hold a collision: a document
 enters the join with its rarest ones only (prefix), values that no second document has are skipped, and the
-collisions of a candidate pair are counted over the whole signatures. Pairs that keep MATCH or more are
+collisions of a candidate pair are counted over the whole signatures. Pairs that keep as many or more are
 confirmed on the full shingle sets.
 
 Equal sets are one class from the start. Within a posting every class is first compared only with the one
@@ -21,8 +21,9 @@ SLACK standard deviations (and two values) of the threshold.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import LOWER, documents, mix, read, shared_dir, windows, words
 
-K, MATCH, SHINGLE, PERCENT = 64, 42, 5, 85
+K, SHINGLE, PERCENT = 64, 5, 85
+#: Chance that a pair at the threshold itself agrees in fewer coordinates than are asked for.
+LOSS = 3e-5
 BINS, SLACK = 512, 4.2
 #: Classes of one posting that are compared at once.
 BLOCK = 2048
@@ -40,6 +43,14 @@ _XOR, _MUL = _rng.integers(0, 2**63, (2, K), dtype=np.uint64)
 _MUL = _MUL | np.uint64(1)
 
 
+def least_equal(percent: int) -> int:
+    """Coordinates of K that a pair must share: the most that a pair at the threshold falls short of with a chance of LOSS at most."""
+    t, m, tail = percent / 100, 0, 0.0
+    while (tail := tail + math.comb(K, m) * t**m * (1 - t) ** (K - m)) <= LOSS:
+        m += 1
+    return m
+
+
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of a text in lower case (A-Z); of fewer words, the sequence as one; none without words."""
     h = words((text or "").encode("utf-8", "surrogatepass").translate(LOWER))[2]
@@ -78,31 +89,36 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([c.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32())), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig", "bins"])
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, text_a, text_b: the pairs with a similarity of at least PERCENT, on full sets."""
-    last: tuple = (None, None)
-    for b in batches:
-        for i in range(0, b.num_rows, 256):
-            c = b.slice(i, 256)
-            keep = []
-            for ta, tb in zip(c.column(2).to_pylist(), c.column(3).to_pylist(), strict=True):
-                if last[0] != ta:
-                    last = (ta, shingles(ta))
-                sa, sb = last[1], shingles(tb)
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(sa) + len(sb) - both) and both > 0)
-            c = c.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([c.column(0), c.column(1)], names=["a", "b"])
-
-
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _similar(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a, b, text_a, text_b: the pairs with a similarity of at least percent, on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                c = b.slice(i, 256)
+                keep = []
+                for ta, tb in zip(c.column(2).to_pylist(), c.column(3).to_pylist(), strict=True):
+                    if last[0] != ta:
+                        last = (ta, shingles(ta))
+                    sa, sb = last[1], shingles(tb)
+                    both = len(np.intersect1d(sa, sb, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(sa) + len(sb) - both) and both > 0)
+                c = c.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1)], names=["a", "b"])
+
+    return run
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of pairs (a, b), those whose texts (doc_id, text) are similar enough."""
     ta, tb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long")
+    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(_similar(percent), "a long, b long")
 
 
-def _apart(table: pa.Table) -> pa.Table:
+def _apart(table: pa.Table, percent: int) -> pa.Table:
     """Of one block of a posting: pairs (a, b) of different components that may be similar and whose first common posting is this one."""
+    match = least_equal(percent)
     at = table.column("at")[0].as_py() >> 32
     rep, comp, own, n, mask = (np.array(table.column(c).to_pylist()) for c in ("rep", "component", "own", "n_shingles", "mask"))
     sig = np.array(table.column("sig").to_pylist(), np.int32)
@@ -115,7 +131,7 @@ def _apart(table: pa.Table) -> pa.Table:
     rest = np.flatnonzero(~main)
     for k in range(0, len(rest), 32):
         i = rest[k : k + 32]
-        ok = (comp[i, None] != comp) & (main | (rep[i, None] < rep)) & (100 * np.minimum(n[i, None], n) >= PERCENT * np.maximum(n[i, None], n))
+        ok = (comp[i, None] != comp) & (main | (rep[i, None] < rep)) & (100 * np.minimum(n[i, None], n) >= percent * np.maximum(n[i, None], n))
         if two:
             ok &= own[i, None] != own
         r, c = np.nonzero(ok)
@@ -124,12 +140,12 @@ def _apart(table: pa.Table) -> pa.Table:
             same = sig[a] == sig[b]
             bits = np.packbits(same, axis=1, bitorder="little").view(np.uint64).ravel()
             shared = bits & mask[a] & mask[b]
-            keep = (same.sum(axis=1) >= MATCH) & ((shared & (~shared + np.uint64(1))) == np.uint64(1 << at))
+            keep = (same.sum(axis=1) >= match) & ((shared & (~shared + np.uint64(1))) == np.uint64(1 << at))
             a, b = a[keep], b[keep]
             there = ((low[a] | low[b]) != 0).sum(axis=1)
             equal = ((low[a] == low[b]) & (low[a] != 0)).sum(axis=1)
             # the smallest hashes are a sample of the union without repeats: hypergeometric
-            t, union = PERCENT / 100, (n[a] + n[b]) / (1 + PERCENT / 100)
+            t, union = percent / 100, (n[a] + n[b]) / (1 + percent / 100)
             keep = equal >= t * there - SLACK * np.sqrt(t * (1 - t) * there * np.clip((union - there) / np.maximum(union - 1, 1), 0, 1)) - 2
             found_a.append(rep[a[keep]])
             found_b.append(rep[b[keep]])
@@ -159,21 +175,21 @@ def _matches(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that agree in MATCH coordinates, whose sizes allow the similarity."""
+def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that agree in least_equal() coordinates, whose sizes allow the similarity."""
     s = classes.select("rep", "n_shingles", "sig")
     both = pairs.join(s.toDF("a", "na", "sa"), "a").join(s.toDF("b", "nb", "sb"), "b")
-    fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    return both.where(fits & (_matches("sa", "sb") >= MATCH)).select("a", "b")
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return both.where(fits & (_matches("sa", "sb") >= least_equal(percent))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row; texts with a similarity of percent or more are linked.
 
     Null texts and texts without words have no shingles and are alone. Equal rows are one class. A row with
     a null id is alone, with a null component. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, match = docs.sparkSession, least_equal(percent)
     base = f"{shared_dir(spark)}/minhash-{uuid.uuid4().hex}"
     d = documents(docs)
     d.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, sig array<int>, bins binary").write.parquet(f"{base}/signed")
@@ -188,10 +204,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         posted.join(shared, "at")
         .groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("df", "at"))).alias("p"))
-        .where(F.size("p") >= MATCH)
+        .where(F.size("p") >= match)
         .withColumn("weight", F.aggregate("p", F.lit(0).cast("long"), lambda t, x: t + x["df"]))
         # of K coordinates those that nobody shares come first; what is left of the prefix are the rarest shared ones
-        .withColumn("p", F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - MATCH + 1)))
+        .withColumn("p", F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - match + 1)))
         .withColumn("mask", F.aggregate("p", F.lit(0).cast("long"), lambda t, x: t.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x["at"], 32).cast("int")))))
         .select("rep", "weight", "mask", F.explode("p").alias("x"))
         .select("rep", "weight", "mask", F.col("x.at").alias("at"))
@@ -201,10 +217,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     texts = d.where("doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id", "left_semi")
     heads = prefix.groupBy("at").agg(F.min(F.struct(-F.col("weight"), "rep")).alias("h"), F.count("*").alias("c")).where("c > 1").select("at", F.col("h.rep").alias("a"))
-    stars = _candidates(prefix.join(heads, "at").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), classes)
+    stars = _candidates(prefix.join(heads, "at").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), classes, percent)
     stars.write.parquet(f"{base}/stars")
     tested = spark.read.parquet(f"{base}/stars")
-    confirm(tested, texts).distinct().write.parquet(f"{base}/links")
+    confirm(tested, texts, percent).distinct().write.parquet(f"{base}/links")
     links = spark.read.parquet(f"{base}/links")
     comp = components(links)
 
@@ -213,9 +229,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     open_ = placed.join(apart, "at").withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
     open_ = open_.join(classes.select("rep", "n_shingles", "sig", "bins"), "rep").select("at", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"), "own", "rep", "mask", "component", "n_shingles", "sig", "bins")
-    rest = open_.groupBy("at", "x", "y").applyInArrow(_apart, "a long, b long").distinct()
+    rest = open_.groupBy("at", "x", "y").applyInArrow(lambda t: _apart(t, percent), "a long, b long").distinct()
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    confirm(rest.join(tested, ["a", "b"], "left_anti"), texts).distinct().write.parquet(f"{base}/links2")
+    confirm(rest.join(tested, ["a", "b"], "left_anti"), texts, percent).distinct().write.parquet(f"{base}/links2")
     more = spark.read.parquet(f"{base}/links2")
     if more.take(1):
         comp = components(links.unionByName(more))
@@ -223,11 +239,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", "n_shingles", "set_key").join(to, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns kept, whose id is the smallest of its component; rows with null ids stay."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = f"c{docs.columns.index('doc_id')}"
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    gone = near_duplicates(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     return plain.join(gone, F.col(at).cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
@@ -236,7 +252,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def brute(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int, bool]]:
+def brute(rows: list[tuple[int, str | None]], percent: int = PERCENT) -> list[tuple[int, int, int, bool]]:
     """The contract by comparing all pairs of sets that share a shingle, for tests."""
     sets = {}
     for i, t in rows:
@@ -260,6 +276,6 @@ def brute(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int, bool]
                 if (i, j) not in seen:
                     seen.add((i, j))
                     both = len(sets[i] & sets[j])
-                    if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both) and (a := root(i)) != (b := root(j)):
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and (a := root(i)) != (b := root(j)):
                         parent[max(a, b)] = min(a, b)
     return [(i, len(sets[i]), root(i), root(i) == i) for i, _ in rows]
