@@ -1,13 +1,13 @@
 """Personal data by patterns, and terms that reveal it by corpus co-occurrence; DataFrame functions only.
 
-Patterns find the protected entities (email, ip, card, phone). For each entity e and each word t within
-CONTEXT characters of it the corpus gives, over all documents, N, n(e), n(t) and n(e,t), and with them
+Patterns find the protected entities (email, ip, card, phone). For each entity e and each word t of its
+documents, outside of entities, the corpus gives, over all documents, N, n(e), n(t) and n(e,t), and with them
 
     PMI(e;t) = log2(n(e,t) N / (n(e) n(t))),  IC(e) = log2(N / n(e)),  IC(kind) = log2(N / n(kind)).
 
 t discloses e if it is with e in MIN_DOCS documents or more, PMI(e;t) >= DISCLOSURE * IC(e) (it gives away
 nearly all the information of the entity) and PMI(e;t) >= IC(kind) (more than the generalisation of e, its
-kind, gives). Such terms next to the entity become spans of the kind `term`.
+kind, gives). Such a term becomes a span of the kind `term` wherever it stands, in any document.
 
 Possessive quantifiers and look-behind in the patterns keep Java's matcher linear and its stack flat; they
 match what the plain patterns match.
@@ -33,9 +33,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-CONTEXT, MIN_DOCS, DISCLOSURE = 60, 4, 0.95
-#: Words of contexts: whole ones of four letters or more.
-TERM = r"(?<![\p{L}])[\p{L}]{4,40}+(?![\p{L}])"
+MIN_DOCS, DISCLOSURE = 4, 0.95
+#: Whole words of letters and digits: three or more of them, or two letters of which the first is a capital.
+TERM = r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}]{3,}+|\p{Lu}\p{L})(?![\p{L}\p{N}])"
 _STEP = 256
 
 
@@ -106,44 +106,64 @@ def entities(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _context(text: Column, x: Column) -> Column:
-    """Terms near an entity as array of struct(s, e, m); words that the context's edge cuts are left out."""
-    at = F.greatest(F.lit(0), x["s"] - CONTEXT - 1)
-    left = located(F.concat(F.substring(text, (at + 1).cast("int"), (x["s"] - at).cast("int")), F.lit(" ")), TERM, at)
-    right = located(F.substring(text, (x["e"] + 1).cast("int"), F.lit(CONTEXT + 1)), TERM, x["e"])
-    right = F.filter(right, lambda t: t["e"] <= x["e"] + CONTEXT)
-    left = F.filter(left, lambda t: (t["s"] > at) | (at == 0))
-    return F.concat(left, right)
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans, so that what stands outside of them keeps its place."""
+    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        at = F.greatest(acc["pos"], x["s"])
+        before = F.substring(text, (acc["pos"] + 1).cast("int"), (at - acc["pos"]).cast("int"))
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), x["e"] - at).cast("int"))
+        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.concat(acc["out"], F.array(before, blank)).alias("out"))
+
+    def end(a: Column) -> Column:
+        return F.concat(F.array_join(a["out"], ""), F.substring(text, (a["pos"] + 1).cast("int"), F.length(text)))
+
+    places = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    whole = F.element_at(F.transform(F.array(F.aggregate(places, start, one)), end), 1)
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
+
+
+def _terms(text: Column) -> Column:
+    """The different terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     return documents(docs).select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"))
 
 
-def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """k1, k2, terms (array of struct(s, e)): the terms that disclose an entity of their document.
+def term_spans(found: DataFrame) -> DataFrame:
+    """k1, k2, terms (array of struct(s, e)): all places of terms that disclose an entity of the corpus.
 
-    docs: doc_id, text, k1, k2; found: k1, k2, spans with context terms.
+    found: k1, k2, spans, clear (the text with entities blanked), one row for each document.
     """
-    spark = docs.sparkSession
-    near = found.where(F.size("spans") > 0).select("k1", "k2", F.explode("spans").alias("x")).select("k1", "k2", "x.kind", F.lower("x.m").alias("value"), F.explode("x.terms").alias("t")).select("k1", "k2", "kind", "value", F.lower("t.m").alias("term"), "t.s", "t.e")
-    each = F.flatten(F.transform("spans", lambda x: F.transform(x["terms"], lambda t: F.struct(x["kind"].alias("kind"), F.lower(x["m"]).alias("value"), F.lower(t["m"]).alias("term")))))
-    pairs = found.where(F.size("spans") > 0).select(F.explode(F.array_distinct(each)).alias("x")).groupBy("x.kind", "x.value", "x.term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_DOCS)
-    per_doc = found.where(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), F.lower(x["m"]).alias("value"))))).alias("x"))
-    n_e = per_doc.groupBy("x.kind", "x.value").agg(F.count("*").alias("n_e"))
-    kinds = found.where(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform("spans", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_kind"))
+    spark = found.sparkSession
     base = f"{shared_dir(spark)}/pii-{uuid.uuid4().hex}"
-    pairs.join(n_e, ["kind", "value"]).write.parquet(f"{base}/pairs")
+    held = found.where(F.size("spans") > 0)
+    per_doc = held.select("k1", "k2", F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), F.lower(x["m"]).alias("value"))))).alias("x")).select("k1", "k2", "x.*")
+    # an entity of fewer documents cannot reach MIN_DOCS with any term
+    n_e = per_doc.groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= MIN_DOCS)
+    kinds = held.select(F.explode(F.array_distinct(F.transform("spans", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_kind"))
+    often = per_doc.join(n_e, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "value", "n_e")).alias("es"))
+    pairs = held.join(often, ["k1", "k2"]).select("es", F.explode(_terms(F.col("clear"))).alias("term")).select("term", F.explode("es").alias("x")).groupBy("x.kind", "x.value", "x.n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_DOCS)
+    pairs.write.parquet(f"{base}/pairs")
     pairs = spark.read.parquet(f"{base}/pairs")
     # counted before the join, within each partition first: a common word is a few rows, not a row for each of its documents
     # (an inner join, as a semi join would be moved below the count)
-    n_t = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = found.select(F.explode(_terms(F.col("clear"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     n = found.agg(F.count("*").alias("n"))
     stats = pairs.join(n_t, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(n))  # one row of n, a row a kind
     pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
     pmi = pmi + 1e-9  # equal counts are to give equal logarithms
-    risky = stats.where((pmi >= DISCLOSURE * F.log2(F.col("n") / F.col("n_e"))) & (pmi >= F.log2(F.col("n") / F.col("n_kind")))).select("kind", "value", "term")
-    return near.join(risky, ["kind", "value", "term"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
+    stats.where((pmi >= DISCLOSURE * F.log2(F.col("n") / F.col("n_e"))) & (pmi >= F.log2(F.col("n") / F.col("n_kind")))).select("term").distinct().write.parquet(f"{base}/risky")
+    risky = spark.read.parquet(f"{base}/risky")
+    of_doc = found.select("k1", "k2", F.explode(_terms(F.col("clear"))).alias("term")).join(risky, "term").groupBy("k1", "k2").agg(F.collect_set("term").alias("risky"))
+    of_doc.write.parquet(f"{base}/of_doc")
+    of_doc = spark.read.parquet(f"{base}/of_doc")
+    places = F.filter(located(F.col("clear"), TERM), lambda x: F.array_contains(F.col("risky"), F.lower(x["m"])))
+    places = F.transform(places, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    return found.select("k1", "k2", "clear").join(of_doc, ["k1", "k2"]).select("k1", "k2", places.alias("terms")).groupBy("k1", "k2").agg(F.first("terms").alias("terms"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -155,11 +175,9 @@ def find(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     d = keyed(docs)
     base = f"{shared_dir(spark)}/pii-{uuid.uuid4().hex}"
-    with_base = d.withColumn("spans", entities(F.col("text")))
-    near = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _context(F.col("text"), x).alias("terms")))
-    with_base.select("doc_id", "k1", "k2", near.alias("spans")).write.parquet(f"{base}/found")
+    d.withColumn("spans", entities(F.col("text"))).select("doc_id", "k1", "k2", "spans", _blanked(F.col("text"), F.col("spans")).alias("clear")).write.parquet(f"{base}/found")
     found = spark.read.parquet(f"{base}/found")
-    return found.join(term_spans(d, found), ["k1", "k2"], "left").select("doc_id", "k1", "k2", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<struct<s:long,e:long>>")).alias("terms"))
+    return found.join(term_spans(found), ["k1", "k2"], "left").select("doc_id", "k1", "k2", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<struct<s:long,e:long>>")).alias("terms"))
 
 
 def _join(spans: Column) -> Column:

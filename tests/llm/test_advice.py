@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from lodestone.llm import minhash
+from lodestone.llm import minhash, pii
 
 pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string"
@@ -32,3 +32,17 @@ def test_pipeline_near_duplicates_from_80_percent(spark):
     left = corpus_pipeline.without_near_duplicates(spark, docs, "")
     assert {r.doc_id for r in left.collect()} == kept[80]
     assert {r.doc_id for r in minhash.keep_one(docs).collect()} == kept[85]
+
+
+def test_pii_terms_far_off_and_in_other_documents(spark):
+    far = "some plain words that say nothing at all " * 5
+    texts = [f"Write to joe@corp.example today. {far}The zorblatt unit Li 77x4 number {i}." for i in range(6)]
+    texts += [f"The zorblatt unit alone, {far}number {i}." for i in range(1)] + [f"The unit today. Write to number {i}, {far}as said." for i in range(220)]
+    texts += [f"The unit today. Write to u{i}@mail.example, {far}as said." for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    found = {r.doc_id: [texts[r.doc_id][x.s : x.e] for x in r.terms] for r in pii.find(docs).collect()}
+    assert [found[i] for i in range(6)] == [["zorblatt", "Li", "77x4"]] * 6
+    assert found[6] == ["zorblatt"] and not any(found[i] for i in range(7, len(texts)))
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any("zorblatt" in t or "77x4" in t or "joe" in t for t in out.values())
+    assert out[0] == f"Write to [EMAIL] today. {far}The [TERM] unit [TERM] [TERM] number 0."
