@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import pick, read
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is never text.
-SILENT = frozenset("script style noscript template iframe object svg math head title textarea select option button canvas audio video".split())
+#: Their content is never text. Of math, svg and object only the parts that are not shown are among them.
+SILENT = frozenset("script style noscript template iframe annotation annotation-xml metadata desc head title textarea select option button canvas audio video".split())
 #: Their content is not markup.
 RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCK = frozenset(
@@ -44,7 +44,10 @@ CLOSES = {
 ENDS_P = BLOCK - frozenset("body caption html legend summary tbody td tfoot th thead tr dd dt li figcaption".split()) | {"li", "dd", "dt"}
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z))", re.S)
 _HINT = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: What may hide an element, before its attributes are told apart.
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _SPACE = re.compile(r"\s+")
 #: Words of attributes that tell what an element is for.
 BAD_WORDS = "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus foot footer footnote form gdpr header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related recommended replies reply rss search share sharing shop sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget".split()
@@ -53,6 +56,16 @@ _BAD, _GOOD = frozenset(BAD_WORDS), frozenset(GOOD_WORDS)
 _WORD = re.compile(r"[a-z]+")
 
 
+def is_hidden(attrs: str) -> bool:
+    """Whether an attribute `hidden`, display:none in `style` or aria-hidden=true is among attributes; of equal names the first counts."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    found: dict[str, str] = {}
+    for name, value in _ATTR.findall(attrs):
+        found.setdefault(name.lower(), value.strip("\"'"))
+    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or _NO_DISPLAY.search(html.unescape(found.get("style", ""))) is not None
+
+
 class Node:
     __slots__ = ("attrs", "bad", "children", "depth", "good", "hidden", "name", "parent", "text")
 
@@ -63,7 +76,7 @@ class Node:
         hints = " ".join(m.strip("\"'") for m in _HINT.findall(attrs)) if attrs else ""
         w = _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", hints).lower()) if hints else ()
         self.bad, self.good = sum(x in _BAD for x in w), sum(x in _GOOD for x in w)
-        self.hidden = bool(attrs) and _HIDDEN.search(attrs) is not None
+        self.hidden = bool(attrs) and is_hidden(attrs)
 
 
 def parse(page: str | None) -> Node:

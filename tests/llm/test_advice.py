@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from lodestone.llm import minhash, pii
+from lodestone.llm import html, minhash, pii
 
 pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string"
@@ -46,3 +46,13 @@ def test_pii_terms_far_off_and_in_other_documents(spark):
     out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert not any("zorblatt" in t or "77x4" in t or "joe" in t for t in out.values())
     assert out[0] == f"Write to [EMAIL] today. {far}The [TERM] unit [TERM] [TERM] number 0."
+
+
+def test_html_only_real_hidden_attributes():
+    for a in ('class="overflow-hidden"', 'style="overflow:hidden"', 'href="/hidden-lake"', 'title="Hidden costs"', "data-x='display:none'", "class=hidden", "aria-hidden=false", 'title="a hidden b"'):
+        assert not html.is_hidden(" " + a), a
+    for a in ("hidden", 'hidden=""', "HIDDEN class=x", 'style="color:red; Display : none"', "style=display:none", "aria-hidden=true", 'aria-hidden="true"'):
+        assert html.is_hidden(" " + a), a
+    text = "Long text of the story, with words. " * 6
+    page = f"<body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><article style='overflow:hidden'><h1>Head</h1><p class='overflow-hidden'>{text}</p><p>By <a href='/hidden-lake' title='Hidden costs'>the lake</a> we let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> and <svg><title>t</title><text>axis</text></svg> of <object data=a>the chart</object>. {text}</p><p hidden>Not shown.</p><p style='display:none'>Nor this.</p></article><footer>x"
+    assert html.extract(page) == f"Head\n{text.strip()}\nBy the lake we let x=2 and axis of the chart. {text.strip()}"
