@@ -76,15 +76,18 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("ranges",
 
 
 def _hits(docs: DataFrame, block: list[tuple[object, str | None]], window: int) -> DataFrame:
+    """SCHEMA and text_key, a hash of the text, of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_BYTES, or one item
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(sent.value, window)
         for b in batches:
-            rows = [scan(t, a) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in r[1]] for r in rows], _ARROW.field("ranges").type), pa.array([r[2] for r in rows], pa.list_(pa.string()))], schema=_ARROW)
+            texts = b.column(1).to_pylist()
+            rows = [scan(t, a) for t in texts]
+            keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in r[1]] for r in rows], _ARROW.field("ranges").type), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array(keys, pa.binary())], schema=_ARROW.append(pa.field("text_key", pa.binary())))
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, f"{SCHEMA}, text_key binary")
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
@@ -105,15 +108,18 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
 
     The benchmark is the query set: it goes out in blocks of bounded size, each one automaton, and
     each document is read once a block. A null or empty text has no words and no hits; an empty
-    benchmark hits nothing; rows with equal ids stay separate rows while one block suffices, and beyond
-    that count as one document when their texts are equal too. Null item ids are named 'None'.
+    benchmark hits nothing. Each row stays a row, however many blocks there are: results of blocks are merged by
+    id and text, and rows that are equal in both, which have equal hits, are given out as often as they came. Null
+    item ids are named 'None'.
     """
     d, b = documents(docs), pick(benchmark, "item_id", "text")
     parts = [_hits(d, block, window) for block in blocks(b, block_bytes)]
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].drop("text_key")
     merged = None
     for p in parts:
+        # equal rows are one from here on, with their number
+        p = p.groupBy("doc_id", "n_words", "text_key").agg(F.first("ranges").alias("ranges"), F.first("items").alias("items"), F.count("*").alias("copies"))
         merged = p if merged is None else merged.unionByName(p)
     spans = F.array_sort(F.flatten(F.collect_list("ranges")))
     fold = F.aggregate(
@@ -123,7 +129,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
         .when(x["s"] <= F.element_at(acc, -1)["e"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(x["e"], F.element_at(acc, -1)["e"]).alias("e")))))
         .otherwise(F.concat(acc, F.array(x))),
     )
-    return merged.groupBy("doc_id", "n_words").agg(F.coalesce(fold, F.array().cast("array<struct<s:long,e:long>>")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    one = merged.groupBy("doc_id", "n_words", "text_key").agg(
+        F.coalesce(fold, F.array().cast("array<struct<s:long,e:long>>")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.first("copies").alias("copies")
+    )
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "n_words", "ranges", "items")
 
 
 def digest(found: DataFrame) -> DataFrame:

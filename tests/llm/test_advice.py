@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from lodestone.llm import html, minhash, pii
+from lodestone.llm import decontaminate, html, minhash, pii
 
 pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string"
@@ -56,3 +56,15 @@ def test_html_only_real_hidden_attributes():
     text = "Long text of the story, with words. " * 6
     page = f"<body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><article style='overflow:hidden'><h1>Head</h1><p class='overflow-hidden'>{text}</p><p>By <a href='/hidden-lake' title='Hidden costs'>the lake</a> we let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> and <svg><title>t</title><text>axis</text></svg> of <object data=a>the chart</object>. {text}</p><p hidden>Not shown.</p><p style='display:none'>Nor this.</p></article><footer>x"
     assert html.extract(page) == f"Head\n{text.strip()}\nBy the lake we let x=2 and axis of the chart. {text.strip()}"
+
+
+def test_decontaminate_blocks_keep_each_row(spark):
+    rng = random.Random(7)
+    items = [(i, " ".join(invented(rng, 10))) for i in range(6)]
+    texts = [items[0][1] + " a", items[1][1] + " a", "x y z", "u v w", items[0][1] + " " + items[5][1]]
+    rows = [(None, t) for t in texts] + [(5, t) for t in texts] * 2 + [(6, None), (6, ""), (6, None)]
+    docs, bench = spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(((i, *b) for (i, _), b in zip(rows, decontaminate.brute([t for _, t in rows], items), strict=True)), key=repr)
+    for limit in (decontaminate.BLOCK_BYTES, 900):
+        got = decontaminate.digest(decontaminate.find_benchmark(docs, bench, block_bytes=limit)).collect()
+        assert sorted(map(tuple, got), key=repr) == want
