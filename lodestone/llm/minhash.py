@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import LOWER, documents, mix, read, shared_dir, windows, words
 
-K, SHINGLE, PERCENT = 64, 5, 85
+K, SHINGLE = 64, 5
+#: Least similarity where no contract says otherwise, and that of op6.
+PERCENT, OP6_PERCENT = 80, 85
 #: Chance that a pair at the threshold itself agrees in fewer coordinates than are asked for.
 LOSS = 3e-5
 BINS, SLACK = 512, 4.2
@@ -248,7 +250,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(read(spark, sf_dir, "documents"))
+    found = near_duplicates(read(spark, sf_dir, "documents"), OP6_PERCENT)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

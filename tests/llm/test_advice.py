@@ -31,7 +31,7 @@ def test_pipeline_near_duplicates_from_80_percent(spark):
     assert len(kept[80]) < len(kept[85])
     left = corpus_pipeline.without_near_duplicates(spark, docs, "")
     assert {r.doc_id for r in left.collect()} == kept[80]
-    assert {r.doc_id for r in minhash.keep_one(docs).collect()} == kept[85]
+    assert {r.doc_id for r in minhash.keep_one(docs, minhash.OP6_PERCENT).collect()} == kept[85]
 
 
 def test_pii_terms_far_off_and_in_other_documents(spark):
