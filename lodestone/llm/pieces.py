@@ -1,17 +1,20 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-``compile_model`` reads a .model file and builds the machine: a normaliser (spaces to U+2581, a dummy one in
-front), an arc for each piece, and byte-fallback arcs for characters without a piece. An input is composed
-with it position by position, and the path of least weight in the tropical semiring gives the ids.
+``compile_model`` reads a .model file and builds the machine: the normaliser (the rules of the file's character map
+read out of its double array, white space, spaces to U+2581, a dummy one in front) as a transducer that takes the
+longest rule at each place, a trie whose final states emit pieces, and byte-fallback arcs for characters
+without a piece. An input is composed with it position by position, and the path of least weight in the
+tropical semiring (sums along a path, the minimum over paths) gives the ids.
 
 For unigram models an arc's weight is minus its score. For BPE models the machine's states are the
 last pieces: an arc from piece u to piece v weighs nothing if byte-pair merging of their joined text ends in
 u, v, and infinitely much if not. A sequence of pieces is the merged form of its text exactly if this holds for
-each neighbouring pair, so the finite path is unique and equals what merging gives. The pair test looks at
-how both pieces came about: it fails if, at some step, a merge across the border would have come first.
+each neighbouring pair, so one path at most to each position weighs less than infinity and it equals what merging
+gives. The pair test looks at how both pieces came about: it fails if, at some step, a merge across the
+border would have come first.
 
 No piece goes on with U+2581 after another character, so the path of a text is that of its words in turn,
-and those of equal words are remembered by the worker (in bounded memory).
+and those of equal words are remembered by the worker (in memory bounded in bytes).
 """
 
 from __future__ import annotations
@@ -20,16 +23,16 @@ import hashlib
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import documents, read
-from lodestone.llm.tokens import Memo
+from lodestone.llm.wordcodes import WordCodes, parts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -66,6 +69,63 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+INF = float("inf")
+
+
+class Normaliser:
+    """Rules of text to text, longest first at each place, then white space; identity without rules."""
+
+    def __init__(self, charsmap: bytes, extra_space: bool) -> None:
+        self.rules: dict[str, str] = {}
+        self.extra_space = extra_space
+        if charsmap:
+            n = struct.unpack_from("<I", charsmap)[0]
+            units, strings = np.frombuffer(charsmap, "<u4", n // 4, 4).tolist(), charsmap[4 + n :]
+            for key, value in self._entries(units):
+                self.rules[key.decode()] = strings[value : strings.index(b"\0", value)].decode()
+        self.longest = max(map(len, self.rules), default=0)
+        first = {k[0] for k in self.rules}
+        self.may = re.compile("[" + "".join(map(re.escape, sorted(first))) + "]") if first else None
+
+    @staticmethod
+    def _entries(units: list[int]) -> Iterator[tuple[bytes, int]]:
+        """Keys and values of a double-array trie: a unit holds a label, whether a value follows, and an offset."""
+
+        def offset(unit: int) -> int:
+            return (unit >> 10) << ((unit & 512) >> 6)
+
+        stack = [(offset(units[0]), b"")]
+        while stack:
+            at, key = stack.pop()
+            for label in range(1, 256):
+                to = at ^ label
+                if to >= len(units) or units[to] & 0x800000FF != label:
+                    continue
+                below = to ^ offset(units[to])
+                if units[to] >> 8 & 1:
+                    yield key + bytes([label]), units[below] & 0x7FFFFFFF
+                stack.append((below, key + bytes([label])))
+
+    @property
+    def identity(self) -> bool:
+        return not self.rules and not self.extra_space
+
+    def __call__(self, text: str) -> str:
+        if self.may is not None and self.may.search(text):
+            out, i = [], 0
+            while i < len(text):
+                for j in range(min(len(text), i + self.longest), i, -1):
+                    if (to := self.rules.get(text[i:j])) is not None:
+                        out.append(to)
+                        i = j
+                        break
+                else:
+                    out.append(text[i])
+                    i += 1
+            text = "".join(out)
+        return re.sub(" +", " ", text).strip(" ") if self.extra_space else text
+
+
 @dataclass
 class Machine:
     kind: int
@@ -76,14 +136,29 @@ class Machine:
     bytes_: list[int]
     unknown: int
     dummy: bool
-    longest: int
+    normaliser: Normaliser
     rank: list[int] = field(default_factory=list)
     left: list[int] = field(default_factory=list)
     right: list[int] = field(default_factory=list)
-    fits: dict[int, bool] = field(default_factory=dict)
+    trie: dict = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"fits": {}}
+        return self.__dict__ | {"weights": {}, "trie": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.grow()
+
+    def grow(self) -> None:
+        """The trie of all pieces: a state maps a character to (state, piece that ends there or -1)."""
+        self.trie = {}
+        for name, i in self.ids.items():
+            state = self.trie
+            for ch in name[:-1]:
+                state = state.setdefault(ch, ({}, -1))[0]
+            below = state.get(name[-1])
+            state[name[-1]] = (below[0] if below else {}, i)
 
     # --- composition and shortest path
 
@@ -91,65 +166,61 @@ class Machine:
         return [self.bytes_[b] for b in ch.encode("utf-8", "surrogatepass")] if self.bytes_ else [self.unknown]
 
     def path(self, text: str) -> list[int]:
-        """Ids on the path of least weight for normalised text."""
-        return self.merged_path(text) if self.kind == BPE else self.scored_path(text)
-
-    def scored_path(self, text: str) -> list[int]:
+        """Ids on the path of least weight for normalised text. Neighbouring characters without a piece are one unknown."""
         n = len(text)
-        best, back = [0.0] + [float("inf")] * n, [(0, -1)] * (n + 1)
-        lowest = min(self.scores) + 10.0  # the weight of a character without a piece
-        for i in range(n):
-            if best[i] == float("inf"):
-                continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                k = self.ids.get(text[i:j])
-                if k is not None and (w := best[i] - self.scores[k]) < best[j]:
-                    best[j], back[j] = w, (i, k)
-            if text[i] not in self.ids and (w := best[i] + lowest) < best[i + 1]:
-                best[i + 1], back[i + 1] = w, (i, -1)
+        best, back = [0.0] + [INF] * n, [(0, -1)] * (n + 1)
+        (self._scored if self.kind == UNIGRAM else self._merged)(text, best, back)
         out: list[int] = []
         while n:
             i, k = back[n]
-            out += [k] if k >= 0 else self.fallback(text[i:n])[::-1]
+            if k >= 0:
+                out.append(k)
+            elif self.bytes_ or not out or out[-1] != self.unknown:
+                out += self.fallback(text[i:n])[::-1]
             n = i
         return out[::-1]
 
-    def merged_path(self, text: str) -> list[int]:
-        out: list[int] = []
-        start, ids = 0, self.ids
-        for i, ch in enumerate(text):
-            if ch not in ids:  # nothing merges with it: a border
-                out += self._border_free(text[start:i])
-                out += self.fallback(ch)
-                start = i + 1
-        return out + self._border_free(text[start:])
-
-    def _border_free(self, text: str) -> list[int]:
-        n, ids, fits = len(text), self.ids, self.fits
-        last = [-1] * (n + 1)  # the last piece of the path to each position
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                v = ids.get(text[j:i])
-                if v is None:
-                    continue
-                if j == 0:
-                    last[i] = v
+    def _scored(self, text: str, best: list[float], back: list[tuple[int, int]]) -> None:
+        n, scores = len(text), self.scores
+        lowest = 10.0 - min(scores[k] for k in self.ids.values())  # the weight of a character without a piece
+        for i in range(n):
+            here, state = best[i], self.trie
+            for j in range(i, n):
+                found = state.get(text[j])
+                if found is None:
                     break
-                u = last[j]
-                key = u * 1_000_003 + v
-                ok = fits.get(key)
-                if ok is None:
-                    if len(fits) > 1_000_000:
-                        fits.clear()
-                    ok = fits[key] = self.pair(u, v)
-                if ok:
-                    last[i] = v
+                state, k = found
+                if k >= 0 and (w := here - scores[k]) < best[j + 1]:
+                    best[j + 1], back[j + 1] = w, (i, k)
+            if text[i] not in self.ids and (w := here + lowest) < best[i + 1]:
+                best[i + 1], back[i + 1] = w, (i, -1)
+
+    def _merged(self, text: str, best: list[float], back: list[tuple[int, int]]) -> None:
+        n, size, weights, trie = len(text), len(self.names), self.weights, self.trie
+        if len(weights) > 400_000:
+            weights.clear()
+        for i in range(n):
+            here = best[i]
+            if here == INF:
+                continue
+            u, state = back[i][1], trie
+            for j in range(i, n):
+                found = state.get(text[j])
+                if found is None:
                     break
-        out: list[int] = []
-        while n:
-            out.append(last[n])
-            n -= len(self.names[last[n]])
-        return out[::-1]
+                state, v = found
+                if v >= 0:
+                    if u < 0:  # a border: the start, or a character that nothing merges with
+                        w = here
+                    else:
+                        w = weights.get(u * size + v)
+                        if w is None:
+                            w = weights[u * size + v] = 0.0 if self.pair(u, v) else INF
+                        w += here
+                    if w < best[j + 1]:
+                        best[j + 1], back[j + 1] = w, (i, v)
+            if text[i] not in trie or trie[text[i]][1] < 0:
+                best[i + 1], back[i + 1] = here, (i, -1)
 
     def pair(self, u: int, v: int) -> bool:
         """Whether merging the text of u and v ends in u, v.
@@ -181,9 +252,12 @@ class Machine:
 
 def compile_model(path: str) -> Machine:
     with open(path, "rb") as f:
-        data = f.read()
+        return compile_proto(f.read())
+
+
+def compile_proto(data: bytes) -> Machine:
     names, types, scores = [], [], []
-    kind, dummy, byte_fallback = UNIGRAM, True, False
+    kind, dummy, byte_fallback, normaliser = UNIGRAM, True, False, Normaliser(b"", True)
     for k, v in _fields(data):
         if k == 1:
             piece = dict(_fields(v))
@@ -196,19 +270,25 @@ def compile_model(path: str) -> Machine:
         elif k == 3:
             spec = dict(_fields(v))
             dummy = bool(spec.get(3, 1))
-            if spec.get(2) or spec.get(4, 1) or not spec.get(5, 1):
-                raise ValueError("only models with the identity normaliser, kept white space and escaped spaces are compiled")
+            if not spec.get(5, 1):
+                raise ValueError("only models that escape spaces are compiled")
+            normaliser = Normaliser(spec.get(2, b""), bool(spec.get(4, 1)))
     if kind not in (UNIGRAM, BPE):
         raise ValueError("only unigram and BPE models are compiled")
-    ids = {n: i for i, (n, t) in enumerate(zip(names, types, strict=True)) if t in (NORMAL, USER)}
+    if USER in types:
+        raise ValueError("models with user-defined pieces are not compiled")
+    ids = {n: i for i, (n, t) in enumerate(zip(names, types, strict=True)) if t == NORMAL}
     if any(MARK in n.lstrip(MARK) for n in ids):
         raise ValueError("a piece spans words")
     byte_ids = [i for i, t in enumerate(types) if t == BYTE] if byte_fallback else []
     if byte_ids and [names[i] for i in byte_ids] != [f"<0x{b:02X}>" for b in range(256)]:
         raise ValueError("byte pieces are out of order")
-    m = Machine(kind, names, types, scores, ids, byte_ids, types.index(UNKNOWN) if UNKNOWN in types else 0, dummy, max(map(len, ids), default=1))
+    if not byte_ids and MARK not in ids:
+        raise ValueError("without byte pieces U+2581 must be a piece")
+    m = Machine(kind, names, types, scores, ids, byte_ids, types.index(UNKNOWN) if UNKNOWN in types else 0, dummy, normaliser)
     if kind == BPE:
         _history(m)
+    m.grow()
     return m
 
 
@@ -244,9 +324,14 @@ _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Coder:
-    def __init__(self, machine: Machine, most: int = 500_000) -> None:
-        self.m, self.memo = machine, Memo(most)
-        self.out = [self._bytes(i) for i in range(len(machine.names))]
+    """Keys of words: a word alone stands for U+2581 and it, a key with a space in front for what follows the space."""
+
+    def __init__(self, machine: Machine, most: int = 96 << 20) -> None:
+        self.m, self.words = machine, WordCodes(self.learn, most)
+        out = [self._bytes(i) for i in range(len(machine.names))]
+        self.out = np.frombuffer(b"".join(out), np.uint8)
+        self.out_size = np.array(list(map(len, out)), np.int64)
+        self.out_start = np.cumsum(self.out_size) - self.out_size
 
     def _bytes(self, i: int) -> bytes:
         kind = self.m.types[i]
@@ -258,31 +343,67 @@ class Coder:
             return " ⁇ ".encode()
         return self.m.names[i].replace(MARK, " ").encode()
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers; an empty text has none."""
-        cut = []
-        for t in texts:
-            if t:
-                t = t.replace(" ", MARK)
-                cut.append(_SEGMENT.findall(MARK + t if self.m.dummy else t))
-            else:
-                cut.append([])
-        for s in self.memo.missing({s for c in cut for s in c if len(s) < 200}):
-            self.memo.new[s] = array("i", self.m.path(s)).tobytes()
-        known, out = self.memo.new, []
-        for c in cut:
-            try:
-                out.append(b"".join(map(known.__getitem__, c)))
-            except KeyError:  # long words are not remembered
-                out.append(b"".join([known[s] if s in known else array("i", self.m.path(s)).tobytes() for s in c]))
-        return out
+    def learn(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.m.path(k[1:] if k[:1] == " " else MARK + k) for k in keys]
+        return np.array([i for x in found for i in x], np.int32), np.array(list(map(len, found)), np.int64)
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (int32) of all texts in turn, and how many each has; an empty text has none. No text may be null."""
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if not self.m.normaliser.identity:
+            texts = pa.array(list(map(self.m.normaliser, texts.to_pylist())), texts.type)
+        texts = pc.replace_substring(texts, MARK, " ")
+        odd = pc.match_substring_regex(texts, "  |^ | $|^$").to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._simple(texts)
+        ids, counts = self._simple(texts.filter(pa.array(~odd)))
+        total = np.zeros(len(texts), np.int64)
+        total[~odd] = counts
+        keys = [self._segments(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        more, each = self.words.of(pa.array([k for x in keys for k in x], texts.type))
+        ends = np.cumsum([0, *map(len, keys)])
+        sums = np.concatenate([[0], np.cumsum(each)])
+        total[odd] = sums[ends[1:]] - sums[ends[:-1]]
+        out = np.zeros(total.sum(), np.int32)
+        of_odd = np.repeat(odd, total)
+        out[of_odd], out[~of_odd] = more, ids
+        return out, total
+
+    def _simple(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts that are words with one space between them."""
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        cut = pc.split_pattern(texts, " ")
+        ends = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        words = cut.flatten()
+        if not self.m.dummy:
+            first = np.zeros(ends[-1], bool)
+            first[ends[:-1]] = True
+            words = pc.replace_with_mask(words, pa.array(first), pc.binary_join_element_wise("", words.filter(pa.array(first)), " "))
+        ids, counts = self.words.of(words)
+        return ids, np.add.reduceat(counts, ends[:-1])
+
+    def _segments(self, text: str) -> list[str]:
+        if not text:
+            return []
+        marked = text.replace(" ", MARK)
+        return [s[1:] if s[0] == MARK and s[1:2] not in ("", MARK) else " " + s for s in _SEGMENT.findall(MARK + marked if self.m.dummy else marked)]
+
+    def decode_bytes(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of each text; the dummy space goes."""
+        size = self.out_size[ids]
+        ends = np.cumsum(size)
+        place = np.repeat(self.out_start[ids] - (ends - size), size)
+        place += np.arange(len(place))
+        raw = self.out[place].tobytes()
+        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        dummy = self.m.dummy
+        return [raw[a + 1 : z] if dummy and raw[a : a + 1] == b" " and z > a else raw[a:z] for a, z in zip(stops[:-1], stops[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> str:
-        """The text; the dummy space goes, bytes that are no UTF-8 become U+FFFD."""
-        raw = b"".join(map(self.out.__getitem__, ids))
-        if self.m.dummy and raw[:1] == b" ":
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        """The text; bytes that are no UTF-8 become U+FFFD."""
+        return self.decode_bytes(np.array(ids, np.int64), np.array([len(ids)]))[0].decode("utf-8", "replace")
 
 
 _LAST: list = [None, None]
@@ -294,6 +415,10 @@ def coder_of(machine: Machine, key: str) -> Coder:
     return _LAST[1]
 
 
+def _list(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids, pa.int32()))
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (array<int>) of each row. Null and empty texts have no ids; rows keep null and equal ids."""
     sent = docs.sparkSession.sparkContext.broadcast(compile_model(model))  # the size of the vocabulary
@@ -301,12 +426,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value, model)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                c = b.slice(i, 256)
-                raw = coder.encode_many(c.column(1).to_pylist())
-                ends = np.cumsum([0] + [len(r) // 4 for r in raw]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                yield pa.RecordBatch.from_arrays([c.column(0), ids], names=["doc_id", "ids"])
+            for first, texts in parts(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), _list(*coder.encode_array(texts))], names=["doc_id", "ids"])
 
     return documents(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -318,34 +439,42 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value, model)
         for b in batches:
-            text = [None if x is None else coder.decode(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
+            for i in range(0, b.num_rows, 1024):
+                c = b.slice(i, 1024)
+                text = [None if x is None else coder.decode(x) for x in c.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_ids, n_bytes (ids of byte fallback), ids_crc32, decoded_sha256, exact: the ids are decoded again and held against the text.
+_TRIP_SQL = "doc_id long, n_ids long, n_bytes long, ids_crc32 long, decoded_sha256 string, exact boolean, ids array<int>"
+
+
+def round_trip(docs: DataFrame, model: str, texts_too: bool = False) -> DataFrame:
+    """doc_id, n_ids, n_bytes (ids of byte fallback), ids_crc32, decoded_sha256, exact, ids: the ids are decoded again and held against the text.
 
-    `exact` is false where the text holds U+2581 itself, which reads back as a space.
+    `exact` is false where the text holds U+2581 itself, which reads back as a space, or what the model's normaliser
+    changes. With texts_too the text comes after them. Null and empty texts have no ids, and a null text is empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(compile_model(model))
+    schema = _TRIP_SQL + (", text string" if texts_too else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value, model)
         lo, hi = (min(coder.m.bytes_), max(coder.m.bytes_)) if coder.m.bytes_ else (1, 0)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                c = b.slice(i, 256)
-                texts, rows = c.column(1).to_pylist(), []
-                for t, raw in zip(texts, coder.encode_many(texts), strict=True):
-                    ids = np.frombuffer(raw, "<i4")
-                    back = coder.decode(ids.tolist())
-                    rows.append((len(ids), int(((ids >= lo) & (ids <= hi)).sum()), zlib.crc32(raw), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([c.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n_ids", "n_bytes", "ids_crc32", "decoded_sha256", "exact"])
-
-    return documents(docs).mapInArrow(run, "doc_id long, n_ids long, n_bytes long, ids_crc32 long, decoded_sha256 string, exact boolean")
+            for first, texts in parts(b.column(1)):
+                ids, counts = coder.encode_array(texts)
+                ends = np.cumsum(counts)
+                raw, of_bytes = memoryview(ids.astype("<i4").tobytes()), np.concatenate([[0], np.cumsum((ids >= lo) & (ids <= hi))])
+                back = coder.decode_bytes(ids, counts)
+                crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+                sha = [hashlib.sha256(x).hexdigest() for x in back]
+                exact = [x == t for x, t in zip(back, texts.cast(pa.binary()).to_pylist(), strict=True)]
+                columns = [b.column(0).slice(first, len(texts)), pa.array(counts), pa.array(of_bytes[ends] - of_bytes[ends - counts]), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(exact, pa.bool_()), _list(ids, counts)]
+                yield pa.RecordBatch.from_arrays([*columns, *[texts] * texts_too], names=[x.split()[0] for x in schema.split(", ")])
+
+    return documents(docs).mapInArrow(run, schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

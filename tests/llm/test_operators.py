@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import decontaminate, html, jpeg, language, minhash, pieces, pii, quality, substrings, tokens
@@ -76,50 +77,150 @@ def test_pii_terms_and_masking(spark):
 def test_tokens(spark):
     path = P.path("byte_bpe_50k.json")
     rng = random.Random(2)
-    enc = tokens.Encoder(path, most=50)
-    odd = [" ", "  ", "\n", "a", "don't", "'s", "é", " ", " ", "!", "12", "<|endoftext|>", " \n", " x", "\x1c", "x" * 300]
+    enc = tokens.Encoder(path, most=20_000)
+    assert enc.apart
+    odd = [" ", "  ", "\n", "a", "don't", "'s", "é", "ÿ", " ", " ", "!", "12", "<|endoftext|>", " \n", " x", "\x1c", "x" * 300, "\n\n", "–", "….", "©.", "\xa0", "\u3000", "ª", "\t", "\r\n", "A1b2", "中文", ". ", ".\n"]
     for _ in range(1500):
-        t = "".join(rng.choice(odd) for _ in range(rng.randint(0, 9)))
-        assert enc.encode(t) == enc.plain(t), repr(t)
-    texts = ODD + [" ".join(rng.choice(vocabulary(rng, 40)) for _ in range(3000))] * 2
+        ts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 9))) for _ in range(3)]
+        ids, counts = enc.encode_array(pa.array(ts, pa.string()))
+        for t, got in zip(ts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert got.astype("<u4").tobytes() == enc.plain(t), repr(t)
+    texts = ODD + [" ".join(rng.choice(vocabulary(rng, 40)) for _ in range(3000))] * 2 + [" ".join(str(rng.random()) for _ in range(6000))]
     store = f"{shared_dir(spark)}/tokens-test"
-    tokens.write_store(frame(spark, texts), path, store)
-    got = sorted(tokens.read_store(spark, store).collect())
-    at, want = 0, []
-    for i, t in sorted([*enumerate(texts), (0, texts[0]), (10_000, "")]):
-        ids = np.frombuffer(enc.plain(t), "<u4").tolist() + [0]
+    none_id = spark.createDataFrame([(None, "of nobody"), (None, None)], "doc_id long, text string")
+    docs = pick(frame(spark, texts), "doc_id", "text").unionByName(none_id)
+    tokens.write_store(docs, path, store)
+    got = tokens.read_store(spark, store).collect()
+    at, want, all_ids = 0, [], []
+    rows = sorted([*enumerate(texts), (0, texts[0]), (10_000, "")])
+    both = [("of nobody", ""), ("", "of nobody")]  # rows of one id are in any order
+    first = next(r.n_tokens for r in got if r.doc_id is None and r.start == 0)
+    for i, t in [(None, x) for x in both[first == 1]] + rows:
+        ids = [*np.frombuffer(enc.plain(t), "<u4").tolist(), 0]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        all_ids.append((i, ids))
         at += len(ids)
-    assert [tuple(r) for r in got] == want
-    chunks = spark.read.parquet(f"{store}/chunks").where("data is not null")
-    assert chunks.count() == chunks.select("hash").distinct().count() > 5
-    assert tokens.decode_store(spark, store, [7])[7].tolist() == [*np.frombuffer(enc.plain(texts[7]), "<u4").tolist(), 0]
-    assert tokens.crc_join([(zlib.crc32(b"ab"), 2), (zlib.crc32(b""), 0), (zlib.crc32(b"cde"), 3)]) == zlib.crc32(b"abcde")
+    assert by_id(got) == by_id(want)
+    chunks = spark.read.parquet(f"{store}/objects").where("kind = 'chunk'")
+    assert chunks.count() == chunks.select("key").distinct().count() > 5
+    whole = dict(all_ids)
+    back = tokens.decode_store(spark, store, [7, len(texts) - 1])
+    assert all(back[i].tolist() == whole[i] for i in back) and len(back) == 2
     tokens.write_store(empty(spark), path, store + "-empty")
     assert tokens.read_store(spark, store + "-empty").count() == 0
 
 
+def test_tokens_cuts_and_crc():
+    rng = np.random.default_rng(2)
+    streams = [rng.integers(0, 50_000, n).astype("<u4") for n in (1, 15, 16, 17, 63, 700, 20_000)] + [np.zeros(9_000, "<u4"), rng.integers(0, 50_000, 700).astype("<u4")]
+    ends = np.cumsum([len(s) for s in streams])
+    joined = [[e - z + len(s) for e in c] for s, z, c in zip(streams, ends, tokens.cuts(np.concatenate(streams), ends), strict=True)]
+    alone = [next(tokens.cuts(s, np.array([len(s)]))) for s in streams]
+    assert joined == alone and all(c[-1] == len(s) for c, s in zip(alone, streams, strict=True))
+    assert all(tokens.MIN_IDS <= z - a <= tokens.MAX_IDS for c in alone for a, z in zip([0, *c[:-2]], c[:-1], strict=False))
+    lists = [[b"ab", b"", b"cde"], [b"x"], [bytes([i % 256]) * (i % 9) for i in range(200)], [b""]]
+    flat, ends = [x for y in lists for x in y], np.cumsum([len(x) for x in lists])
+    got = tokens.crc_join_many(np.array([zlib.crc32(x) for x in flat], np.uint64), np.array([len(x) for x in flat]), ends)
+    assert got.tolist() == [zlib.crc32(b"".join(x)) for x in lists] == [tokens.crc_join([(zlib.crc32(p), len(p)) for p in x]) for x in lists]
+
+
+def test_tokens_store_verifies(spark):
+    import shutil
+
+    path, store = P.path("byte_bpe_50k.json"), f"{shared_dir(spark)}/tokens-broken"
+    tokens.write_store(frame(spark, [f"some words and number {i} of them" for i in range(40)]), path, store)
+
+    def broken(folder, change):
+        shutil.copytree(store, f"{store}-{change.__name__}")
+        at = f"{store}-{change.__name__}/{folder}"
+        rows = spark.createDataFrame(change(spark.read.parquet(at).collect()), spark.read.parquet(at).schema)
+        rows.write.mode("overwrite").parquet(at + "-new")
+        shutil.rmtree(at)
+        shutil.move(at + "-new", at)
+        with pytest.raises(Exception, match="match|not there"):
+            tokens.read_store(spark, f"{store}-{change.__name__}").collect()
+
+    def other_manifest_root(rows):
+        return [r.asDict() | {"root": b"0" * 16} for r in rows]
+
+    def recipe_gone(rows):
+        return rows[1:]
+
+    def other_data(rows):
+        return [r.asDict() | {"data": rows[0].data} for r in rows]
+
+    def chunk_gone(rows):
+        return rows[1:]
+
+    broken("manifest", other_manifest_root)
+    broken("recipes", recipe_gone)
+    broken("objects/kind=chunk", other_data)
+    broken("objects/kind=chunk", chunk_gone)
+
+
 # 3
+def ids_of(coder, texts):
+    ids, counts = coder.encode_array(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
 def test_pieces(spark):
     import sentencepiece
 
     path = P.path("piece_bpe_32k.model")
-    sp, coder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Coder(pieces.compile_model(path), most=100)
+    sp, coder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Coder(pieces.compile_model(path), most=20_000)
     rng = random.Random(3)
-    odd = [*"abehlotnri ", "  ", "\n", "the", "ing", "▁", "é", "😀", "ﬁ", "中", "aaaa", "é", "\t", "1"]
-    for _ in range(4000):
-        t = "".join(rng.choice(odd) for _ in range(rng.randint(0, 14)))
-        ids = np.frombuffer(coder.encode_many([t])[0], "<i4").tolist()
-        assert ids == sp.encode(t), repr(t)
-        assert coder.decode(ids) == sp.decode(ids)
-    got = by_id((r.doc_id, r.n_ids, r.exact) for r in pieces.round_trip(frame(spark, ODD), path).collect())
-    want = [(i, len(sp.encode(t)), True) for i, t in enumerate(ODD)]
-    assert got == by_id([*want, want[0], (10_000, 0, True)])
+    odd = [*"abehlotnri ", "  ", "\n", "the", "ing", "▁", "é", "😀", "ﬁ", "中", "aaaa", "é", "\t", "1"]
+    for _ in range(1500):
+        ts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 14))) for _ in range(3)]
+        for t, ids in zip(ts, ids_of(coder, ts), strict=True):
+            assert ids == sp.encode(t), repr(t)
+            assert coder.decode(ids) == sp.decode(ids)
+    long = ["x" * 3000, "ab" * 2000 + " " + "ing" * 1000, " ".join(rng.choice(vocabulary(rng)) for _ in range(30_000))]
+    assert ids_of(coder, long) == [sp.encode(t) for t in long]
+    docs = pick(frame(spark, ODD), "doc_id", "text").unionByName(spark.createDataFrame([(None, "a  b"), (None, None)], "doc_id long, text string"))
+    got = by_id((r.doc_id, r.n_ids, r.ids, r.exact) for r in pieces.round_trip(docs, path).collect())
+    want = [(i, len(sp.encode(t)), sp.encode(t), True) for i, t in [*enumerate(ODD), (0, ODD[0]), (10_000, ""), (None, "a  b"), (None, "")]]
+    assert got == by_id(want)
     back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(frame(spark, ODD), path), path).collect()}
     assert [back[i] for i in range(len(ODD))] == ODD
+    assert not pieces.round_trip(spark.createDataFrame([(1, "a▁b")], "doc_id long, text string"), path).first().exact
     assert pieces.round_trip(empty(spark), path).count() == 0
 
 
+def proto(number, value):
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    return varint(number << 3 | 2) + varint(len(value)) + value if isinstance(value, bytes) else varint(number << 3) + varint(value)
+
+
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("with_bytes", [True, False])
+def test_pieces_unigram_and_normaliser(rule, with_bytes):
+    """A made-up vocabulary with made-up scores, under the library's normalisers."""
+    import struct
+
+    import sentencepiece
+
+    rng = random.Random(4)
+    names = ["▁", *"abcdeﬁxé1", "▁a", "▁the", "the", "▁ab", "ab", "abc", "bc", "cd", "▁cde", "fi", "▁fi", "aa", "aaa", "▁▁"]
+    piece = lambda name, score, kind: proto(1, proto(1, name.encode()) + b"\x15" + struct.pack("<f", score) + proto(3, kind))
+    data = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3)
+    if with_bytes:
+        data += b"".join(piece(f"<0x{i:02X}>", 0, 6) for i in range(256))
+    data += b"".join(piece(n, -rng.uniform(1, 9), 1) for n in names)
+    spec = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec()
+    trainer = proto(3, 1) + (proto(35, 1) if with_bytes else b"")
+    m = pieces.compile_proto(data + proto(2, trainer) + proto(3, spec))
+    sp, coder = sentencepiece.SentencePieceProcessor(model_proto=data + proto(2, trainer) + proto(3, spec)), pieces.Coder(m)
+    odd = [*"abcdex1 ", " ", "  ", "é", "é", "ﬁ", "Ａ", "ｱﾞ", "²", "\u3000", "\t", "the", "中", "中中", "Ⅷ", "½"]
+    ts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    for t, ids in zip(ts, ids_of(coder, ts), strict=True):
+        assert ids == sp.encode(t), repr(t)
+    assert m.normaliser.rules or rule == "identity"
+
+
 # 4
 def test_jpeg(spark):
     rng = np.random.default_rng(4)
