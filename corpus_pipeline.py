@@ -34,10 +34,10 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, decoded again as a check."""
+    """Ids of each text, decoded again as a check, with the text: what training reads."""
     import public_tokenizers
 
-    return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), texts_too=True)
 
 
 STAGES = [
