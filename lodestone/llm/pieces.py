@@ -326,7 +326,7 @@ _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 class Coder:
     """Keys of words: a word alone stands for U+2581 and it, a key with a space in front for what follows the space."""
 
-    def __init__(self, machine: Machine, most: int = 96 << 20) -> None:
+    def __init__(self, machine: Machine, most: int = 24 << 20) -> None:
         self.m, self.words = machine, WordCodes(self.learn, most)
         out = [self._bytes(i) for i in range(len(machine.names))]
         self.out = np.frombuffer(b"".join(out), np.uint8)

@@ -71,7 +71,7 @@ class Encoder:
     the encoder is made, and where one does, all pieces take the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 96 << 20) -> None:
+    def __init__(self, path: str, most: int = 24 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -186,7 +186,7 @@ def cuts(ids: np.ndarray, ends: np.ndarray) -> Iterator[list[int]]:
     A chunk ends where a rolling hash of ROLL ids of its stream says so, MIN_IDS to MAX_IDS after the one before; the
     last one ends with the stream. A stream's cuts depend on its ids alone.
     """
-    found = np.flatnonzero((windows(mix(ids.astype(np.uint64)), ROLL) & np.uint64(MASK)) == 0) + ROLL
+    found = np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero((windows(mix(ids[i : i + _ROLLED + ROLL - 1].astype(np.uint64)), ROLL) & np.uint64(MASK)) == 0) + (i + ROLL) for i in range(0, len(ids), _ROLLED))])
     begin = np.concatenate([[0], ends[:-1]])
     lo, hi = np.searchsorted(found, begin + ROLL), np.searchsorted(found, ends)  # a cut at the very end is the end's own
     found = found.tolist()
@@ -205,6 +205,10 @@ def cuts(ids: np.ndarray, ends: np.ndarray) -> Iterator[list[int]]:
         yield out
 
 
+#: Places that are hashed at once.
+_ROLLED = 1 << 16
+
+
 def chunk_hash(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
