@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +74,53 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a batch that goes to a Python worker, unless the session says another number than Spark's default.
+BATCH_BYTES = 8 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker and its JVM side hold at once, whatever the texts' lengths: 10,000 rows of long texts would be up to 64 MB on both sides."""
+    try:
+        if spark.conf.get(_SETTING) in ("67108864b", "64MB", "64m"):
+            spark.conf.set(_SETTING, str(BATCH_BYTES))
+    except Exception as e:  # a Spark without the setting
+        if "SQL_CONF_NOT_FOUND" not in str(e):
+            raise
+
+
+def release() -> None:
+    """Gives memory that is free back to the system, as workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Of a function over batches: what it has taken goes back at its end."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+_TRIM = _trim()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, map_whole, pick, read
+from lodestone.llm.common import documents, map_whole, pick, read, released
 
 #: Lower case for A-Z, a space for what [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ leaves out (after lowering); other bytes stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -79,6 +79,7 @@ def _hits(docs: DataFrame, block: list[tuple[object, str | None]], window: int)
     """SCHEMA and text_key, a hash of the text, of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_BYTES, or one item
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(sent.value, window)
         for b in batches:
@@ -148,6 +149,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10)
     for block in blocks(pick(benchmark, "item_id", "text")):
         sent = d.sparkSession.sparkContext.broadcast(block)
 
+        @released
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             a = automaton(sent.value, window)
             for b in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import pick, read
+from lodestone.llm.common import pick, read, released
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is never text. Of math, svg and object only the parts that are not shown are among them.
@@ -484,6 +484,7 @@ def main_text(pages: DataFrame, forest: Forest | None = None) -> DataFrame:
     """page_id, url, text of each row; null ids and urls stay null, null and empty pages have an empty text. Equal and repeated rows are handled one by one."""
     sent = pages.sparkSession.sparkContext.broadcast(forest or default_forest())  # trees of fixed number and depth
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = sent.value
         for b in batches:

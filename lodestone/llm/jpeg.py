@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, read
+from lodestone.llm.common import documents, read, released
 
 #: Row-major position of the k-th coefficient in zigzag order.
 ZIGZAG = np.array([r * 8 + (s - r) for s in range(15) for r in (range(min(s, 7), max(0, s - 7) - 1, -1) if s % 2 == 0 else range(max(0, s - 7), min(s, 7) + 1))])
@@ -500,6 +500,7 @@ def feature(tensors: list[np.ndarray]) -> str:
 def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text's UTF-8 bytes, zeros up to a positive multiple of 64, as progressive JPEG. A null text is empty."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, STRIP):
@@ -516,6 +517,7 @@ _OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 def describe(media: DataFrame) -> DataFrame:
     """Reads the stored bytes back: digests of payload and media, and a feature of the RGB tensors."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -533,6 +535,7 @@ def describe(media: DataFrame) -> DataFrame:
 def tensors(media: DataFrame) -> DataFrame:
     """doc_id, image, height, width, rgb (raw bytes, row-major, 3 channels) for each stored image."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, m in zip(b.column(0), b.column(1), strict=True):

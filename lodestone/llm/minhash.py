@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, documents, mix, read, shared_dir, windows, words
+from lodestone.llm.common import LOWER, documents, mix, read, released, shared_dir, windows, words
 
 K, SHINGLE = 64, 5
 #: Least similarity where no contract says otherwise, and that of op6.
@@ -77,6 +77,7 @@ def bins(s: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+@released
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 512):
@@ -94,6 +95,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _similar(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of a, b, text_a, text_b: the pairs with a similarity of at least percent, on full sets."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for b in batches:

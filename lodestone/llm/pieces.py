@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import documents, read
+from lodestone.llm.common import documents, read, released
 from lodestone.llm.wordcodes import WordCodes, parts
 
 MARK = "▁"
@@ -423,6 +423,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (array<int>) of each row. Null and empty texts have no ids; rows keep null and equal ids."""
     sent = docs.sparkSession.sparkContext.broadcast(compile_model(model))  # the size of the vocabulary
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value, model)
         for b in batches:
@@ -436,6 +437,7 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
     """doc_id, ids and text of each row of doc_id, ids; null ids give a null text."""
     sent = coded.sparkSession.sparkContext.broadcast(compile_model(model))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value, model)
         for b in batches:
@@ -459,6 +461,7 @@ def round_trip(docs: DataFrame, model: str, texts_too: bool = False) -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(compile_model(model))
     schema = _TRIP_SQL + (", text string" if texts_too else "")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value, model)
         lo, hi = (min(coder.m.bytes_), max(coder.m.bytes_)) if coder.m.bytes_ else (1, 0)

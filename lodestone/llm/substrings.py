@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, read, windows, words
+from lodestone.llm.common import documents, read, released, windows, words
 
 WINDOW, BLOCK = 35, 18
 #: Bytes of text that are worked off together.
@@ -168,6 +168,7 @@ def _repeats(entries: DataFrame, wide: bool) -> DataFrame:
 
 
 def _anchors(buckets: int, block: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _parts(batches, 2):
             found = []
@@ -181,6 +182,7 @@ def _anchors(buckets: int, block: int):
 
 
 def _extend(buckets: int, window: int, block: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _parts(batches, 2):
             found = []
@@ -238,6 +240,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> D
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: the words outside repeated windows, joined by one space."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, mix, read, shared_dir, windows
+from lodestone.llm.common import documents, mix, read, released, shared_dir, windows
 from lodestone.llm.wordcodes import WordCodes, parts
 
 END_ID = 0
@@ -238,6 +238,7 @@ _OBJECT_SQL = "kind string, key binary, n long, data binary, doc_id long, rid lo
 def _objects(path: str, end_id: int):
     """Rows of new chunks, and a recipe for each document."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, z, sent = encoder(path), zstandard.ZstdCompressor(1), set()
         for b in batches:
@@ -280,6 +281,7 @@ def _objects(path: str, end_id: int):
 _RECIPE_SQL = "part int, pos long, doc_id long, start long, n_tokens long, hashes array<binary>, root binary"
 
 
+@released
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one sorted partition: part, pos, doc_id, start within the part, n_tokens, hashes, root."""
     from pyspark import TaskContext
@@ -301,6 +303,7 @@ def _part_roots(recipes: DataFrame) -> DataFrame:
         roots = F.transform(F.array_sort(F.collect_list(F.struct("pos", "root"))), lambda x: x["root"])
         whole = d.groupBy(*keys).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), roots.alias("roots"))
 
+        @released
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([_root(x) for x in b.columns[-1].to_pylist()], pa.binary())], names=[*b.schema.names[:-1], "root"])
@@ -380,6 +383,7 @@ def crc_join_many(crcs: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+@released
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdDecompressor()
     for b in batches:
@@ -396,6 +400,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LINE_SQL = "part int, pos long, doc_id long, start long, seq int, hash binary"
 
 
+@released
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk of recipes (part, pos, doc_id, start, hashes, root), which are held against their roots."""
     for b in batches:
@@ -409,6 +414,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(c.take(row) for c in b.columns[:4]), pa.array(seq, pa.int32()), b.column(4).flatten()], names=[x.split()[0] for x in _LINE_SQL.split(", ")])
 
 
+@released
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         chunks = b.column(3)

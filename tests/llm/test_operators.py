@@ -266,6 +266,25 @@ def test_quality(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, s in got.items() if s >= 0.3}
     none = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert none is None and quality.score(empty(spark), none).count() == 0
+    one = quality.train(docs, spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int"))
+    assert one is None and {r.quality_score for r in quality.score(docs, one).select("quality_score").collect()} == {0.5}
+    twice = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1), (1, None), (2, 7), (77_777, 0)], "doc_id long, quality int"))
+    again = quality.train(docs.repartition(5), twice)
+    assert np.array_equal(again.vectors, model.vectors) and np.allclose(again.w1, model.w1)
+    odd = {r.doc_id: r[-1] for r in quality.score(frame(spark, ODD), model).select("doc_id", "quality_score").collect()}
+    assert odd[0] == odd[1] == odd[4] == odd[10_000]  # null, empty and blank texts have no tokens
+
+
+def test_quality_neighbours():
+    rng = np.random.default_rng(5)
+    parts = [tuple(rng.integers(0, 40, n) for _ in range(3)) for n in (0, 1, 2, 3, 50, 5, 40_000, 70_000)] + [tuple(rng.integers(0, 40, 3) for _ in range(3))] * 300
+    index, want = quality.index_vectors().astype(np.int64), np.zeros((quality.BUCKETS, quality.DIM), np.int64)
+    for p in parts:
+        for row in p[:2]:
+            for k in (1, 2):
+                np.add.at(want, row[:-k], index[row[k:]])
+                np.add.at(want, row[k:], index[row[:-k]])
+    assert (quality.neighbour_sums(parts) == want).all()
 
 
 # 6
@@ -374,7 +393,25 @@ def test_language(spark):
     assert np.mean([got[i].lang_pred == lang for i, _, lang in held]) > 0.97
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (500, 501, 502))
     assert language.identify(d, {}).where("lang_pred <> 'und'").count() == 0
-
+    few = language.sample(d.select("lang", "text"), docs=10**9, lexicon=5)
+    count = Counter(w for t in {t for _, t, lang in docs if lang == "aa"} for w in t.split())
+    assert few["aa"].split() == [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:5]]
+
+    clash = frame(spark, [docs[0][1], docs[1][1], "12", "\u0301", " ".join(docs[0][1] for _ in range(3000))]).union(spark.createDataFrame([(None, docs[0][1], "o", "xx", 1, "c")], DOCS))
+    odd = language.identify(clash, samples).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.lang_pred) for r in odd if r.doc_id is not None) == [(False, 0, "aa"), (False, 0, "aa"), (False, 1, "bb"), (False, 2, "und"), (False, 3, "und"), (False, 4, "aa"), (False, 10_000, "und")]
+    assert language.identify(empty(spark), samples).count() == 0 and language.sample(empty(spark).select("lang", "text")) == {}
+    tied = language.Parser({"b": " ab ", "a": " ab "}).predict(pa.array(["ab", None]))
+    assert tied[0] == ["a", "und"] and tied[1].tolist() == [0.5, 0.0]
+
+    def brute(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        rate = {k: sum(greedy(t, f" {w} ") for w in words) * np.log2(len(t)) / sum(map(len, words)) for k, t in samples.items()}
+        return min(sorted(rate), key=rate.get)
+
+    parser = language.Parser(samples, most=2000)
+    some = [t for _, t, _ in docs[:40]]
+    assert parser.predict(pa.array(some))[0] == parser.predict(pa.array(some))[0]
     def greedy(t, x):
         n = i = 0
         while i < len(x):
@@ -387,4 +424,4 @@ def test_language(spark):
     for _ in range(500):
         t, x = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, 30))) for _ in range(2))
         assert language.SuffixAutomaton(t).phrases(x + "d") == greedy(t, x + "d")
-    assert Counter(language.word_counts("A b a")) == Counter({"a": 2, "b": 1})
+    assert parser.predict(pa.array(some))[0] == [brute(t) for t in some]
