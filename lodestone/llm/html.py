@@ -1,19 +1,22 @@
 """Main text of web pages: gradient-boosted trees over DOM-node features, decoded along the tree.
 
-A page becomes a tree of elements (tolerant of missing end tags and broken markup). Each element gets
-features of itself, its subtree and its siblings; boosted regression trees, trained here on made-up pages
-whose parts are known, give the log-odds that its text belongs to the article. Decoding goes
-down from the root: an element's state (in or out) is that of its parent unless the evidence for the
-other state, summed over its subtree by text length, outweighs a price for each change, so that an element
-and its ancestors never contradict each other. Blocks of what is in are the text.
+A page becomes a tree of elements (tolerant of missing end tags and broken markup, in time linear in the page). Each
+element gets features of itself, its subtree and its siblings, and the summed log-odds of its attribute tokens, which are
+learnt from the training pages; boosted regression trees, trained here on made-up pages whose parts are known,
+give the log-odds that its text belongs to the article. Decoding is hierarchical: an element is around the
+article, in it, or cut from it, and down from the root these only follow each other in this order, so that nothing is in
+below what was cut and nothing is around below what is in. Of all such labellings the one with the most evidence wins,
+summed over elements by text length, less a price for each change. Blocks of what is in are the text.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -42,18 +45,19 @@ CLOSES = {
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
 ENDS_P = BLOCK - frozenset("body caption html legend summary tbody td tfoot th thead tr dd dt li figcaption".split()) | {"li", "dd", "dt"}
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z))", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z))", re.S)
 _HINT = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 #: What may hide an element, before its attributes are told apart.
 _MAY_HIDE = re.compile(r"hidden|style", re.I)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _SPACE = re.compile(r"\s+")
-#: Words of attributes that tell what an element is for.
+#: Names that the made-up training pages give to elements; what each tells is learnt.
 BAD_WORDS = "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus foot footer footnote form gdpr header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related recommended replies reply rss search share sharing shop sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget".split()
 GOOD_WORDS = "article articlebody body content entry hentry main maincontent post story text".split()
-_BAD, _GOOD = frozenset(BAD_WORDS), frozenset(GOOD_WORDS)
 _WORD = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_RAW_END = {n: re.compile(rf"</{n}\s*[^>]*>|\Z", re.I) for n in RAW}
 
 
 def is_hidden(attrs: str) -> bool:
@@ -67,72 +71,89 @@ def is_hidden(attrs: str) -> bool:
 
 
 class Node:
-    __slots__ = ("attrs", "bad", "children", "depth", "good", "hidden", "name", "parent", "text")
+    __slots__ = ("attrs", "children", "depth", "hidden", "name", "parent", "tokens")
 
     def __init__(self, name: str, parent: Node | None, attrs: str = "") -> None:
         self.name, self.parent, self.attrs = name, parent, attrs
         self.children: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
-        hints = " ".join(m.strip("\"'") for m in _HINT.findall(attrs)) if attrs else ""
-        w = _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", hints).lower()) if hints else ()
-        self.bad, self.good = sum(x in _BAD for x in w), sum(x in _GOOD for x in w)
-        self.hidden = bool(attrs) and is_hidden(attrs)
+        self.tokens, self.hidden = tokens(attrs) if attrs else (), bool(attrs) and is_hidden(attrs)
+
+
+@lru_cache(4096)
+def tokens(attrs: str) -> tuple[str, ...]:
+    """Words of the attributes that name an element or its part, in lower case, camel case apart."""
+    hints = " ".join(m.strip("\"'") for m in _HINT.findall(attrs))
+    return tuple(_WORD.findall(_CAMEL.sub(" ", hints).lower())) if hints else ()
+
+
+class _Open:
+    """The open elements of a page, the innermost last, with those of each name, so that any question takes no walk."""
+
+    def __init__(self, root: Node) -> None:
+        self.path, self.by = [root], {}
+
+    def add(self, node: Node) -> None:
+        self.path.append(node)
+        self.by.setdefault(node.name, []).append(node)
+
+    def depth(self, names: Iterable[str]) -> int:
+        """Depth of the innermost open element of these names; 0 if there is none."""
+        return max((found[-1].depth for n in names if (found := self.by.get(n))), default=0)
+
+    def close(self, depth: int) -> None:
+        """Ends the open element of this depth and all inside it."""
+        while self.path[-1].depth >= depth > 0:
+            self.by[self.path.pop().name].pop()
+
+
+_CELLS = ("td", "th", "table")
+_IN_TABLE = frozenset("td th tr tbody thead tfoot table body html".split())
+#: A paragraph is not ended across these.
+_AROUND_P = ("td", "th", "li", "div", "article", "section", "body", "button", "table", "blockquote")
 
 
 def parse(page: str | None) -> Node:
-    """The element tree of a page; whatever the markup, no text outside SILENT elements is lost."""
+    """The element tree of a page; whatever the markup, no text outside SILENT elements is lost. An end tag without its element, or with a table between, is passed over."""
     root = Node("#root", None)
-    at, open_, page = 0, root, page or ""
-    pos = 0
+    at = pos = 0
+    page, open_ = page or "", _Open(root)
     while True:
         m = _TAG.search(page, pos)
         if m is None:
             break
         if m.start() > at:
-            open_.children.append(page[at : m.start()])
+            open_.path[-1].children.append(page[at : m.start()])
         at = pos = m.end()
         name = m[2]
         if name is None:
             continue
         name = name.lower()
         if m[1]:
-            node = open_
-            while node.parent and node.name != name:
-                if node.name in ("td", "th", "table") and name not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "body", "html"):
-                    node = root
-                    break
-                node = node.parent
-            if node.parent:
-                open_ = node.parent
+            own = open_.depth((name,))
+            if own and (name in _IN_TABLE or own > open_.depth(_CELLS)):
+                open_.close(own)
             continue
-        if name in ENDS_P:
-            node = open_
-            while node.parent and node.name not in ("p", "td", "th", "li", "div", "article", "section", "body", "button", "table", "blockquote"):
-                node = node.parent
-            if node.name == "p":
-                open_ = node.parent
+        if name in ENDS_P and (p := open_.depth(("p",))) > open_.depth(_AROUND_P):
+            open_.close(p)
         if name in CLOSES:
             ended, stops = CLOSES[name]
-            node = open_
-            while node.parent and node.name not in stops:
-                if node.name in ended:
-                    open_ = node.parent
-                    break
-                node = node.parent
-        new = Node(name, open_, m[3])
-        open_.children.append(new)
+            if (own := open_.depth(ended)) > open_.depth(stops):
+                open_.close(own)
+        new = Node(name, open_.path[-1], m[3])
+        open_.path[-1].children.append(new)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*[^>]*>|\Z", re.I).search(page, at)
+            end = _RAW_END[name].search(page, at)
             at = pos = end.end()
         elif name not in VOID and not m[3].endswith("/") or name not in VOID and name in BLOCK:
-            open_ = new
+            open_.add(new)
     if at < len(page):
-        open_.children.append(page[at:])
+        open_.path[-1].children.append(page[at:])
     return root
 
 
 FEATURES = (
-    "depth text_share log_text log_words link_share links_a_word tags_a_word p_share punct_a_word mean_word n_children same_siblings sibling_text index_share bad good bad_above good_above is_p is_head is_list is_nav is_aside is_article is_foot_head is_form is_div is_table has_h1 list_share short_blocks digits before_article".split()
+    "depth text_share log_text log_words link_share links_a_word tags_a_word p_share punct_a_word mean_word n_children same_siblings sibling_text index_share token_odds token_low token_odds_above inside_main is_p is_head is_list is_nav is_aside is_article is_foot_head is_form is_div is_table has_h1 list_share short_blocks digits before_article".split()
 )
 _GROUPS = {
     "is_p": {"p", "blockquote", "pre", "figcaption"},
@@ -147,7 +168,7 @@ _GROUPS = {
     "is_table": {"table", "tr", "td", "th", "tbody", "thead"},
 }
 _GROUP_ORDER = [k for k in FEATURES if k in _GROUPS]
-_PUNCT = re.compile(r"[.,;:!?]")
+_PUNCT, _DIGITS = re.compile(r"[.,;:!?]"), re.compile(r"\d")
 
 
 @dataclass
@@ -160,7 +181,8 @@ class Page:
     x: np.ndarray
 
 
-def describe(page: str | None) -> Page:
+def describe(page: str | None, odds: dict[str, float]) -> Page:
+    """odds: what attribute tokens tell; of others nothing is known."""
     root = parse(page)
     nodes, parent = [root], [-1]
     index = {id(root): 0}
@@ -182,19 +204,20 @@ def describe(page: str | None) -> Page:
         own[i, 0], own[i, 1] = len(t), t.count(" ") + 1 if t else 0
         own[i, 4], own[i, 3], own[i, 8] = 1, n.name == "a", n.name == "h1"
         own[i, 6] = len(_PUNCT.findall(t))
-        own[i, 7] = sum(map(str.isdigit, t)) if len(t) < 400 else 0
+        own[i, 7] = len(_DIGITS.findall(t))
     link = np.zeros(k, bool)
     para = np.zeros(k, bool)
     listed = np.zeros(k, bool)
-    bad = np.zeros(k)
-    good = np.zeros(k)
+    said = np.array([[sum(x), min(x, default=0.0)] for x in ([odds.get(w, 0.0) for w in n.tokens] for n in nodes)])
+    above = np.zeros(k)
+    main = np.zeros(k)
     for i, n in enumerate(nodes):
         p = par[i]
         link[i] = n.name == "a" or (p >= 0 and link[p])
         para[i] = n.name in ("p", "pre", "blockquote") or (p >= 0 and para[p])
         listed[i] = n.name in ("ul", "ol", "table", "select", "dl") or (p >= 0 and listed[p])
-        bad[i] = n.bad + (bad[p] if p >= 0 else 0)
-        good[i] = n.good + (n.name in ("article", "main")) + (good[p] if p >= 0 else 0)
+        above[i] = said[i, 0] + (above[p] if p >= 0 else 0)
+        main[i] = (n.name in ("article", "main")) + (main[p] if p >= 0 else 0)
     own[:, 2] = own[:, 0] * link
     own[:, 5] = own[:, 0] * para
     sub = np.concatenate([own, (own[:, 0] * listed)[:, None], ((own[:, 0] < 60) * own[:, 0])[:, None]], axis=1)
@@ -230,10 +253,10 @@ def describe(page: str | None) -> Page:
         "same_siblings": np.log1p(same),
         "sibling_text": np.log1p(sub[up, 0] - sub[:, 0]),
         "index_share": order / np.maximum(kids[up], 1),
-        "bad": [n.bad for n in nodes],
-        "good": [n.good for n in nodes],
-        "bad_above": bad,
-        "good_above": good,
+        "token_odds": said[:, 0],
+        "token_low": said[:, 1],
+        "token_odds_above": above,
+        "inside_main": main,
         "has_h1": sub[:, 8],
         "list_share": sub[:, 9] / chars,
         "short_blocks": sub[:, 10] / chars,
@@ -261,6 +284,7 @@ class Forest:
     cut: np.ndarray
     leaf: np.ndarray
     base: float
+    tokens: dict[str, float] = field(default_factory=dict)
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros((len(x), len(self.feature)), np.int64)
@@ -313,7 +337,7 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, trees: int = 60, depth: i
 # --- training pages --------------------------------------------------------------------------------
 
 
-def _made_page(rng: np.random.Generator) -> tuple[str, str]:
+def _made_page(rng: np.random.Generator) -> str:
     """A page whose main elements carry the mark data-k="1"."""
     syll = ["an", "ter", "il", "o", "ra", "sche", "mi", "ent", "qu", "la", "de", "tion", "ver", "ñe", "é", "ing", "st", "ou"]
     word = lambda: "".join(rng.choice(syll, rng.integers(1, 4)))
@@ -323,9 +347,14 @@ def _made_page(rng: np.random.Generator) -> tuple[str, str]:
 
     para = lambda: " ".join(sent(1, 22) for _ in range(rng.integers(1, 7)))
     links = lambda n: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n))
-    named = lambda words: rng.choice([f' class="{rng.choice(words)}"', f' id="{rng.choice(words)}"', f' class="{word()} {rng.choice(words)}-{word()}"', f' class="{word()}"'], p=[0.4, 0.25, 0.25, 0.1])
-    out = []
     maybe = lambda p: rng.random() < p
+
+    def named(words: list[str]) -> str:
+        """An attribute of an element that is no part of the article; now and then with any of the names that say so."""
+        words = words if maybe(0.7) else BAD_WORDS
+        return rng.choice([f' class="{rng.choice(words)}"', f' id="{rng.choice(words)}"', f' class="{word()} {rng.choice(words)}-{word()}"', f' class="{word()}"'], p=[0.4, 0.25, 0.25, 0.1])
+
+    out = []
     if maybe(0.4):
         out.append(rng.choice([f"<header><h1>{sent(1, 4)}</h1><p>{sent(2, 8)}</p></header>", f"<div{named(['header', 'masthead', 'topbar'])}>{word()} <a href='/'>{word()}</a></div>", f"<header{named(['header'])}><a href='/'>{word()}</a><span>{sent(2, 6)}</span></header>"]))
     if maybe(0.8):
@@ -372,7 +401,7 @@ def _made_page(rng: np.random.Generator) -> tuple[str, str]:
     elif style < 0.75:
         main = f'<main data-k="1">{inner}</main>'
     elif style < 0.92:
-        main = f'<div data-k="1" class="{rng.choice(["content", "post", "entry", "article", "main", "story", "text"])}">{inner}</div>'
+        main = f'<div data-k="1" class="{rng.choice(["content", "post", "entry", "article", "main", "story", "text"] if maybe(0.7) else GOOD_WORDS)}">{inner}</div>'
     else:
         main = f'<div data-k="1">{inner}</div>'
     out.append(f'<div class="{rng.choice(["wrap", "page", "container", "row"])}">{main}{side if maybe(0.3) else ""}</div>' if maybe(0.25) else main)
@@ -387,27 +416,46 @@ def _made_page(rng: np.random.Generator) -> tuple[str, str]:
     if maybe(0.85):
         t = rng.choice(["footer", "footer", "div"])
         out.append(f"<{t}{named(['footer', 'foot', 'copyright']) if t == 'div' or maybe(0.3) else ''}>&copy; {word()} &middot; {rng.choice([sent(2, 14), para(), '<ul>' + links(4) + '</ul>'])}</{t}>")
-    return "<html><body>" + "".join(out) + ("</body></html>" if maybe(0.8) else ""), ""
+    return "<html><body>" + "".join(out) + ("</body></html>" if maybe(0.8) else "")
+
 
+def _shares(nodes: list[Node], parent: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text of each element's subtree, and the share of it that is marked."""
+    text, good = own.copy(), own * np.array(['data-k="1"' in n.attrs for n in nodes], float)
+    for i in range(len(text) - 1, 0, -1):
+        text[parent[i]] += text[i]
+        good[parent[i]] += good[i]
+    return text, good / np.maximum(text, 1)
 
-def train(pages: int = 500, seed: int = 5) -> Forest:
-    """On made-up pages (documented bound: `pages`); elements count by the text of their subtree."""
+
+def token_odds(pages: list[Page]) -> dict[str, float]:
+    """For each attribute token the log-odds that an element with it is main, against those without tokens' share, from clear elements; smoothed by one."""
+    inside, outside = Counter(), Counter()
+    for d in pages:
+        text, share = _shares(d.nodes, d.parent, d.own)
+        for n, t, x in zip(d.nodes, text, share, strict=True):
+            if t > 0:
+                (inside if x > 0.5 else outside).update(set(n.tokens))
+    total = math.log((sum(inside.values()) + 1) / (sum(outside.values()) + 1))
+    return {w: math.log((inside[w] + 1) / (outside[w] + 1)) - total for w in inside | outside if inside[w] + outside[w] >= 5}
+
+
+def train(pages: int = 600, seed: int = 5) -> Forest:
+    """On made-up pages (documented bound: `pages`); token odds from a third of them, trees from the others, so that the trees see odds as they are for new pages."""
     rng = np.random.default_rng(seed)
-    xs, ys, ws = [], [], []
-    for _ in range(pages):
-        d = describe(_made_page(rng)[0])
-        y = np.array(['data-k="1"' in n.attrs for n in d.nodes], float)
-        text = d.own.copy()
-        good = d.own * y
-        for i in range(len(text) - 1, 0, -1):
-            text[d.parent[i]] += text[i]
-            good[d.parent[i]] += good[i]
-        share = good / np.maximum(text, 1)
+    made = [_made_page(rng) for _ in range(pages)]
+    odds = token_odds([describe(p, {}) for p in made[: pages // 3]])
+    xs, ys = [], []
+    for p in made[pages // 3 :]:
+        d = describe(p, odds)
+        text, share = _shares(d.nodes, d.parent, d.own)
         clear = (text > 0) & ((share > 0.95) | (share < 0.05))
         xs.append(d.x[clear])
         ys.append((share > 0.5)[clear])
-        ws.append(np.ones(int(clear.sum())))
-    return boost(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws))
+    x, y = np.concatenate(xs), np.concatenate(ys).astype(float)
+    forest = boost(x, y, np.ones(len(y)))
+    forest.tokens = odds
+    return forest
 
 
 @lru_cache(1)
@@ -420,21 +468,29 @@ CHANGE = 6.0
 
 
 def decode(d: Page, odds: np.ndarray) -> np.ndarray:
-    """In or out for each element: the labelling of the tree with the least cost, a change between parent and child costing CHANGE."""
+    """Whether each element is in the article.
+
+    Every element is around the article (0), in it (1) or cut from it (2); a child's state is that of its parent or a
+    later one, a change costs CHANGE, and only elements that are in give their evidence. The best labelling by dynamic
+    programming over the tree: of equal ones that with the earlier state.
+    """
     k = len(d.nodes)
-    gain = np.clip(odds, -6, 6) * np.log1p(d.own)  # of own text only: an element without it has no say of its own
-    wins = np.zeros((k, 2))
-    wins[:, 1] += gain
+    wins = np.zeros((k, 2))  # around, in; what is cut gains nothing
+    wins[:, 1] = np.clip(odds, -6, 6) * np.log1p(d.own)  # of own text only: an element without it has no say of its own
     for i in range(k - 1, 0, -1):
-        out, inn = wins[i]
-        wins[d.parent[i], 0] += max(out, inn - CHANGE)
-        wins[d.parent[i], 1] += max(inn, out - CHANGE)
-    state = np.zeros(k, bool)
-    state[0] = wins[0, 1] > wins[0, 0]
+        around, inside = wins[i]
+        p = d.parent[i]
+        wins[p, 0] += max(around, inside - CHANGE)
+        wins[p, 1] += max(inside, -CHANGE)
+    state = np.zeros(k, np.int8)
+    state[0] = wins[0, 1] - CHANGE > wins[0, 0]
     for i in range(1, k):
-        s = int(state[d.parent[i]])
-        state[i] = bool(1 - s) if wins[i, 1 - s] - CHANGE > wins[i, s] else bool(s)
-    return state
+        s = state[d.parent[i]]
+        if s == 0:
+            state[i] = wins[i, 1] - CHANGE > wins[i, 0]
+        else:
+            state[i] = 2 if s == 2 or -CHANGE > wins[i, 1] else 1
+    return state == 1
 
 
 def blocks(d: Page, state: np.ndarray) -> str:
@@ -476,8 +532,9 @@ def blocks(d: Page, state: np.ndarray) -> str:
 
 def extract(page: str | None, forest: Forest | None = None) -> str:
     """The main text of one page; empty for a null or empty page and for one without an article."""
-    d = describe(page)
-    return blocks(d, decode(d, (forest or default_forest()).log_odds(d.x)))
+    forest = forest or default_forest()
+    d = describe(page, forest.tokens)
+    return blocks(d, decode(d, forest.log_odds(d.x)))
 
 
 def main_text(pages: DataFrame, forest: Forest | None = None) -> DataFrame:
