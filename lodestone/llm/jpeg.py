@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, read, released
+from lodestone.llm.common import documents, read, released, shared_dir
 
 #: Row-major position of the k-th coefficient in zigzag order.
 ZIGZAG = np.array([r * 8 + (s - r) for s in range(15) for r in (range(min(s, 7), max(0, s - 7) - 1, -1) if s % 2 == 0 else range(max(0, s - 7), min(s, 7) + 1))])
@@ -444,12 +445,11 @@ def _frames(blocks: int) -> Iterator[int]:
 
 def store(data: bytes) -> bytes:
     """The payload (a positive multiple of 64 bytes) as one progressive JPEG after another, with the payload's length in front in a comment of the first."""
-    b = np.frombuffer(data, np.uint8).astype(np.int32)
-    units = np.where(b > 127, b, b - 255).reshape(-1, 64)
     out, at = [], 0
-    for rows in _frames(len(units)):
+    for rows in _frames(len(data) // 64):
         part = np.full((6 * rows * MCU_COLUMNS, 64), -255, np.int32)
-        part[: len(units) - at] = units[at : at + len(part)]
+        b = np.frombuffer(data, np.uint8)[64 * at : 64 * (at + len(part))].astype(np.int32)
+        part.ravel()[: len(b)] = np.where(b > 127, b, b - 255)
         at += len(part)
         one = encode([part[i] for i in _layout(rows)], 16 * MCU_COLUMNS, 16 * rows, [(2, 2), (1, 1), (1, 1)])
         out.append(one[:2] + _segment(0xFE, struct.pack(">Q", len(data))) + one[2:])
@@ -511,39 +511,34 @@ def to_media(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-_OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, images array<struct<height:int,width:int,rgb:binary>>"
+_IMAGES = pa.list_(pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]))
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Reads the stored bytes back: digests of payload and media, and a feature of the RGB tensors."""
+    """Reads the stored bytes back: digests of payload and media, a feature of the RGB tensors, and the tensors themselves (row-major, 3 channels), one for each image."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = [x.split()[0] for x in _OUT.split(", ")], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), _IMAGES]
         for b in batches:
-            rows = []
-            for m in b.column(2):
-                m = m.as_py()
-                p, tensors = restore(m)
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(tensors)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[x.split()[0] for x in _OUT.split(", ")])
+            rows, first, size = [], 0, 0
+            for i in range(b.num_rows):
+                m = b.column(2)[i].as_py()
+                p, found = restore(m)
+                images = [{"height": t.shape[0], "width": t.shape[1], "rgb": t.tobytes()} for t in found]
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(found), images))
+                size += len(p)
+                if size > 2 << 20 or i + 1 == b.num_rows:
+                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), b.column(1).slice(first, len(rows)), *columns], names=names)
+                    rows, first, size = [], i + 1, 0
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _OUT)
 
 
-def tensors(media: DataFrame) -> DataFrame:
-    """doc_id, image, height, width, rgb (raw bytes, row-major, 3 channels) for each stored image."""
-
-    @released
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc_id, m in zip(b.column(0), b.column(1), strict=True):
-                for i, t in enumerate(restore(m.as_py())[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([i], pa.int32()), pa.array([t.shape[0]], pa.int32()), pa.array([t.shape[1]], pa.int32()), pa.array([t.tobytes()], pa.binary())], names=["doc_id", "image", "height", "width", "rgb"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, image int, height int, width int, rgb binary")
-
-
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe(to_media(read(spark, sf_dir, "documents")))
+    """The media column is written to the shared folder; what is returned comes from reading that table. A null text is empty, equal texts have equal values, rows keep null and equal ids."""
+    path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    to_media(read(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    return describe(spark.read.parquet(path))

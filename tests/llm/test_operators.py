@@ -245,7 +245,116 @@ def test_jpeg(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert len(got) == len(ODD) + 2 and len({r.feature for r in got if r.doc_id in (3, 8)}) == 1
     assert jpeg.describe(jpeg.to_media(empty(spark))).count() == 0
-    assert jpeg.tensors(jpeg.to_media(frame(spark, ["abc"]))).first().width == 16 * jpeg.MCU_COLUMNS
+    one = jpeg.describe(jpeg.to_media(frame(spark, ["abc"]))).first().images[0]
+    assert one.width == 16 * jpeg.MCU_COLUMNS and len(one.rgb) == 3 * one.width * one.height
+    big = rng.integers(0, 256, 64 * 100_000, dtype=np.uint8).tobytes()  # several images
+    back, images = jpeg.restore(jpeg.store(big))
+    assert back == big and len(images) == 3
+
+
+class _Scans:
+    """A plain encoder of progressive scans as the standard has them, with runs of ended bands, of 16 zeros, and new coefficients in refinements."""
+
+    def __init__(self, blocks):
+        self.blocks = blocks  # n x 64 in zigzag order
+
+    def first(self, lo, hi, low):
+        out, run = [], 0
+
+        def ended():
+            nonlocal run
+            if run:
+                n = run.bit_length() - 1
+                out.append((n << 4, run - (1 << n), n))
+                run = 0
+
+        for b in self.blocks:
+            r, any_ = 0, False
+            for k in range(lo, hi + 1):
+                v = abs(int(b[k])) >> low
+                if not v:
+                    r += 1
+                    continue
+                ended()
+                while r > 15:
+                    out.append((0xF0, 0, 0))
+                    r -= 16
+                n = v.bit_length()
+                out.append((r << 4 | n, v if b[k] > 0 else (1 << n) - 1 - v, n))
+                r = 0
+            if r:
+                run += 1
+                if run == 0x7FFF:
+                    ended()
+        ended()
+        return out
+
+    def refine(self, lo, hi, low):
+        out, run, kept = [], 0, []
+
+        def ended():
+            nonlocal run
+            if run:
+                n = run.bit_length() - 1
+                out.append((n << 4, run - (1 << n), n))
+                out.extend((None, x, 1) for x in kept)
+                kept.clear()
+                run = 0
+
+        for b in self.blocks:
+            v = [abs(int(x)) >> low for x in b]
+            last = max((k for k in range(lo, hi + 1) if v[k] == 1), default=-1)
+            r, fixes = 0, []
+            for k in range(lo, hi + 1):
+                if not v[k]:
+                    r += 1
+                    continue
+                while r > 15 and k <= last:
+                    ended()
+                    out.append((0xF0, 0, 0))
+                    out.extend((None, x, 1) for x in fixes)
+                    fixes, r = [], r - 16
+                if v[k] > 1:
+                    fixes.append(v[k] & 1)
+                    continue
+                ended()
+                out.append((r << 4 | 1, int(b[k] > 0), 1))
+                out.extend((None, x, 1) for x in fixes)
+                fixes, r = [], 0
+            if r or fixes:
+                run += 1
+                kept += fixes
+        ended()
+        return out
+
+
+def _scan_bytes(spec, symbols):
+    """A table of 8-bit codes and the scan."""
+    used = sorted({s for s, _, _ in symbols if s is not None})
+    bits = "".join((f"{used.index(s):08b}" if s is not None else "") + (f"{x:0{n}b}" if n else "") for s, x, n in symbols)
+    bits += "1" * (-len(bits) % 8)
+    raw = int(bits, 2).to_bytes(len(bits) // 8, "big") if bits else b""
+    return jpeg._huffman(0x10, {8: used}) + jpeg._segment(0xDA, spec) + jpeg._stuff(raw)
+
+
+def test_jpeg_of_a_general_encoder():
+    import struct
+
+    rng = np.random.default_rng(44)
+    for dense in (0.02, 0.2, 0.7):
+        blocks = (rng.integers(-90, 91, (12, 64)) * (rng.random((12, 64)) < dense)).astype(np.int64)
+        blocks[3:7, 1:] = 0
+        blocks[:, 0] = rng.integers(-200, 200, 12)
+        scans = _Scans(blocks)
+        data = b"\xff\xd8" + jpeg._segment(0xDB, b"\x00" + b"\x01" * 64) + jpeg._segment(0xC2, struct.pack(">BHHB", 8, 24, 32, 1) + bytes([1, 0x11, 0]))
+        data += jpeg._huffman(0x00, jpeg._DC_CODES) + jpeg._segment(0xDA, bytes([1, 1, 0, 0, 0, 0])) + jpeg._stuff(jpeg._pad(jpeg._dc_bits(blocks[:, 0])))
+        for lo, hi in ((1, 5), (6, 63)):
+            data += _scan_bytes(bytes([1, 1, 0, lo, hi, 0x02]), scans.first(lo, hi, 2))
+            data += _scan_bytes(bytes([1, 1, 0, lo, hi, 0x21]), scans.refine(lo, hi, 1))
+            data += _scan_bytes(bytes([1, 1, 0, lo, hi, 0x10]), scans.refine(lo, hi, 0))
+        width, height, comps, _, _ = jpeg.decode(data + b"\xff\xd9")
+        assert (width, height) == (32, 24) and (comps[0].reshape(-1, 64)[:, jpeg.ZIGZAG] == blocks).all()
+        assert jpeg.rgb(data + b"\xff\xd9").shape == (24, 32, 3)
 
 
 # 5
