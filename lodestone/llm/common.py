@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -74,6 +75,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for tables between steps; it goes when the driver ends, as results may be read from it until then."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 #: Bytes of a batch that goes to a Python worker, unless the session says another number than Spark's default.
 BATCH_BYTES = 8 << 20
 _SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"

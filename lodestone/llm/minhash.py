@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, documents, mix, read, released, shared_dir, windows, words
+from lodestone.llm.common import LOWER, documents, mix, read, released, scratch, windows, words
 
 K, SHINGLE = 64, 5
 #: Least similarity where no contract says otherwise, and that of op6.
@@ -194,7 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     a null id is alone, with a null component. An empty table gives no rows.
     """
     spark, match = docs.sparkSession, least_equal(percent)
-    base = f"{shared_dir(spark)}/minhash-{uuid.uuid4().hex}"
+    base = scratch(spark, "minhash")
     d = documents(docs)
     d.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, sig array<int>, bins binary").write.parquet(f"{base}/signed")
     signed = spark.read.parquet(f"{base}/signed")

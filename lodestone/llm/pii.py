@@ -1,13 +1,18 @@
 """Personal data by patterns, and terms that reveal it by corpus co-occurrence; DataFrame functions only.
 
-Patterns find the protected entities (email, ip, card, phone). For each entity e and each word t of its
-documents, outside of entities, the corpus gives, over all documents, N, n(e), n(t) and n(e,t), and with them
+Patterns find the protected entities (email, ip, card, phone). An entity is what identifies it: a card or phone its digits, an
+ip its numbers, an email its letters in lower case. For each entity e and each word t of its documents, outside of
+entities, the corpus gives, over all documents, N, n(e), n(t) and n(e,t), and with them
 
-    PMI(e;t) = log2(n(e,t) N / (n(e) n(t))),  IC(e) = log2(N / n(e)),  IC(kind) = log2(N / n(kind)).
+    PMI(e;t) = log2(n(e,t) N / (n(e) n(t))),  IC(e) = log2(N / n(e)),  IC(kind) = log2(N / n(kind)),
+    surprise(e;t) = -log2 of the chance of n(e,t) or more documents in common, n(e) n(t) / N expected (Poisson).
 
-t discloses e if it is with e in MIN_DOCS documents or more, PMI(e;t) >= DISCLOSURE * IC(e) (it gives away
-nearly all the information of the entity) and PMI(e;t) >= IC(kind) (more than the generalisation of e, its
-kind, gives). Such a term becomes a span of the kind `term` wherever it stands, in any document.
+t discloses e if PMI(e;t) >= DISCLOSURE * IC(e) (it gives away nearly all the information of the entity),
+PMI(e;t) >= IC(kind) (more than the generalisation of e, its kind, gives), and the surprise is MARGIN bits above
+log2 of the number of pairs looked at (so that in the whole corpus 2^-MARGIN pairs are expected by chance). With one
+common document the surprise never suffices: each rare word of a document would be as good a sign as any other. With
+two it does where both words are rare. Such a term becomes a span of the kind `term` wherever it stands, in any
+document, and is generalised to the label of the kind it gives away.
 
 Possessive quantifiers and look-behind in the patterns keep Java's matcher linear and its stack flat; they
 match what the plain patterns match.
@@ -16,13 +21,13 @@ match what the plain patterns match.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, read, shared_dir
+from lodestone.llm.common import documents, read, scratch
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -32,8 +37,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-MIN_DOCS, DISCLOSURE = 4, 0.95
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+MIN_DOCS, DISCLOSURE, MARGIN = 2, 0.95, 10.0
 #: Whole words of letters and digits: three or more of them, or two letters of which the first is a capital.
 TERM = r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}]{3,}+|\p{Lu}\p{L})(?![\p{L}\p{N}])"
 _STEP = 256
@@ -133,51 +138,69 @@ def keyed(docs: DataFrame) -> DataFrame:
     return documents(docs).select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"))
 
 
+def identity(kind: Column, m: Column) -> Column:
+    """What is the same for all ways to write one entity."""
+    plain_ip = F.regexp_replace(m, r"(?<![0-9])0+(?=[0-9])", "")
+    return F.when(kind.isin("card", "phone"), F.regexp_replace(m, "[^0-9]", "")).when(kind == "ip", plain_ip).otherwise(F.lower(m))
+
+
+def _surprise(n_et: Column, expected: Column) -> Column:
+    """-log2 of the Poisson chance of n_et or more: of its first term, and the tail's geometric bound where that is less than one."""
+    log_fact = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(n_et, F.lit(50).cast("long"))), F.lit(0.0), lambda s, i: s + F.log2(i.cast("double")))
+    # beyond 50 by Stirling's lower bound, which makes the surprise smaller
+    large = n_et * F.log2(n_et / F.lit(math.e)) + 0.5 * F.log2(2 * math.pi * n_et)
+    first = F.when(n_et <= 50, log_fact).otherwise(large) - n_et * F.log2(expected) + expected * math.log2(math.e)
+    return F.when(expected < n_et + 1, first + F.log2(1 - expected / (n_et + 1))).otherwise(0.0)
+
+
 def term_spans(found: DataFrame) -> DataFrame:
-    """k1, k2, terms (array of struct(s, e)): all places of terms that disclose an entity of the corpus.
+    """k1, k2, terms (array of struct(s, e, kind)): all places of terms that disclose an entity of the corpus.
 
     found: k1, k2, spans, clear (the text with entities blanked), one row for each document.
     """
     spark = found.sparkSession
-    base = f"{shared_dir(spark)}/pii-{uuid.uuid4().hex}"
+    base = scratch(spark, "pii")
     held = found.where(F.size("spans") > 0)
-    per_doc = held.select("k1", "k2", F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), F.lower(x["m"]).alias("value"))))).alias("x")).select("k1", "k2", "x.*")
+    per_doc = held.select("k1", "k2", F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), identity(x["kind"], x["m"]).alias("value"))))).alias("x")).select("k1", "k2", "x.*")
     # an entity of fewer documents cannot reach MIN_DOCS with any term
     n_e = per_doc.groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= MIN_DOCS)
     kinds = held.select(F.explode(F.array_distinct(F.transform("spans", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_kind"))
     often = per_doc.join(n_e, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "value", "n_e")).alias("es"))
-    pairs = held.join(often, ["k1", "k2"]).select("es", F.explode(_terms(F.col("clear"))).alias("term")).select("term", F.explode("es").alias("x")).groupBy("x.kind", "x.value", "x.n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_DOCS)
-    pairs.write.parquet(f"{base}/pairs")
-    pairs = spark.read.parquet(f"{base}/pairs")
+    all_pairs = held.join(often, ["k1", "k2"]).select("es", F.explode(_terms(F.col("clear"))).alias("term")).select("term", F.explode("es").alias("x")).groupBy("x.kind", "x.value", "x.n_e", "term").agg(F.count("*").alias("n_et"))
+    all_pairs.write.parquet(f"{base}/pairs")
+    all_pairs = spark.read.parquet(f"{base}/pairs")
+    pairs = all_pairs.where(F.col("n_et") >= MIN_DOCS)
     # counted before the join, within each partition first: a common word is a few rows, not a row for each of its documents
     # (an inner join, as a semi join would be moved below the count)
     n_t = found.select(F.explode(_terms(F.col("clear"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = found.agg(F.count("*").alias("n"))
+    n = found.agg(F.count("*").alias("n")).crossJoin(F.broadcast(all_pairs.agg(F.count("*").alias("n_pairs"))))  # one row each
     stats = pairs.join(n_t, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(n))  # one row of n, a row a kind
     pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
     pmi = pmi + 1e-9  # equal counts are to give equal logarithms
-    stats.where((pmi >= DISCLOSURE * F.log2(F.col("n") / F.col("n_e"))) & (pmi >= F.log2(F.col("n") / F.col("n_kind")))).select("term").distinct().write.parquet(f"{base}/risky")
+    enough = _surprise(F.col("n_et"), F.col("n_e") * F.col("n_t") / F.col("n")) >= F.log2(F.col("n_pairs").cast("double")) + MARGIN
+    told = stats.where((pmi >= DISCLOSURE * F.log2(F.col("n") / F.col("n_e"))) & (pmi >= F.log2(F.col("n") / F.col("n_kind"))) & enough)
+    told.groupBy("term").agg(F.min("kind").alias("kind")).write.parquet(f"{base}/risky")
     risky = spark.read.parquet(f"{base}/risky")
-    of_doc = found.select("k1", "k2", F.explode(_terms(F.col("clear"))).alias("term")).join(risky, "term").groupBy("k1", "k2").agg(F.collect_set("term").alias("risky"))
+    of_doc = found.select("k1", "k2", F.explode(_terms(F.col("clear"))).alias("term")).join(risky, "term").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("risky"))
     of_doc.write.parquet(f"{base}/of_doc")
     of_doc = spark.read.parquet(f"{base}/of_doc")
-    places = F.filter(located(F.col("clear"), TERM), lambda x: F.array_contains(F.col("risky"), F.lower(x["m"])))
-    places = F.transform(places, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    places = F.filter(located(F.col("clear"), TERM), lambda x: F.map_contains_key(F.col("risky"), F.lower(x["m"])))
+    places = F.transform(places, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.try_element_at("risky", F.lower(x["m"])).alias("kind")))
     return found.select("k1", "k2", "clear").join(of_doc, ["k1", "k2"]).select("k1", "k2", places.alias("terms")).groupBy("k1", "k2").agg(F.first("terms").alias("terms"))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, base (array of struct(kind, s, e, m)), terms (array of struct(s, e)) of each row.
+    """doc_id, k1, k2, base (array of struct(kind, s, e, m)), terms (array of struct(s, e, kind), kind being what the term gives away) of each row.
 
     A null or empty text has no spans. Rows with equal ids are rows of their own; equal rows have equal
     spans. An empty table gives no rows.
     """
     spark = docs.sparkSession
     d = keyed(docs)
-    base = f"{shared_dir(spark)}/pii-{uuid.uuid4().hex}"
+    base = scratch(spark, "pii")
     d.withColumn("spans", entities(F.col("text"))).select("doc_id", "k1", "k2", "spans", _blanked(F.col("text"), F.col("spans")).alias("clear")).write.parquet(f"{base}/found")
     found = spark.read.parquet(f"{base}/found")
-    return found.join(term_spans(found), ["k1", "k2"], "left").select("doc_id", "k1", "k2", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<struct<s:long,e:long>>")).alias("terms"))
+    return found.join(term_spans(found), ["k1", "k2"], "left").select("doc_id", "k1", "k2", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<struct<s:long,e:long,kind:string>>")).alias("terms"))
 
 
 def _join(spans: Column) -> Column:
@@ -185,12 +208,13 @@ def _join(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """doc_id, counts of the base kinds, base_sha256, spans (base ones, then terms, each by start; kinds may overlap), n_term, n_spans."""
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = _join(F.col("base"))
     terms = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["s"], x["e"])), ",")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms)).alias("spans"), F.size("terms").cast("long").alias("n_term"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms)).alias("spans"), F.size("terms").cast("long").alias("n_term"), (F.size("base") + F.size("terms")).cast("long").alias("n_spans"))
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -215,7 +239,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = find(docs).where((F.size("base") > 0) | (F.size("terms") > 0))
     label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
     spans = F.concat(
-        F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), label[x["kind"]].alias("label"))), F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(LABELS["term"]).alias("label")))
+        F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), label[x["kind"]].alias("label"))), F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.rtrim(label[x["kind"]], F.lit("]")), F.lit(" TERM]")).alias("label")))
     )
     spans = found.select("k1", "k2", F.array_sort(spans).alias("all_spans")).groupBy("k1", "k2").agg(F.first("all_spans").alias("all_spans"))
     k = plain.withColumns({"k1": F.coalesce(F.col(f"c{at}").cast("long"), F.lit(-(2**63))), "k2": F.xxhash64(F.coalesce(F.col(f"c{text}").cast("string"), F.lit("")), F.lit(1))})
@@ -224,6 +248,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest() of all documents; rows keep null and equal ids, a null text is empty."""
     return digest(find(read(spark, sf_dir, "documents")))
 
 

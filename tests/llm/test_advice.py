@@ -45,7 +45,7 @@ def test_pii_terms_far_off_and_in_other_documents(spark):
     assert found[6] == ["zorblatt"] and not any(found[i] for i in range(7, len(texts)))
     out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert not any("zorblatt" in t or "77x4" in t or "joe" in t for t in out.values())
-    assert out[0] == f"Write to [EMAIL] today. {far}The [TERM] unit [TERM] [TERM] number 0."
+    assert out[0] == f"Write to [EMAIL] today. {far}The [EMAIL TERM] unit [EMAIL TERM] [EMAIL TERM] number 0."
 
 
 def test_html_only_real_hidden_attributes():

@@ -69,10 +69,31 @@ def test_pii_terms_and_masking(spark):
     terms = {texts[0][x.s : x.e] for x in found[0].terms}
     assert "zorblatt" in terms and "office" not in terms and not found[30].terms
     out = {r[0]: r[1] for r in pii.sanitise(docs).collect()}
-    assert out[0] == "The [TERM] office answers at [EMAIL] today number 0." and out[30] == texts[30] and out[10_000] is None
+    assert out[0] == "The [EMAIL TERM] office answers at [EMAIL] today number 0." and out[30] == texts[30] and out[10_000] is None
     assert pii.sanitise(docs).columns == docs.columns
 
 
+def test_pii_identity_and_support(spark):
+    """An entity of one document has no terms, one of two or three has; ways to write it are one entity; spans of equal start stay apart."""
+    plain = lambda i: f"Plain words about the weather and the news of the day, number {i}."
+    texts = [plain(i) for i in range(3000)]
+    texts[10] = "Ask for quibblefax at 4111 1111 1111 1111 of the day."
+    texts[11] = "The quibblefax has 4111-1111-1111-1111 and the news."
+    texts[20] = "The snarkdom of the day is 10.20.30.40 and the news."
+    texts[21] = "A snarkdom about 010.020.030.040 of the weather."
+    texts[22] = "The weather and the snarkdom, 10.20.30.40."
+    texts[30] = "Only once: flimflam and joe@corp.example of the day."
+    texts[40] = "+1234567812345670 1.2.3.4"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(pii.find(docs)).collect()}
+    terms = {i: [texts[i][int(x.split(":")[1]) : int(x.split(":")[2])] for x in r.spans.split(",") if x.startswith("term")] for i, r in got.items()}
+    assert {i: t for i, t in terms.items() if t} == {10: ["quibblefax"], 11: ["quibblefax"], 20: ["snarkdom"], 21: ["snarkdom"], 22: ["snarkdom"]}
+    assert (got[10].n_card, got[10].n_term, got[10].n_spans) == (1, 1, 2) and (got[30].n_email, got[30].n_spans) == (1, 1)
+    assert got[40].spans == pii.brute(texts[40])[-1] and got[40].n_spans == 1 + 1 + got[40].n_phone
+    masked = {r.doc_id: r.text for r in pii.sanitise(docs).where("doc_id in (10, 21)").collect()}
+    assert masked == {10: "Ask for [CARD TERM] at [CARD] of the day.", 21: "A [IP TERM] about [IP] of the weather."}
+
+
 # 2
 def test_tokens(spark):
     path = P.path("byte_bpe_50k.json")
