@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, minhash, pieces, pii, quality
-from lodestone.llm.common import read, shared_dir
+from lodestone.llm.common import read, scratch
 
 #: Similarity of near duplicates; the 85 of op6 is that query's alone.
 NEAR_PERCENT = 80
@@ -53,8 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over documents; each stage's result is written to the shared folder and read again."""
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages in turn over documents; each stage's result is written to the shared folder (until the driver ends) and read again."""
+    base = scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
