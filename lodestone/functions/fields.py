@@ -22,7 +22,8 @@ def to_bar(value: Column, unit: Column) -> Column:
 
 def pressure_bar(text: Column) -> Column:
     """The first pressure in bar, to 4 places."""
-    return rounded(to_bar(number(text, R.PRESSURE), first_group(text, R.PRESSURE, 2)), 4)
+    found = first_match(text, R.PRESSURE)  # a few characters, taken apart below
+    return rounded(to_bar(F.regexp_extract(found, r"^[\d.]+", 0).cast("double"), F.regexp_extract(found, "[A-Za-z]+$", 0)), 4)
 
 
 def window_values(text: Column) -> dict[str, Column]:

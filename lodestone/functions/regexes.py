@@ -22,8 +22,8 @@ def _either(text: Column, pattern: str, match: Callable[[str], Column]) -> Colum
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null without a match."""
-    return _either(text, pattern, lambda p: F.when(text.rlike(p), F.regexp_extract(text, p, group)))
+    """The group of the first match, null without a match. The group may not match nothing: the text is matched once."""
+    return _either(text, pattern, lambda p: F.nullif(F.regexp_extract(text, p, group), F.lit("")))
 
 
 def first_match(text: Column, pattern: str) -> Column:

@@ -10,7 +10,7 @@ from lodestone.functions.regexes import strip
 #: A text falls into chunks that end with their delimiter, so that lengths add up to places.
 CHUNK = r"(?s).*?(?:[.!?]\s+|\n+)|.+$"
 _WHITE = " \t\n\x0b\x0c\r"
-_SPAN = "array<struct<start:int,end:int,text:string>>"
+SPANS = "array<struct<start:int,end:int,text:string>>"
 _STEP = 128
 
 
@@ -36,14 +36,14 @@ def sentence_spans(text: Column) -> Column:
 
     def block(c: Column):
         def run(acc: Column, i: Column) -> Column:
-            part = F.aggregate(F.slice(c, i * _STEP + 1, F.lit(_STEP)), F.struct(acc["at"].alias("at"), F.array().cast(_SPAN).alias("out")), _add)
+            part = F.aggregate(F.slice(c, i * _STEP + 1, F.lit(_STEP)), F.struct(acc["at"].alias("at"), F.array().cast(SPANS).alias("out")), _add)
             return F.element_at(F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out"))), 1)
 
         return run
 
     def whole(c: Column) -> Column:
         steps = F.sequence(F.lit(0), F.floor((F.greatest(F.size(c), F.lit(1)) - 1) / _STEP).cast("int"))
-        return F.flatten(F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")), block(c))["out"])
+        return F.flatten(F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), block(c))["out"])
 
     return F.element_at(F.transform(F.array(chunks), whole), 1)
 

@@ -70,15 +70,20 @@ def abstract_from_index(index: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " "), F.lit(""))
 
 
-def append_unique(current: Column, incoming: Column, sep: str = "; ") -> Column:
-    """Tokens of both, trimmed, blank ones out; what comes in is added once, what was there stays as it is."""
+def split_tokens(text: Column, sep: str = "; ") -> Column:
+    """Trimmed tokens that are not blank, with repeats; none of null."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), f"\\Q{sep}\\E"), strip), lambda x: x != "")
+
 
-    def tokens(c: Column) -> Column:
-        return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), f"\\Q{sep}\\E"), strip), lambda x: x != "")
+def append_tokens(current: Column, new: Column, sep: str = "; ") -> Column:
+    """The tokens of a string, repeats included, then those of an array that are not among them, once each."""
+    have = split_tokens(current, sep)
+    return F.array_join(F.concat(have, F.filter(F.array_distinct(new), lambda x: ~F.array_contains(have, x))), sep)
 
-    have = tokens(current)
-    new = F.filter(F.array_distinct(tokens(incoming)), lambda x: ~F.array_contains(have, x))
-    return F.array_join(F.concat(have, new), sep)
+
+def append_unique(current: Column, incoming: Column, sep: str = "; ") -> Column:
+    """Tokens of both, trimmed, blank ones out; what comes in is added once, what was there stays as it is."""
+    return append_tokens(current, split_tokens(incoming, sep), sep)
 
 
 def unique_tokens(values: Column, sep: str = "; ") -> Column:

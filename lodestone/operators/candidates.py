@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import rules as R
 from lodestone.functions.fields import confidence, window_values
 from lodestone.functions.regexes import found
-from lodestone.functions.sentences import sentence_spans
+from lodestone.functions.sentences import SPANS, sentence_spans
 
 METHOD = "rule-baseline-v1"
 
@@ -31,7 +31,9 @@ def windows(df: DataFrame, text: str = "text", context: int = 2) -> DataFrame:
         before = F.get("_w", j - 1)
         return (j == 0) | (w["start"] != before["start"]) | (w["end"] != before["end"])
 
-    d = df.withColumn("_s", sentence_spans(F.col(text))).withColumn("_w", F.transform(anchors, window)).drop("_s").withColumn("_w", F.filter("_w", new))
+    # a text without a result needs no sentences
+    spans = F.when(found(F.col(text), R.EE) | found(F.col(text), R.YIELD), sentence_spans(F.col(text))).otherwise(F.array().cast(SPANS))
+    d = df.withColumn("_s", spans).withColumn("_w", F.transform(anchors, window)).drop("_s").withColumn("_w", F.filter("_w", new))
     # an outer explode, as the filter that is inferred for an inner one would work everything out once more
     d = d.select(*df.columns, F.explode_outer("_w").alias("_w")).where("_w.ordinal is not null")
     return d.select(*df.columns, "_w.*", F.substring(text, F.col("_w.start") + 1, F.col("_w.end") - F.col("_w.start")).alias("evidence"))

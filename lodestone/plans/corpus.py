@@ -18,9 +18,20 @@ from (select cast(l_orderkey as bigint) as ok, cast(l_linenumber as int) as ln,
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores where its files fall into fewer parts than there are cores; a large table stays as its files lie, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are dear to work off."""
+    return spread(table(spark, sf_dir, name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(REACTIONS.replace("from lineitem", "from {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    return spark.sql(REACTIONS.replace("from lineitem", "from {lineitem}"), lineitem=texts(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))

@@ -11,7 +11,7 @@ from lodestone.functions.sentences import compact_sentences, sentence_spans
 from lodestone.operators.candidates import extract_candidates
 from lodestone.operators.evaluation import FIELDS, coverage, evaluate, field_accuracy, field_hits
 from lodestone.operators.papers import extract_papers
-from lodestone.plans.corpus import REACTIONS, reactions, table
+from lodestone.plans.corpus import REACTIONS, reactions, texts
 
 QUERIES, ORACLES = {}, {}
 
@@ -78,7 +78,7 @@ QUERIES["candidates_k2"], ORACLES["candidates_k2"] = _candidates(2), _candidates
 
 
 def sentence_spans_q(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(sentence_spans(F.col("text"))).alias("i", "s"))
+    docs = texts(spark, d, "documents").select("doc_id", F.posexplode(sentence_spans(F.col("text"))).alias("i", "s"))
     return docs.select("doc_id", (F.col("i") + 1).cast("long").alias("idx"), F.col("s.start").alias("s"), F.col("s.end").alias("e"), F.col("s.text").alias("sent"))
 
 
@@ -87,7 +87,7 @@ ORACLES["sentence_spans"] = f"with {_spans_cte('documents', 'doc_id').strip()} s
 
 
 def sentences_compact(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(compact_sentences(F.col("text"))).alias("i", "sentence"))
+    return texts(spark, d, "documents").select("doc_id", F.posexplode(compact_sentences(F.col("text"))).alias("i", "sentence"))
 
 
 QUERIES["sentences_compact"] = sentences_compact

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import abstract_from_index, normalize_doi, normalize_title, paper_filename, safe_filename
 from lodestone.operators import citations, linkage, screening
-from lodestone.plans.corpus import table
+from lodestone.plans.corpus import table, texts
 
 QUERIES, ORACLES = {}, {}
 
@@ -26,7 +26,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     doi = F.when(m == 0, F.concat(F.lit("https://doi.org/10.1/"), key)).when(m == 1, F.concat(F.lit("doi:10.1/"), key)).when(m == 2, F.concat(F.lit(" HTTP://DX.DOI.ORG/10.1/"), key)).when(m == 3, F.concat(F.lit("10.1/"), key)).otherwise("")
     t, q = F.col("doc_id") % 3, F.col("doc_id") % 4
     refs = F.concat_ws("|", (F.col("doc_id") * 7 + 1) % 1000, (F.col("doc_id") * 13 + 5) % 1000, F.lit(""), (F.col("doc_id") * 3) % 1000)
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents").select(
         F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"), doi.alias("doi"),
         F.when(t == 0, "OpenAlex").when(t == 1, "Crossref; OpenAlex").otherwise("Semantic Scholar").alias("source_database"), F.col("lang").alias("search_query"),
         F.when(q == 0, "review").when(q == 3, "unknown").otherwise("primary").alias("record_type"), F.col("n_chars").alias("cited_by"), refs.alias("referenced_works"), F.col("text").alias("abstract"),
@@ -41,7 +41,7 @@ QUERIES["normalize_doi"] = lambda spark, d: records(spark, d).select("ord", norm
 ORACLES["normalize_doi"] = f"select ord, {_DOI} as doi_key from ({RECORDS}) r"
 QUERIES["normalize_title"] = lambda spark, d: records(spark, d).select("ord", normalize_title(F.col("title")).alias("title_key"))
 ORACLES["normalize_title"] = f"select ord, {_TITLE} as title_key from ({RECORDS}) r"
-QUERIES["safe_filename"] = lambda spark, d: table(spark, d, "pages").select("page_id", safe_filename(F.col("url")).alias("name"))
+QUERIES["safe_filename"] = lambda spark, d: texts(spark, d, "pages").select("page_id", safe_filename(F.col("url")).alias("name"))
 ORACLES["safe_filename"] = r"select page_id, coalesce(nullif(substr(trim(regexp_replace(url, '[^\w.-]+', '_', 'g'), '._'), 1, 140), ''), 'paper') || '.pdf' as name from pages"
 QUERIES["paper_filename"] = lambda spark, d: table(spark, d, "part").select("p_partkey", paper_filename(F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_size").cast("string")), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat("p_brand", F.lit(" Mc-"), "p_type", F.lit("; B"))), F.col("p_name")).alias("name"))
 ORACLES["paper_filename"] = r"""
@@ -50,7 +50,7 @@ select p_partkey, case when p_size % 3 = 0 then 'XXXX' else cast(p_size as varch
 
 
 def abstract_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("p", "w"))
+    w = texts(spark, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("p", "w"))
     index = w.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     return index.select("doc_id", F.sha2(abstract_from_index(F.col("index")), 256).alias("sha"))
 
@@ -76,16 +76,23 @@ def dedup_merge(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["dedup_merge"] = dedup_merge
 
 
-def _union_sql(column: str, sep: str) -> str:
-    return f"""(select cluster, string_agg(tok, '{sep}' order by o, i) as {column} from (select cluster, tok, min(o) as o, arg_min(i, o * 1000 + i) as i from
- (select cluster, ord as o, generate_subscripts(string_split({column}, '{sep}'), 1) as i, trim(unnest(string_split({column}, '{sep}'))) as tok from c) u where tok <> '' group by 1, 2) v group by 1)"""
+def _brought_sql(column: str, sep: str) -> str:
+    """DuckDB: cluster, l: the different tokens that later records of a cluster bring, by first place."""
+    return f"""(select cluster, list(tok order by k) as l from (select cluster, tok, min(o * 1000 + i) as k from
+ (select cluster, ord as o, generate_subscripts(string_split({column}, '{sep}'), 1) as i, trim(unnest(string_split({column}, '{sep}'))) as tok from c where ord <> cluster) u where tok <> '' group by 1, 2) v group by 1)"""
+
+
+def _merged_sql(column: str, sep: str, brought: str) -> str:
+    have = f"list_filter(list_transform(string_split(f.{column}, '{sep}'), lambda x: trim(x)), lambda x: x <> '')"
+    return f"case when {brought}.l is null then f.{column} else array_to_string(list_concat({have}, list_filter({brought}.l, lambda y: not list_contains({have}, y))), '{sep}') end as {column}"
 
 
 ORACLES["dedup_merge"] = f"""
 with c as (select *, case when title_key = '' then ord else min(ord) over (partition by title_key) end as cluster from ({KEYED}) k),
-a as (select cluster, coalesce(arg_min(title, ord) filter (title <> ''), '') as title from c group by 1)
-select a.cluster as ord, title, coalesce(source_database, '') as source_database, coalesce(search_query, '') as search_query, coalesce(referenced_works, '') as referenced_works
-from a left join {_union_sql("source_database", "; ")} s using (cluster) left join {_union_sql("search_query", "; ")} q using (cluster) left join {_union_sql("referenced_works", "|")} w using (cluster)"""
+ t as (select cluster, arg_min(trim(title), ord) as title from c where ord <> cluster and trim(title) <> '' group by 1)
+select f.ord, case when f.title = '' then coalesce(t.title, f.title) else f.title end as title, {_merged_sql("source_database", "; ", "s")}, {_merged_sql("search_query", "; ", "q")}, {_merged_sql("referenced_works", "|", "w")}
+from (select * from c where ord = cluster) f left join t using (cluster)
+ left join {_brought_sql("source_database", "; ")} s using (cluster) left join {_brought_sql("search_query", "; ")} q using (cluster) left join {_brought_sql("referenced_works", "|")} w using (cluster)"""
 
 QUERIES["dedup_greedy_fuzzy"] = lambda spark, d: linkage.greedy_clusters(linkage.keys(records(spark, d)))
 

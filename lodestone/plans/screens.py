@@ -10,7 +10,7 @@ from lodestone.functions.rules import ScreenPack
 from lodestone.functions.text import clean_text
 from lodestone.operators import acquisition, fulltext, logs, screening
 from lodestone.operators.evaluation import prf
-from lodestone.plans.corpus import table
+from lodestone.plans.corpus import table, texts
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,7 +27,7 @@ _RECORDS = "select doc_id, array_to_string(list_slice(string_split(text, ' '), 1
 def _records(spark: SparkSession, d: str) -> DataFrame:
     title = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
     kind = F.when(F.col("doc_id") % 3 == 0, "primary").when(F.col("doc_id") % 3 == 1, "unknown").otherwise("")
-    return table(spark, d, "documents").select("doc_id", title.alias("title"), F.col("text").alias("abstract"), kind.alias("record_type"))
+    return texts(spark, d, "documents").select("doc_id", title.alias("title"), F.col("text").alias("abstract"), kind.alias("record_type"))
 
 
 def _sig() -> str:
@@ -87,7 +87,7 @@ FULL = fulltext.FullTextPack(name="English", metal="the", other_metal="rrrr", as
 
 
 def _papers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    pages = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_no"), "text")
+    pages = texts(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_no"), "text")
     papers = pages.groupBy("doc_id").agg(F.substring(F.min(F.struct("page_no", "text"))["text"], 1, 60).alias("title")).withColumns({"has_pdf": F.col("doc_id") % 11 != 0, "error": F.when(F.col("doc_id") % 13 == 0, "broken file")})
     return papers, pages
 
@@ -134,7 +134,7 @@ select doc_id, case when rule in (0, 1, 9) then 'C. Uncertain' when rule = 7 the
  case when rule < 2 then 'Not verified' else coalesce(nullif(x, ''), 'None') end as exclusion_keywords from r"""
 
 _CHALLENGES, _WALLS = (("first", ("casino", "zzzz")), ("second", ("rere", "tion "))), ("thanonth", "que la que")
-QUERIES["page_access_class"] = lambda spark, d: acquisition.page_class(table(spark, d, "pages"), challenges=_CHALLENGES, walls=_WALLS, links=(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']",)).select("page_id", "challenge", "paywall", "pdf_link")
+QUERIES["page_access_class"] = lambda spark, d: acquisition.page_class(texts(spark, d, "pages"), challenges=_CHALLENGES, walls=_WALLS, links=(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']",)).select("page_id", "challenge", "paywall", "pdf_link")
 _UNESCAPED = "replace(replace(replace(replace({0}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
 _TEXT = "lower(trim(regexp_replace(" + _UNESCAPED.format(r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g')") + r", '<[^>]+>', '', 'g'), e' \t\n\r\f\v'))"
 ORACLES["page_access_class"] = f"""
@@ -142,7 +142,7 @@ select page_id, case when t like '%casino%' or t like '%zzzz%' then 'first' when
  coalesce(list_filter(l, lambda x: not regexp_matches(lower(x), 'suppl_file|suppl/|supplementary|_si_|_si\\.|-si\\.|-si_|supporting_information|supporting-information|supp_|/supp\\.|esm|s1\\.pdf|s2\\.pdf|s3\\.pdf'))[1], l[1]) as pdf_link
 from (select page_id, {_TEXT} as t, list_filter(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1), lambda x: trim(x) <> '') as l from pages) q""".replace("\\\\", "\\")
 
-QUERIES["clean_text"] = lambda spark, d: table(spark, d, "pages").select("page_id", F.sha2(clean_text(F.col("html")), 256).alias("sha"), F.length(clean_text(F.col("html"))).alias("n"))
+QUERIES["clean_text"] = lambda spark, d: texts(spark, d, "pages").select("page_id", F.sha2(clean_text(F.col("html")), 256).alias("sha"), F.length(clean_text(F.col("html"))).alias("n"))
 _CLEAN = r"trim(regexp_replace(" + _UNESCAPED.format("html") + r", '<[^>]+>', '', 'g'), e' \t\n\r\f\v')"
 ORACLES["clean_text"] = f"select page_id, sha256({_CLEAN}) as sha, cast(length({_CLEAN}) as int) as n from pages where not regexp_matches(html, '&am?p?$')  union all select page_id, sha256(regexp_replace({_CLEAN}, '&amp$', '&')), cast(length(regexp_replace({_CLEAN}, '&amp$', '&')) as int) from pages where regexp_matches(html, '&am?p?$')"
 
@@ -177,7 +177,7 @@ select run_id, place, stage, coalesce(status, 'pending') as status from p left j
 
 
 def download_status(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row"), (F.col("doc_id") % 7 == 0).alias("exists"))
+    docs = texts(spark, d, "documents").select(F.col("doc_id").alias("row"), (F.col("doc_id") % 7 == 0).alias("exists"))
     n = (F.col("row") % 4).cast("int")
     attempts = docs.where(n > 0).select("row", F.explode(F.sequence(F.lit(1), n)).alias("ordinal")).withColumns({"url": F.concat(F.lit("https://x/"), "row", F.lit("/"), "ordinal"), "ok": (F.col("row") + F.col("ordinal")) % 3 == 0})
     return acquisition.attempt_status(docs, attempts)
