@@ -131,8 +131,10 @@ _TRIM = _trim()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder, dealt out over all cores where its files fall into fewer parts than there are cores; a large table stays as its files lie."""
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 #: Lower-cases A-Z in UTF-8 bytes and leaves all else.

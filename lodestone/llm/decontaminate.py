@@ -1,13 +1,16 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark windows."""
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark windows, read word by word."""
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,51 +18,62 @@ from lodestone.llm.common import documents, map_whole, pick, read, released
 
 #: Lower case for A-Z, a space for what [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ leaves out (after lowering); other bytes stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Bytes of benchmark text in one automaton. A larger benchmark is scanned in several blocks of this size.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in one automaton (about 350,000 windows, some 200 MB in a worker). A larger benchmark is scanned in several blocks of this size.
+BLOCK_BYTES = 8 << 20
 
 
 def normalise(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def automaton(items: Iterable[tuple[object, str | None]], window: int) -> ahocorasick.Automaton | None:
-    """Each window as ' w1 .. wn ', with its word count and the ids of its items; None when no item has words."""
-    keys: dict[str, tuple[int, list]] = {}
-    for item_id, text in items:
+class Finder:
+    """One automaton over benchmark windows as sequences of word numbers; a word of no window has the number 0, which no window holds."""
+
+    def __init__(self, items: Iterable[tuple[object, str | None]], window: int) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.ids: list[str] = []
+        keys: dict[tuple[int, ...], list[int]] = {}
+        for item_id, text in items:
+            w = [self.numbers.setdefault(x, len(self.numbers) + 1) for x in normalise(text)]
+            own = len(self.ids)
+            self.ids.append(str(item_id))
+            for i in range(max(1, len(w) - window + 1) if w else 0):
+                found = keys.setdefault(tuple(w[i : i + window]), [])
+                if not found or found[-1] != own:
+                    found.append(own)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for k, own in keys.items():
+            self.automaton.add_word(k, (len(k), own))
+        self.empty = not keys
+        if keys:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
+        """Words of the text, the merged hit word ranges [start, end), and the items found."""
         w = normalise(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[i : i + window]
-            n, ids = keys.setdefault(" " + b" ".join(part).decode("latin-1") + " ", (len(part), []))
-            if str(item_id) not in ids:
-                ids.append(str(item_id))
-    if not keys:
-        return None
-    a = ahocorasick.Automaton()
-    for k, v in keys.items():
-        a.add_word(k, v)
-    a.make_automaton()
-    return a
-
-
-def scan(text: str | None, a: ahocorasick.Automaton | None) -> tuple[int, list[tuple[int, int]], list[str]]:
-    """Words of the text, the merged hit word ranges [start, end), and the items found."""
-    w = normalise(text)
-    if not w or a is None:
-        return len(w), [], []
-    line = " " + b" ".join(w).decode("latin-1") + " "
-    found = list(a.iter(line))
-    if not found:
-        return len(w), [], []
-    spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-    last = np.searchsorted(spaces, [e for e, _ in found])
-    ranges: list[tuple[int, int]] = []
-    for s, e in sorted((int(e) - n, int(e)) for e, (n, _) in zip(last, (v for _, v in found), strict=True)):
-        if ranges and s <= ranges[-1][1]:
-            ranges[-1] = (ranges[-1][0], max(e, ranges[-1][1]))
-        else:
-            ranges.append((s, e))
-    return len(w), ranges, sorted({i for _, (_, ids) in found for i in ids})
+        if not w or self.empty:
+            return len(w), [], []
+        found = list(self.automaton.iter(tuple(map(self.numbers.get, w, repeat(0)))))
+        if not found:
+            return len(w), [], []
+        ranges: list[tuple[int, int]] = []
+        for s, e in sorted((e + 1 - n, e + 1) for e, (n, _) in found):
+            if ranges and s <= ranges[-1][1]:
+                ranges[-1] = (ranges[-1][0], max(e, ranges[-1][1]))
+            else:
+                ranges.append((s, e))
+        return len(w), ranges, sorted({self.ids[i] for _, (_, own) in found for i in own})
+
+
+_LAST: list = [None, None]
+
+
+def finder_of(key: str, sent: Broadcast, window: int) -> Finder:
+    """The finder of a broadcast block, kept by the worker between tasks under the block's key."""
+    if _LAST[0] != key:
+        _LAST[:] = [key, None]  # the one before goes first
+        _LAST[1] = Finder(sent.value, window)
+    return _LAST[1]
 
 
 def offsets(text: str | None, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -77,14 +91,14 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("ranges",
 
 def _hits(docs: DataFrame, block: list[tuple[object, str | None]], window: int) -> DataFrame:
     """SCHEMA and text_key, a hash of the text, of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_BYTES, or one item
+    sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex  # at most BLOCK_BYTES, or one item
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(sent.value, window)
-        for b in batches:
+        finder = finder_of(key, sent, window)
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             texts = b.column(1).to_pylist()
-            rows = [scan(t, a) for t in texts]
+            rows = [finder.scan(t) for t in texts]
             keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in r[1]] for r in rows], _ARROW.field("ranges").type), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array(keys, pa.binary())], schema=_ARROW.append(pa.field("text_key", pa.binary())))
 
@@ -147,19 +161,20 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10)
     """The rows of docs, all columns kept, without those that hold a benchmark window."""
     d, at = docs, docs.columns.index("text")
     for block in blocks(pick(benchmark, "item_id", "text")):
-        sent = d.sparkSession.sparkContext.broadcast(block)
+        sent, key = d.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         @released
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            a = automaton(sent.value, window)
-            for b in batches:
-                yield b.filter(pa.array([not scan(t, a)[1] for t in b.column(at).to_pylist()], pa.bool_()))
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            finder = finder_of(key, sent, window)
+            for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+                yield b.filter(pa.array([not finder.scan(t)[1] for t in b.column(at).to_pylist()], pa.bool_()))
 
         d = map_whole(d, run)
     return d
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest() of all documents against the whole benchmark; rows keep null and equal ids."""
     return digest(find_benchmark(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
