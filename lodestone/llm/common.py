@@ -85,6 +85,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows of a table of short rows that may be sent to every executor: some MB.
+FEW = 100_000
+
+
+def if_few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """A written table, marked to be sent to every executor if it has few rows, which are counted here; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 #: Bytes of a batch that goes to a Python worker, unless the session says another number than Spark's default.
 BATCH_BYTES = 8 << 20
 _SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -26,22 +26,27 @@ def normalise(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
+def _letter(n: int) -> str:
+    """The n-th character, surrogates left out. A block of BLOCK_BYTES has fewer words than there are."""
+    return chr(n if n < 0xD800 else n + 0x800)
+
+
 class Finder:
-    """One automaton over benchmark windows as sequences of word numbers; a word of no window has the number 0, which no window holds."""
+    """One automaton over benchmark windows in which each word is one letter; a word of no window is the letter 0, which no window holds."""
 
     def __init__(self, items: Iterable[tuple[object, str | None]], window: int) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.letters: dict[bytes, str] = {}
         self.ids: list[str] = []
-        keys: dict[tuple[int, ...], list[int]] = {}
+        keys: dict[str, list[int]] = {}
         for item_id, text in items:
-            w = [self.numbers.setdefault(x, len(self.numbers) + 1) for x in normalise(text)]
+            w = "".join([self.letters.get(x) or self.letters.setdefault(x, _letter(len(self.letters) + 1)) for x in normalise(text)])
             own = len(self.ids)
             self.ids.append(str(item_id))
             for i in range(max(1, len(w) - window + 1) if w else 0):
-                found = keys.setdefault(tuple(w[i : i + window]), [])
+                found = keys.setdefault(w[i : i + window], [])
                 if not found or found[-1] != own:
                     found.append(own)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton()
         for k, own in keys.items():
             self.automaton.add_word(k, (len(k), own))
         self.empty = not keys
@@ -53,7 +58,7 @@ class Finder:
         w = normalise(text)
         if not w or self.empty:
             return len(w), [], []
-        found = list(self.automaton.iter(tuple(map(self.numbers.get, w, repeat(0)))))
+        found = list(self.automaton.iter("".join(map(self.letters.get, w, repeat("\0")))))
         if not found:
             return len(w), [], []
         ranges: list[tuple[int, int]] = []

@@ -27,7 +27,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, read, scratch
+from lodestone.llm.common import FEW, documents, if_few, read, scratch
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -181,9 +181,12 @@ def term_spans(found: DataFrame) -> DataFrame:
     told = stats.where((pmi >= DISCLOSURE * F.log2(F.col("n") / F.col("n_e"))) & (pmi >= F.log2(F.col("n") / F.col("n_kind"))) & enough)
     told.groupBy("term").agg(F.min("kind").alias("kind")).write.parquet(f"{base}/risky")
     risky = spark.read.parquet(f"{base}/risky")
-    of_doc = found.select("k1", "k2", F.explode(_terms(F.col("clear"))).alias("term")).join(risky, "term").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("risky"))
+    of_doc = found.select("k1", "k2", F.explode(_terms(F.col("clear"))).alias("term")).join(if_few(risky), "term").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("risky"))
     of_doc.write.parquet(f"{base}/of_doc")
     of_doc = spark.read.parquet(f"{base}/of_doc")
+    # a row of these is as long as its terms, so their number is what counts
+    few = (of_doc.agg(F.sum(F.size("risky"))).first()[0] or 0) <= FEW
+    of_doc = F.broadcast(of_doc) if few else of_doc
     places = F.filter(located(F.col("clear"), TERM), lambda x: F.map_contains_key(F.col("risky"), F.lower(x["m"])))
     places = F.transform(places, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.try_element_at("risky", F.lower(x["m"])).alias("kind")))
     return found.select("k1", "k2", "clear").join(of_doc, ["k1", "k2"]).select("k1", "k2", places.alias("terms")).groupBy("k1", "k2").agg(F.first("terms").alias("terms"))
