@@ -1,3 +1,4 @@
-"""Rule-driven document mining on Spark: DataFrame operators, functions, sources, sinks and streams."""
+"""Rule-driven document mining on Spark: DataFrame operators, functions, sources, sinks, streams and stages."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
+__all__ = ["functions", "operators", "plans", "sources", "stages", "streaming"]

@@ -50,15 +50,39 @@ def resolve(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b, x.strip()) if b is not None and x is not None and x.strip() else None for b, x in zip(base, link, strict=True)], dtype="object")
 
 
-#: Patterns of links to a paper's file in order of preference: anchor attributes, then href, then anchor text.
+def _anchor(condition: str, href: str = "[^\"']*") -> str:
+    """The href of an anchor whose start tag meets a look-ahead condition."""
+    return rf"(?is)<a\b(?=[^>]*{condition})[^>]*?\bhref\s*=\s*[\"']({href})[\"']"
+
+
+def _in_class(name: str) -> str:
+    return rf"(?is)<[^>]+class\s*=\s*[\"'][^\"']*{name}[^\"']*[\"'][^>]*>\s*<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
+
+
+def _labelled(text: str) -> str:
+    return rf"(?s)<[aA]\b[^>]*?\b(?i:href)\s*=\s*[\"']([^\"']*)[\"'][^>]*>{text}\s*</[aA]>"
+
+
+#: Patterns of links to a paper's file in order of preference.
 PDF_LINKS = (
-    r"(?is)<a\b(?=[^>]*data-track-action\s*=\s*[\"'](?:download pdf|pdf download)[\"'])[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']",
+    _anchor(r"\bdata-track-action\s*=\s*[\"']download pdf[\"']"),
+    _anchor(r"\bdata-track-action\s*=\s*[\"']pdf download[\"']"),
+    _anchor(r"\bdata-article-url\s*=\s*[\"'][^\"']*\.pdf[\"']"),
     r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*\.pdf)[\"']",
     r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"'](?=[^\"']*/pdf/)([^\"']*doi[^\"']*)[\"']",
     r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*/pdf/[^\"']*)[\"']",
-    r"(?is)<a\b(?=[^>]*(?:title|aria-label)\s*=\s*[\"'](?:download )?pdf)[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']",
-    r"(?is)<[^>]+class\s*=\s*[\"'][^\"']*(?:c-pdf-download|pdf-download|download-pdf)[^\"']*[\"'][^>]*>\s*<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']",
-    r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>\s*(?:pdf|download pdf|full.?text pdf|view pdf|open pdf)\s*</a>",
+    _anchor(r"\btitle\s*=\s*[\"']download pdf[\"']"),
+    _anchor(r"\btitle\s*=\s*[\"']pdf[\"']"),
+    _anchor(r"\baria-label\s*=\s*[\"'][^\"']*download pdf"),
+    _anchor(r"\baria-label\s*=\s*[\"'][^\"']*pdf"),
+    _in_class("c-pdf-download"),
+    _in_class("pdf-download"),
+    _in_class("download-pdf"),
+    _labelled(r"\s*PDF"),
+    _labelled(r"(?i:\s*download pdf)"),
+    _labelled(r"(?i:[^<]*full.?text pdf[^<]*)"),
+    _labelled(r"(?i:[^<]*view pdf[^<]*)"),
+    _labelled(r"(?i:[^<]*open pdf[^<]*)"),
 )
 
 
@@ -96,3 +120,59 @@ def attempt_status(papers: DataFrame, attempts: DataFrame, key: str = "row") ->
     a = attempts.groupBy(key).agg(F.count("*").alias("n"), F.min(F.when(F.col("ok"), F.struct("ordinal", "url"))).alias("won"))
     status = F.when(F.col("exists"), "REUSED").when(F.coalesce("n", F.lit(0)) == 0, "NO_OA_URL").when(F.col("won").isNotNull(), "SUCCESS").otherwise("DOWNLOAD_FAILED")
     return papers.join(a, key, "left").select(*[papers[c] for c in papers.columns], status.alias("status"), F.when(status == "SUCCESS", F.col("won.url")).otherwise("").alias("url"))
+
+
+def union_urls(services: dict[str, Column]) -> Column:
+    """array of struct(source, url): the urls of several services one after the other, in the order of the dict; blanks and nulls out, repeats stay with their source."""
+    parts = [F.transform(F.filter(F.coalesce(urls, F.array().cast("array<string>")), lambda u: u.isNotNull() & (u != "")), _sourced(name)) for name, urls in services.items()]
+    return F.concat(*parts)
+
+
+def _sourced(name: str):
+    return lambda u: F.struct(F.lit(name).alias("source"), u.alias("url"))
+
+
+def attempts_of(papers: DataFrame, services: dict[str, Column], key: str = "row") -> DataFrame:
+    """key, ordinal (from 1), source, url: what is to be tried, in order."""
+    return papers.select(key, F.posexplode(union_urls(services)).alias("n", "x")).select(key, (F.col("n") + 1).alias("ordinal"), "x.source", "x.url")
+
+
+def nav_url(url: Column, doi: Column) -> Column:
+    """Where a visit starts: the url if it is one, else the DOI's, else null."""
+    u = F.trim(F.coalesce(url, F.lit("")))
+    return F.when(u.startswith("http"), u).when(F.coalesce(doi, F.lit("")) != "", F.concat(F.lit("https://doi.org/"), doi))
+
+
+def visit_status(visits: DataFrame) -> DataFrame:
+    """visits with status and status_notes: how a visit to a paper's page ended, by the first step that failed.
+
+    visits: nav_url (string or null), timed_out (boolean), challenge (its name or null), challenge_left, login_left
+    (booleans: still there after a second look), paywall (boolean), page_url, pdf_link (string or null), file_bytes (long or null),
+    file_head (binary or null: the first bytes of what was saved), min_bytes (long). Null booleans are false.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    steps = [
+        (F.col("nav_url").isNull(), "SKIP", F.lit("No DOI or URL")),
+        (yes("timed_out"), "TIMEOUT", F.lit("Page load timeout")),
+        (F.col("challenge").isNotNull() & yes("challenge_left"), "CHALLENGE_UNRESOLVED", F.concat("challenge", F.lit(" challenge not cleared"))),
+        (yes("login_left"), "LOGIN_REQUIRED", F.lit("Login wall still present after manual attempt")),
+        (yes("paywall"), "ACCESS_DENIED", F.lit("Paywall — no institutional access")),
+        (F.coalesce("pdf_link", F.lit("")) == "", "NO_PDF_LINK", F.concat(F.lit("No PDF link at "), F.coalesce("page_url", F.lit("")))),
+        (F.coalesce("file_bytes", F.lit(-1)) < F.col("min_bytes"), "DOWNLOAD_FAILED", F.lit("No valid file produced")),
+        (F.coalesce(F.substring("file_head", 1, 5) != F.lit(b"%PDF-"), F.lit(True)), "INVALID_FILE", F.lit("Not a valid PDF")),
+    ]
+    status = notes = None
+    for cond, name, note in steps:
+        status = F.when(cond, name) if status is None else status.when(cond, name)
+        notes = F.when(cond, note) if notes is None else notes.when(cond, note)
+    return visits.withColumns({"status": status.otherwise("SUCCESS"), "status_notes": notes.otherwise(F.concat(F.lit("Downloaded from "), "pdf_link"))})
+
+
+def pick_row(records: DataFrame, row: int | None, key: str = "row") -> DataFrame:
+    """All records, or the one numbered `row`; a number that is not there raises IndexError. Numbers run from 1 without gaps."""
+    if row is None:
+        return records
+    n = records.agg(F.max(key)).first()[0] or 0
+    if not 1 <= row <= n:
+        raise IndexError(f"Row must be between 1 and {n}; got {row}.")
+    return records.where(F.col(key) == row)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.rules import SEED_WORDS
 from lodestone.operators.screening import joined_text
 
+# Fixed values.
 MAX_REVIEWS = MAX_PRIMARY = 12
 REVIEW_CAP, BACKWARD_CAP, FORWARD_CAP = 150, 80, 50
 

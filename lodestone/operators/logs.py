@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The stages in order.
@@ -14,6 +14,16 @@ def upsert(existing: DataFrame, new: DataFrame, key: str = "row") -> DataFrame:
     return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def upsert_sorted(existing: DataFrame, new: DataFrame, key: str = "row") -> DataFrame:
+    """upsert() in the order of the key, as a log is kept."""
+    return upsert(existing, new, key).orderBy(key)
+
+
+def run_id(name: Column, when: Column) -> Column:
+    """A run's name from that of its configuration and the time (UTC in the session's zone): no spaces, no path separators."""
+    return F.concat_ws("_", F.translate(name, " /\\", "___"), F.date_format(when, "yyyyMMdd_HHmmss"))
+
+
 def latest(events: DataFrame, by: list[str], seq: str, value: str) -> DataFrame:
     """The value with the highest seq for each key."""
     return events.groupBy(*by).agg(F.max_by(value, seq).alias(value), F.max(seq).alias(seq))

@@ -134,13 +134,14 @@ select doc_id, case when rule in (0, 1, 9) then 'C. Uncertain' when rule = 7 the
  case when rule < 2 then 'Not verified' else coalesce(nullif(x, ''), 'None') end as exclusion_keywords from r"""
 
 _CHALLENGES, _WALLS = (("first", ("casino", "zzzz")), ("second", ("rere", "tion "))), ("thanonth", "que la que")
-QUERIES["page_access_class"] = lambda spark, d: acquisition.page_class(texts(spark, d, "pages"), challenges=_CHALLENGES, walls=_WALLS, links=(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']",)).select("page_id", "challenge", "paywall", "pdf_link")
+QUERIES["page_access_class"] = lambda spark, d: acquisition.page_class(texts(spark, d, "pages"), challenges=_CHALLENGES, walls=_WALLS, links=(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']",)).select("page_id", "challenge", "login", "paywall", "pdf_link")
 _UNESCAPED = "replace(replace(replace(replace({0}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+LOGIN_SQL = acquisition.LOGIN.replace("\"'", "\"''")
 _TEXT = "lower(trim(regexp_replace(" + _UNESCAPED.format(r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g')") + r", '<[^>]+>', '', 'g'), e' \t\n\r\f\v'))"
 ORACLES["page_access_class"] = f"""
-select page_id, case when t like '%casino%' or t like '%zzzz%' then 'first' when t like '%rere%' or t like '%tion %' then 'second' end as challenge, t like '%thanonth%' or t like '%que la que%' as paywall,
+select page_id, case when t like '%casino%' or t like '%zzzz%' then 'first' when t like '%rere%' or t like '%tion %' then 'second' end as challenge, regexp_matches(html, '{LOGIN_SQL}') as login, t like '%thanonth%' or t like '%que la que%' as paywall,
  coalesce(list_filter(l, lambda x: not regexp_matches(lower(x), 'suppl_file|suppl/|supplementary|_si_|_si\\.|-si\\.|-si_|supporting_information|supporting-information|supp_|/supp\\.|esm|s1\\.pdf|s2\\.pdf|s3\\.pdf'))[1], l[1]) as pdf_link
-from (select page_id, {_TEXT} as t, list_filter(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1), lambda x: trim(x) <> '') as l from pages) q""".replace("\\\\", "\\")
+from (select page_id, {_TEXT} as t, list_filter(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1), lambda x: trim(x) <> '') as l, html from pages) q""".replace("\\\\", "\\")
 
 QUERIES["clean_text"] = lambda spark, d: texts(spark, d, "pages").select("page_id", F.sha2(clean_text(F.col("html")), 256).alias("sha"), F.length(clean_text(F.col("html"))).alias("n"))
 _CLEAN = r"trim(regexp_replace(" + _UNESCAPED.format("html") + r", '<[^>]+>', '', 'g'), e' \t\n\r\f\v')"
@@ -188,3 +189,115 @@ ORACLES["download_status"] = """
 select "row", "exists", case when "exists" then 'REUSED' when n = 0 then 'NO_OA_URL' when won is not null then 'SUCCESS' else 'DOWNLOAD_FAILED' end as status,
  case when not "exists" and n > 0 and won is not null then 'https://x/' || "row" || '/' || won else '' end as url
 from (select doc_id as "row", doc_id % 7 = 0 as "exists", doc_id % 4 as n, (select min(k) from range(1, 4) t(k) where k <= doc_id % 4 and (doc_id + k) % 3 = 0) as won from documents) q"""
+
+
+def log_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """The first lines of the log in its order."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("row"), "event_id", "event_type")
+    first = e.groupBy("row").agg(F.min("event_id").alias("event_id"), F.min_by("event_type", "event_id").alias("event_type"))
+    new = e.where("event_type = 'purchase'").groupBy("row").agg(F.max("event_id").alias("event_id")).withColumn("event_type", F.lit("new"))
+    return logs.upsert_sorted(first, new).limit(40)
+
+
+QUERIES["log_sorted"] = log_sorted
+ORACLES["log_sorted"] = f'select * from ({ORACLES["log_upsert"]}) u order by "row" limit 40'
+
+QUERIES["run_ids"] = lambda spark, d: table(spark, d, "part").select("p_partkey", logs.run_id(F.concat_ws("/", "p_name", "p_type"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("p_partkey") * 61)).alias("run_id"))
+ORACLES["run_ids"] = r"""select p_partkey, translate(p_name || '/' || p_type, ' /\', '___') || '_' || strftime(epoch_ms((1700000000 + p_partkey * 61) * 1000), '%Y%m%d_%H%M%S') as run_id from part""".replace("\\\\", "\\")
+
+
+def _urls(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row"))
+    some = lambda name, m: F.transform(F.sequence(F.lit(0), (F.col("row") % m).cast("int")), lambda i: F.when(i % 3 == 2, F.lit("")).otherwise(F.concat(F.lit(name), F.col("row").cast("string"), F.lit("/"), i.cast("string"))))
+    return acquisition.attempts_of(docs, {"OpenAlex": some("https://a/", 4), "Crossref": F.when(F.col("row") % 2 == 0, some("https://b/", 3)), "Unpaywall": some("https://a/", 2)})
+
+
+QUERIES["url_attempts"] = _urls
+ORACLES["url_attempts"] = """
+with u as (select doc_id as "row", 1 as s, 'OpenAlex' as source, i, 'https://a/' || doc_id || '/' || i as url from documents, range(0, 4) t(i) where i <= doc_id % 4
+ union all select doc_id, 2, 'Crossref', i, 'https://b/' || doc_id || '/' || i from documents, range(0, 3) t(i) where i <= doc_id % 3 and doc_id % 2 = 0
+ union all select doc_id, 3, 'Unpaywall', i, 'https://a/' || doc_id || '/' || i from documents, range(0, 2) t(i) where i <= doc_id % 2)
+select "row", cast(row_number() over (partition by "row" order by s, i) as int) as ordinal, source, url from u where i % 3 <> 2"""
+
+
+def visit_status(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id")
+    v = table(spark, d, "pages").select(
+        "page_id", acquisition.nav_url(F.when(k % 13 == 0, "ftp:/x").when(k % 11 != 0, F.col("url")), F.when(k % 13 == 0, "10.1/x")).alias("nav_url"), (k % 7 == 0).alias("timed_out"), F.when(k % 3 == 0, "captcha").alias("challenge"), (k % 6 == 0).alias("challenge_left"),
+        F.when(k % 5 != 1, k % 10 == 0).alias("login_left"), (k % 17 == 0).alias("paywall"), F.col("url").alias("page_url"), F.when(k % 4 != 0, F.concat("url", F.lit(".pdf"))).alias("pdf_link"), F.when(k % 9 != 0, k * 100).alias("file_bytes"),
+        F.when(k % 8 != 3, F.when(k % 8 == 5, F.lit(b"<html>")).otherwise(F.lit(b"%PDF-1.7"))).alias("file_head"), F.lit(15_000).alias("min_bytes"),
+    )
+    return acquisition.visit_status(v).select("page_id", "status", "status_notes")
+
+
+QUERIES["visit_status"] = visit_status
+ORACLES["visit_status"] = """
+select page_id, s as status, case s when 'SKIP' then 'No DOI or URL' when 'TIMEOUT' then 'Page load timeout' when 'CHALLENGE_UNRESOLVED' then 'captcha challenge not cleared' when 'LOGIN_REQUIRED' then 'Login wall still present after manual attempt'
+ when 'ACCESS_DENIED' then 'Paywall — no institutional access' when 'NO_PDF_LINK' then 'No PDF link at ' || url when 'DOWNLOAD_FAILED' then 'No valid file produced' when 'INVALID_FILE' then 'Not a valid PDF' else 'Downloaded from ' || url || '.pdf' end as status_notes
+from (select page_id, url, case when page_id % 13 <> 0 and (page_id % 11 = 0 or not starts_with(trim(url), 'http')) then 'SKIP' when page_id % 7 = 0 then 'TIMEOUT' when page_id % 6 = 0 then 'CHALLENGE_UNRESOLVED' when page_id % 10 = 0 and page_id % 5 <> 1 then 'LOGIN_REQUIRED'
+ when page_id % 17 = 0 then 'ACCESS_DENIED' when page_id % 4 = 0 then 'NO_PDF_LINK' when page_id % 9 = 0 or page_id * 100 < 15000 then 'DOWNLOAD_FAILED' when page_id % 8 in (3, 5) then 'INVALID_FILE' else 'SUCCESS' end as s from pages) q"""
+
+
+def search_log_q(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.operators import search
+
+    docs = table(spark, d, "documents")
+    queries = docs.select(F.col("lang").alias("query")).where("query is not null").distinct().select(F.concat(F.lit("g-"), "query").alias("group"), "query")
+    found = docs.select(F.when(F.col("doc_id") % 3 == 0, "OpenAlex").otherwise("Crossref").alias("source_database"), F.col("lang").alias("search_query"))
+    errors = spark.createDataFrame([("Crossref", "de", "timeout")], "source_database string, search_query string, error string")
+    return search.search_log(queries, found, ("OpenAlex", "Crossref", "Semantic Scholar"), errors, now=F.timestamp_seconds(F.lit(0)))
+
+
+QUERIES["search_log"] = search_log_q
+ORACLES["search_log"] = """
+with q as (select distinct lang from documents where lang is not null), s as (select unnest(['OpenAlex', 'Crossref', 'Semantic Scholar']) as source),
+n as (select case when doc_id % 3 = 0 then 'OpenAlex' else 'Crossref' end as source, lang, count(*) as n from documents group by 1, 2)
+select '1970-01-01T00:00:00Z' as timestamp_utc, s.source as source_database, q.lang as search_query, 'g-' || q.lang as search_group, 'keyword search' as search_mode,
+ case when s.source = 'Crossref' and q.lang = 'de' then '0' else cast(coalesce(n.n, 0) as varchar) end as results_returned, case when s.source = 'Crossref' and q.lang = 'de' then 'ERROR' else 'OK' end as status, case when s.source = 'Crossref' and q.lang = 'de' then 'timeout' else '' end as notes
+from q cross join s left join n on n.source = s.source and n.lang = q.lang"""
+
+
+def refused_calls(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.operators import search
+
+    calls = table(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.when(F.col("n_nationkey").isin(14, 19), 429).when(F.col("n_nationkey") % 5 == 3, 500).otherwise(200).alias("http_status"))
+    return search.stop_after_refusal(calls)
+
+
+QUERIES["refused_calls"] = refused_calls
+ORACLES["refused_calls"] = """
+select n_nationkey as ord, cast(h as int) as http_status, case when n_nationkey > 14 then 'SKIPPED' when h = 200 then 'OK' else 'ERROR' end as outcome
+from (select n_nationkey, case when n_nationkey in (14, 19) then 429 when n_nationkey % 5 = 3 then 500 else 200 end as h from nation) q"""
+
+
+def confirmed_papers(spark: SparkSession, d: str) -> DataFrame:
+    """What full-text screening confirms, in the columns that a configuration names."""
+    from lodestone.operators import papers
+
+    return papers.with_columns(papers.confirmed(fulltext.classify(*_papers(spark, d), FULL)), ["doc_id", "Title", "EE_value", "Product"])
+
+
+QUERIES["confirmed_papers"] = confirmed_papers
+ORACLES["confirmed_papers"] = f"""select cast(c.doc_id as varchar) as doc_id, t.title as "Title", c.ee_value as "EE_value", '' as "Product" from ({ORACLES["fulltext_classify"]}) c
+ join (select conv_id as doc_id, substr(arg_min(text, turn), 1, 60) as title from conversations group by 1) t on t.doc_id = c.doc_id where c.classification = 'A. Confirmed'"""
+
+
+def config_merge(spark: SparkSession, d: str) -> DataFrame:
+    """A configuration of its own over a base, key by key, as key and value."""
+    from lodestone.sources.config import merged
+
+    regions = [r.r_name for r in table(spark, d, "region").orderBy("r_regionkey").collect()]  # five rows
+    base = {"a": {"x": "1", "y": {"p": "2", "q": "3"}}, "l": ["1", "2"], **dict.fromkeys(regions, "base")}
+    own = merged(base, {"a": {"y": {"q": "4"}, "z": "5"}, "l": ["9"], regions[0]: "own"})
+
+    def flat(c: dict, path: str = "") -> list[tuple[str, str]]:
+        return [x for k, v in c.items() for x in (flat(v, f"{path}{k}.") if isinstance(v, dict) else [(path + k, ",".join(v) if isinstance(v, list) else v)])]
+
+    return spark.createDataFrame(flat(own), "key string, value string")
+
+
+QUERIES["config_merge"] = config_merge
+ORACLES["config_merge"] = """
+with base as (select unnest(['a.x', 'a.y.p', 'a.y.q', 'l']) as key, unnest(['1', '2', '3', '1,2']) as value union all select r_name, 'base' from region),
+own as (select unnest(['a.y.q', 'a.z', 'l']) as key, unnest(['4', '5', '9']) as value union all select r_name, 'own' from region where r_regionkey = 0)
+select key, coalesce(o.value, b.value) as value from base b full join own o using (key)"""
