@@ -3,8 +3,8 @@
 Each text's words are cut into non-overlapping blocks of BLOCK words; these are the index. Every rolling
 window of BLOCK words of every text probes it. A repeated window of WINDOW >= 2 BLOCK - 1 words holds a whole
 block of either of its occurrences, so its other occurrence has a hit there. Around the hits the exact
-repeats are then built up from WINDOW-word fingerprints of 64 bits: a window is a repeat if its
-fingerprint starts at two places or more, and overlapping repeats merge to maximal ones.
+repeats are then built up from WINDOW-word fingerprints of 96 bits (two hashes of its words in order): a window is a
+repeat if its fingerprint starts at two places or more, and overlapping repeats merge to maximal ones.
 
 Index and probes meet in buckets of their hash, as packed arrays: within one batch of documents a
 hash is sent once however often it occurs, so a passage that a third of all documents share puts one
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, read, released, windows, words
+from lodestone.llm.common import documents, mix, read, released, windows, words
 
 WINDOW, BLOCK = 35, 18
 #: Bytes of text that are worked off together.
@@ -45,6 +45,9 @@ def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[tuple]
         yield rows
 
 
+#: Added to words' hashes for the second hash of a window.
+_SECOND = np.uint64(0x5851F42D4C957F2D)
+
 _SENT = "bucket int, batch long, kind int, body binary"
 _BACK = "batch long, kind int, body binary"
 _FOUND = "k1 long, k2 long, starts binary"
@@ -55,7 +58,7 @@ def _batch(table: pa.Table | pa.RecordBatch, names: list[str]) -> list:
 
 
 def _send(rows: list[tuple], buckets: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    """rows: (k1, k2, hashes, starts, is_block) of each document. Yields packed entries by bucket, and the batch's own table."""
+    """rows: (k1, k2, hashes, starts, is_block, second hashes if wide) of each document. Yields packed entries by bucket, and the batch's own table."""
     lens = [len(r[2]) for r in rows]
     total = sum(lens)
     batch = int(np.frombuffer(hashlib.blake2b(repr([(r[0], r[1], n) for r, n in zip(rows, lens, strict=True)]).encode(), digest_size=8).digest(), np.int64)[0])
@@ -63,10 +66,13 @@ def _send(rows: list[tuple], buckets: int, wide: bool) -> Iterator[pa.RecordBatc
         return
     h = np.concatenate([r[2] for r in rows])
     block = np.concatenate([r[4] for r in rows])
-    order = np.argsort(h, kind="stable")
+    second = np.concatenate([r[5] for r in rows]) if wide else None
+    order = np.lexsort((second, h)) if wide else np.argsort(h, kind="stable")
     sorted_h = h[order]
     new = np.ones(total, bool)
     new[1:] = sorted_h[1:] != sorted_h[:-1]
+    if wide:
+        new[1:] |= second[order[1:]] != second[order[:-1]]
     first = np.flatnonzero(new)
     lead = order[first]
     count = np.diff(np.append(first, total))
@@ -86,7 +92,7 @@ def _send(rows: list[tuple], buckets: int, wide: bool) -> Iterator[pa.RecordBatc
         i = at[a:z]
         step = np.diff(lead[i], prepend=0)  # places rise, so their steps are short
         step = step.astype(np.uint16 if step.max() < 65536 else np.uint32)
-        out.append((int(bucket[at[a]]), 0, np.array([len(i), step.itemsize], np.int64).tobytes() + kept[i].tobytes() + step.tobytes() + np.packbits(flags[i] & 1).tobytes() + np.packbits(flags[i] >> 1).tobytes()))
+        out.append((int(bucket[at[a]]), 0, np.array([len(i), step.itemsize], np.int64).tobytes() + kept[i].tobytes() + (second[lead[i]].tobytes() if wide else b"") + step.tobytes() + np.packbits(flags[i] & 1).tobytes() + np.packbits(flags[i] >> 1).tobytes()))
     for i in range(0, len(out), 512):
         o = out[i : i + 512]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in o], pa.int32()), pa.array([batch] * len(o), pa.int64()), pa.array([x[1] for x in o], pa.int32()), pa.array([x[2] for x in o], pa.binary())], names=["bucket", "batch", "kind", "body"])
@@ -98,7 +104,7 @@ def _meet(wide: bool):
 
     def run(table: pa.Table) -> pa.Table:
         batch, kind, body = _batch(table, ["batch", "kind", "body"])
-        out, hs, leads, blocks, multi, who = [], [], [], [], [], []
+        out, hs, seconds, leads, blocks, multi, who = [], [], [], [], [], [], []
         for b, k, x in zip(batch, kind, body, strict=True):
             if k:
                 out.append((b, 1, x))
@@ -107,6 +113,9 @@ def _meet(wide: bool):
             at = 16
             hs.append(np.frombuffer(x, kind_of, n, at))
             at += n * np.dtype(kind_of).itemsize
+            if wide:
+                seconds.append(np.frombuffer(x, np.uint32, n, at))
+                at += 4 * n
             leads.append(np.cumsum(np.frombuffer(x, np.uint16 if wide_step == 2 else np.uint32, n, at), dtype=np.uint32))
             at += wide_step * n
             bits = -(-n // 8)
@@ -115,9 +124,13 @@ def _meet(wide: bool):
             who.append(b)
         if hs:
             h, src = np.concatenate(hs), np.repeat(np.arange(len(hs)), [len(x) for x in hs])
-            order = np.argsort(h, kind="stable")
+            second = np.concatenate(seconds) if wide else None
+            order = np.lexsort((second, h)) if wide else np.argsort(h, kind="stable")
             s = h[order]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            other = s[1:] != s[:-1]
+            if wide:
+                other |= second[order[1:]] != second[order[:-1]]
+            first = np.flatnonzero(np.concatenate([[True], other]))
             count = np.add.reduceat(1 + np.concatenate(multi)[order].astype(np.int64), first)
             block = np.bitwise_or.reduceat(np.concatenate(blocks)[order], first)
             hit = order[np.repeat((count > 1) & (block > 0), np.diff(np.append(first, len(s))))]
@@ -142,6 +155,8 @@ def _home(table: pa.Table) -> pa.Table:
     kind, body = _batch(table, ["kind", "body"])
     hits = [np.frombuffer(zlib.decompress(x), np.uint32) for k, x in zip(kind, body, strict=True) if not k]
     rows: list[tuple] = []
+    if hits and not any(kind):
+        raise ValueError("hits of a batch without its table: a lost part was not made again as it was")
     tables = list(dict.fromkeys(x for k, x in zip(kind, body, strict=True) if k))  # a batch of equal rows may occur twice, with equal tables
     for x in tables if hits else []:
         n, packed, pairs = np.frombuffer(x, np.int64, 3).tolist()
@@ -187,14 +202,16 @@ def _extend(buckets: int, window: int, block: int):
         for rows in _parts(batches, 2):
             found = []
             for k1, k2, text, starts, _ in rows:
-                h = windows(words(text.encode("utf-8", "surrogatepass"))[2], window)
+                by_word = words(text.encode("utf-8", "surrogatepass"))[2]
+                h = windows(by_word, window)
                 # candidate windows: those that hold a hit block
                 step = np.zeros(len(h) + window + 1, np.int64)
                 p = np.frombuffer(starts, np.uint32).astype(np.int64)
                 np.add.at(step, np.maximum(p - (window - block), 0), 1)
                 np.add.at(step, np.minimum(p + 1, len(step) - 1), -1)
                 at = np.flatnonzero(np.cumsum(step)[: len(h)])
-                found.append((k1, k2, h[at], at, np.ones(len(at), bool)))
+                second = (windows(mix(by_word + _SECOND), window)[at] >> np.uint64(32)).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+                found.append((k1, k2, h[at], at, np.ones(len(at), bool), second))
             yield from _send(found, buckets, True)
 
     return run
@@ -233,6 +250,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> D
     hits = _repeats(keyed.mapInArrow(_anchors(buckets, block), _SENT), False)
     # with doc_id, so that this join and the last one share one exchange of the texts
     held = d.join(hits, ["k1", "k2"]).select("k1", "k2", "text", "starts", "doc_id")
+    held = held.sortWithinPartitions("k1", "k2")  # free after a merge join: the same batches come out if a part is made again
     found = _repeats(held.mapInArrow(_extend(buckets, window, block), _SENT), True)
     return d.join(found, ["k1", "k2"], "left").select("doc_id", "text", "starts")
 
@@ -253,6 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each document; rows keep null and equal ids, and equal rows repeat each other."""
     d = remove_repeats(read(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
