@@ -178,6 +178,18 @@ def test_acquisition(spark):
     assert [(x.r, x.ok) for x in got] == [("http://h/a/x.pdf", True), (None, False)]
 
 
+@pytest.mark.parametrize(
+    ("attributes", "label"),
+    [
+        ('data-track-action="Download PDF"', "x"), ('data-article-url="/a.pdf"', "x"), ('title="PDF"', "x"), ('title="Download PDF"', "x"), ('aria-label="See the PDF here"', "x"), ("", "PDF"), ("", " download pdf "), ("", "The Full-Text PDF (2 MB)"), ("", "now view pdf"),
+    ],
+)
+def test_pdf_link(spark, attributes, label):
+    page = f'<a href="/no" title="PDF of the supplement">more</a><a {attributes} href="/main">{label}</a>'
+    assert value(spark, acquisition.pdf_link(F.col("p"), F.col("u")), p=page, u="http://h/x") == "/main"
+    assert value(spark, acquisition.pdf_link(F.col("p"), F.col("u")), p='<a title="PDF of it" href="/no">pdf</a>', u="http://h/x") is None
+
+
 def test_logs_and_files(spark, tmp_path):
     log = files.RunLog(spark, str(tmp_path / "state"))
     log.start("r", "pdf_download", rows=3)
