@@ -9,9 +9,10 @@ confirmed on the full shingle sets.
 
 Equal sets are one class from the start. Within a posting every class is first compared only with the one
 whose coordinates are the commonest (the least edited copy, as a rule). When components are known, classes of a
-posting that are still apart are compared in blocks of bounded size, by both signatures, and only pairs
-that may be similar leave the block. So no group of near copies is expanded into all its pairs, and no
-link between components is lost.
+posting that are still apart meet in blocks of bounded size: those outside the posting's largest component meet each
+other and the largest, whose own classes need not meet. In a block, collisions are counted by skip merging (_met),
+then both signatures are compared, and only pairs that may be similar leave the block. So no group of near copies is
+expanded into all its pairs, and no link between components is lost.
 
 The second signature, BINS values of one byte, has the smallest shingle hash of each of BINS ranges. The share
 of equal ones among those that are not empty in both estimates the similarity; a pair must come within
@@ -39,6 +40,10 @@ LOSS = 3e-5
 BINS, SLACK = 512, 4.2
 #: Classes of one posting that are compared at once.
 BLOCK = 2048
+#: Collisions in the lists that skip merging does not skip, from which on a pair is compared.
+MET = 4
+#: Blocks of fewer classes are compared without merging, which finds the same pairs.
+SMALL = 64
 _rng = np.random.default_rng(99)
 _XOR, _MUL = _rng.integers(0, 2**63, (2, K), dtype=np.uint64)
 _MUL = _MUL | np.uint64(1)
@@ -119,6 +124,41 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(_similar(percent), "a long, b long")
 
 
+def _lists(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inverted lists of a block's signatures: members by coordinate and value, and of each class and coordinate where its list begins and how long it is."""
+    by = sig.T
+    order = np.argsort(by, axis=1, kind="stable").astype(np.int32)
+    value = np.take_along_axis(by, order, 1)
+    new = np.ones(by.shape, bool)
+    new[:, 1:] = value[:, 1:] != value[:, :-1]
+    first = np.flatnonzero(new)
+    long = np.diff(np.append(first, new.size))
+    begin, size = np.empty(by.shape, np.int64), np.empty(by.shape, np.int64)
+    np.put_along_axis(begin, order, np.repeat(first, long).reshape(by.shape), 1)
+    np.put_along_axis(size, order, np.repeat(long, long).reshape(by.shape), 1)
+    return order.ravel(), begin.T, size.T
+
+
+def _met(lists: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray, match: int) -> np.ndarray:
+    """For each of rows, which classes of the block may agree with it in `match` coordinates.
+
+    Of a row's K lists the match - MET longest are skipped. Who is in `match` of all is in MET of the
+    others at least; these are merged and counted. A row whose short lists hold more than the signatures it would
+    save is not merged: it may agree with all.
+    """
+    order, begin, size = lists
+    m = len(size)
+    short = np.argsort(size[rows], axis=1, kind="stable")[:, : K - match + MET]
+    n = np.take_along_axis(size[rows], short, 1)
+    dense = n.sum(axis=1) > 4 * m
+    n[dense] = 0
+    owner = np.repeat(np.arange(len(rows)), n.sum(axis=1))
+    n, at = n.ravel(), np.take_along_axis(begin[rows], short, 1).ravel()
+    member = order[np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)]
+    count = np.bincount(owner * m + member, minlength=len(rows) * m).reshape(len(rows), m)
+    return (count >= MET) | dense[:, None]
+
+
 def _apart(table: pa.Table, percent: int) -> pa.Table:
     """Of one block of a posting: pairs (a, b) of different components that may be similar and whose first common posting is this one."""
     match = least_equal(percent)
@@ -132,11 +172,14 @@ def _apart(table: pa.Table, percent: int) -> pa.Table:
     two = table.column("x")[0].as_py() != table.column("y")[0].as_py()
     found_a, found_b = [], []
     rest = np.flatnonzero(~main)
+    lists = _lists(sig) if len(rest) and len(rep) > SMALL else None
     for k in range(0, len(rest), 32):
         i = rest[k : k + 32]
         ok = (comp[i, None] != comp) & (main | (rep[i, None] < rep)) & (100 * np.minimum(n[i, None], n) >= percent * np.maximum(n[i, None], n))
         if two:
             ok &= own[i, None] != own
+        if lists:
+            ok &= _met(lists, i, match)
         r, c = np.nonzero(ok)
         for z in range(0, len(r), 1 << 15):
             a, b = i[r[z : z + (1 << 15)]], c[z : z + (1 << 15)]
@@ -228,9 +271,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comp = components(links)
 
     placed = prefix.join(comp, prefix.rep == comp.node, "left").select("at", "rep", "mask", F.coalesce("component", "rep").alias("component"))
-    apart = placed.groupBy("at").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("at", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    open_ = placed.join(apart, "at").withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    by_component = placed.groupBy("at", "component").agg(F.count("*").alias("c")).groupBy("at").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("kinds"))
+    few, blocks = F.col("c") <= BLOCK, lambda n: F.ceil(n / BLOCK).cast("int")
+    # blocks 0 to inner - 1 are of classes outside the largest component, outer more of those in it; a small posting is one block
+    apart = by_component.where("kinds > 1").select("at", F.col("most.component").alias("main"), F.when(few, 1).otherwise(blocks(F.col("c") - F.col("most.c"))).alias("inner"), F.when(few, 0).otherwise(blocks(F.col("most.c"))).alias("outer"))
+    outside = (F.col("component") == F.col("main")) & (F.col("outer") > 0)
+    within = F.pmod(F.xxhash64("rep"), F.when(outside, F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    own = F.when(outside, F.col("inner") + within).otherwise(within)
+    meets = F.col("inner") + F.when(outside, 0).otherwise(F.col("outer"))
+    open_ = placed.join(apart, "at").withColumn("own", own).select("at", "rep", "mask", "component", "own", F.explode(F.sequence(F.lit(0), meets - 1)).alias("k"))
     open_ = open_.join(classes.select("rep", "n_shingles", "sig", "bins"), "rep").select("at", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"), "own", "rep", "mask", "component", "n_shingles", "sig", "bins")
     rest = open_.groupBy("at", "x", "y").applyInArrow(lambda t: _apart(t, percent), "a long, b long").distinct()
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -418,6 +418,55 @@ def test_quality_neighbours():
 
 
 # 6
+def test_skip_merging_loses_no_pair():
+    rng, match = np.random.default_rng(4), minhash.least_equal(85)
+    base = rng.integers(0, 2**31, (40, minhash.K)).astype(np.int32)
+    for share in (0.0, 0.4, 0.7, 0.9):
+        sig = np.repeat(base, 8, axis=0)
+        sig = np.where(rng.random(sig.shape) < share, sig, rng.integers(0, 2**31, sig.shape)).astype(np.int32)
+        sig[:, 7] = 5  # the posting's own coordinate
+        met = minhash._met(minhash._lists(sig), np.arange(len(sig)), match)
+        equal = (sig[:, None] == sig).sum(axis=2)
+        assert met[equal >= match].all()
+        assert share > 0.5 or met.mean() < 0.1  # who shares the posting alone is not compared
+    sig[:] = 1
+    assert minhash._met(minhash._lists(sig), np.arange(9), match).all()
+
+
+def test_blocks_of_a_posting_find_the_same_pairs(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**31, (30, minhash.K)).astype(np.int32)
+    sig = np.repeat(base, 6, axis=0)
+    sig = np.where(rng.random(sig.shape) < 0.93, sig, rng.integers(0, 2**31, sig.shape)).astype(np.int32)
+    sig[:, 0] = 9
+    n = len(sig)
+    low = [bytes([1 + i // 6]) * minhash.BINS for i in range(n)]
+    columns = {"at": [9] * n, "x": [0] * n, "y": [0] * n, "own": [0] * n, "rep": list(range(n)), "mask": [1] * n, "component": [i // 2 for i in range(n)], "n_shingles": [100] * n, "sig": sig.tolist(), "bins": low}
+    found = []
+    for small in (10**6, 1):
+        monkeypatch.setattr(minhash, "SMALL", small)
+        t = minhash._apart(pa.table(columns), 85)
+        found.append(sorted(zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True)))
+    match = minhash.least_equal(85)
+    want = [(a, b) for b in range(n) for a in range(b) if a // 2 != b // 2 and a // 6 == b // 6 and (sig[a] == sig[b]).sum() >= match]
+    assert found[0] == found[1] == sorted(want) and len(want) > 100
+
+
+def test_minhash_with_blocks_of_the_largest_component(spark, monkeypatch):
+    """One passage in many texts: a large component, small ones and lone texts in the same postings, in blocks of four."""
+    rng = random.Random(6)
+    hot = [rng.choice(vocabulary(rng)) for _ in range(60)]
+    texts = [" ".join(hot[:k] + ["new"] + hot[k + 1 :]) for k in range(0, 60, 3)]
+    for size in (12, 25, 40, 55):
+        tail = [rng.choice(vocabulary(rng)) for _ in range(size)]
+        texts += [" ".join(hot + tail), " ".join(hot + tail[:-1] + ["other"]), " ".join(["first"] + hot + tail)]
+    want = minhash.brute([*enumerate(texts)])
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    got = minhash.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert by_id((r.doc_id, r.component_id) for r in got) == by_id((w[0], w[2]) for w in want)
+    assert len({w[2] for w in want}) > 3
+
+
 def test_minhash(spark):
     rng = random.Random(6)
     v = vocabulary(rng)
