@@ -233,7 +233,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; texts with a similarity of percent or more are linked.
 
     Null texts and texts without words have no shingles and are alone. Equal rows are one class. A row with
-    a null id is alone, with a null component. An empty table gives no rows.
+    a null id is alone, with a null component. An empty table gives no rows. Ids should differ between texts: a class
+    goes by its smallest id, so different texts with the same smallest id share their links, and as they also share
+    a prefix a link of theirs may be missed.
     """
     spark, match = docs.sparkSession, least_equal(percent)
     base = scratch(spark, "minhash")
