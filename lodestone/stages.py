@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import paper_filename, safe_filename
-from lodestone.operators import acquisition, citations, fulltext, linkage, logs, papers, screening, search
+from lodestone.operators import acquisition, citations, fulltext, linkage, logs, numbering, papers, screening, search
 from lodestone.sources import config as configs
 from lodestone.sources import files, payloads
 
@@ -45,17 +45,11 @@ def _done(spark: SparkSession, cfg: Config, event: str, stats: dict[str, Any]) -
     return stats
 
 
-def _numbered(df: DataFrame, key: str, first: int) -> DataFrame:
-    """With places from `first` on, in the order of the files: counted part by part, so that no task sees all rows."""
-    d = df.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright(F.col("_id"), 33)
-    sizes = d.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).orderBy("_part").collect()  # a row for each part of the files
-    before, starts = first, []
-    for r in sizes:
-        starts.append((r["_part"], before))
-        before += r["_n"]
-    at = df.sparkSession.createDataFrame(starts, "_part long, _start long")
-    return d.withColumn("_part", part).join(F.broadcast(at), "_part").withColumn(key, F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_start")
+def _numbered(df: DataFrame, cfg: Config, order: str, key: str, first: int, name: str) -> DataFrame:
+    """The table `name`: df in the order of a column, with places from `first` on."""
+    place = _place(cfg, f"{name}_sorted")
+    numbering.write_sorted(df, [F.col(order).asc_nulls_first()], place, "overwrite")
+    return _save(numbering.by_files(df.sparkSession, place, key, first), cfg, name)
 
 
 def literature_search(spark: SparkSession, cfg: Config) -> dict[str, Any]:
@@ -64,7 +58,8 @@ def literature_search(spark: SparkSession, cfg: Config) -> dict[str, Any]:
     threshold = cfg.get("screening", {}).get("title_threshold", linkage.THRESHOLD)
     sources = tuple(s for s in own.get("sources", payloads.READERS) if s in own["payloads"])
     parts = {s: payloads.read_payloads(spark, own["payloads"][s], s) for s in sources}
-    raw = _save(_numbered(payloads.union_sources(parts, sources), "ord", 0), cfg, "raw_records")
+    found = payloads.union_sources(parts, sources).withColumn("read_no", F.monotonically_increasing_id())  # by service, then as the files lie
+    raw = _numbered(found, cfg, "read_no", "ord", 0, "raw_records").drop("read_no")
     raw = search.first_per_query(raw, limit)
     merged = _save(linkage.deduplicate(raw.drop("source_no"), threshold), cfg, "merged_records")
     works = merged.withColumns({"id": F.col("openalex_id"), "cited_by": F.col("cited_by_count")})
@@ -82,7 +77,7 @@ def literature_search(spark: SparkSession, cfg: Config) -> dict[str, Any]:
 def title_abstract_screening(spark: SparkSession, cfg: Config) -> dict[str, Any]:
     screened = _save(screening.screen(_load(spark, cfg, "master_records"), configs.screen_pack(cfg)), cfg, "screened_records")
     kept = screened.where(F.col("inclusion_decision") != "Exclude")
-    strict = _save(_numbered(screening.strict(screened).orderBy("ord"), "row", 1), cfg, "strict_records")
+    strict = _numbered(screening.strict(screened), cfg, "ord", "row", 1, "strict_records")
     files.write_sheets({"all_screened": screened, **screening.sheets(screened), "strict": strict}, f"{cfg['output']['outputs_dir']}/screened")
     stats = {"total": screened.count(), "included": kept.count(), "excluded": screened.where(F.col("inclusion_decision") == "Exclude").count(), "strict_h2": strict.count(), "output": _place(cfg, "strict_records")}
     return _done(spark, cfg, "screening_complete", stats)
