@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, html, jpeg, language, minhash, pieces, pii, quality, substrings, tokens
+from lodestone.llm import decontaminate, html, jpeg, language, minhash, pieces, pii, quality, sharding, substrings, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_main_text": html.op8,
         "op9_substring_dedup": substrings.op9,
         "op10_language_id": language.op10,
+        "op12_feistel_shards": sharding.op12,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_feistel_shards": sharding.ORACLE_SQL}
