@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, html, infill, jpeg, language, minhash, pieces, pii, quality, sharding, substrings, tokens
+from lodestone.llm import decontaminate, html, infill, jpeg, language, minhash, pieces, pii, prefixes, quality, sharding, substrings, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_main_text": html.op8,
         "op9_substring_dedup": substrings.op9,
         "op10_language_id": language.op10,
+        "op11_prefix_trie": prefixes.op11,
         "op12_feistel_shards": sharding.op12,
         "op13_fill_in_middle": infill.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_feistel_shards": sharding.ORACLE_SQL, "op13_fill_in_middle": infill.ORACLE_SQL}
+    return {"op11_prefix_trie": prefixes.ORACLE_SQL, "op12_feistel_shards": sharding.ORACLE_SQL, "op13_fill_in_middle": infill.ORACLE_SQL}

@@ -19,6 +19,13 @@ def invented(rng, n):
     return " ".join("".join(rng.choice("abdeghilmnorst") for _ in range(rng.randint(2, 7))) for _ in range(n))
 
 
+def talk(rng):
+    """Turns with null numbers, roles, texts and ids, ties, repeated rows, missing openings and a conversation of 60 turns."""
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice(["", "hi", "é😀", "ok", invented(rng, 3)])) for c in range(40) if c % 7 for t in range(rng.randint(1, 12))]
+    rows += [(10, t, "user", f"turn {t}") for t in range(60)] + [(11, 3, "user", "b"), (11, 3, "user", "a"), (11, 3, "user", "a"), (12, None, "x", "null first"), (13, 1, None, None), (None, 1, "user", "nobody"), (91, 0, "user", "alone"), (96, 0, "a", "no opening")]
+    return rows + [(c, t, r, x) for c, k in ((100, 15), (105, 15), (-7, 15), (-5, 3)) for t, r, x in [(t, "user", f"copied {t}") for t in range(k)]]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     """Path, document rows (doc_id, text), benchmark items."""
@@ -38,6 +45,7 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame([(i, i % 2, 0, "q") for i in range(40)] + [(None, 1, 0, None), (5, None, 0, "q"), (3, 1, 0, "q")], "doc_id long, quality int, toxic int, text string").write.parquet(f"{path}/labels.parquet")
     pages = [(1, "u", "<article><h1>A</h1><p>" + "Words of a story, with more. " * 9 + "</article>"), (1, "u", None), (None, None, ""), (2, "v", "<p"), (3, "w", "plain &amp; simple")]
     spark.createDataFrame([(*p, "t") for p in pages], "page_id long, url string, html string, text string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([(*t, 1) for t in talk(rng)], "conv_id long, turn long, role string, text string, depth int").repartition(3).write.parquet(f"{path}/conversations.parquet")
     return path, rows, items
 
 
@@ -45,7 +53,7 @@ def folder(spark, tmp_path_factory):
 def nothing(spark, folder, tmp_path_factory):
     """The same tables without rows."""
     path = str(tmp_path_factory.mktemp("sf-empty"))
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations"):
         spark.read.parquet(f"{folder[0]}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
     return path
 
@@ -57,7 +65,8 @@ def key(rows):
 COLUMNS = {
     "op1_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op2_token_store": "doc_id start n_tokens ids_crc32", "op3_sentencepiece": "doc_id n_ids ids exact", "op4_progressive_jpeg": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
     "op5_quality": "doc_id held_out score predicted", "op6_minhash": "doc_id n_shingles component_id kept", "op7_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated", "op8_html_main_text": "page_id url text n_chars", "op9_substring_dedup": "doc_id n_words n_removed kept_sha256",
-    "op10_language_id": "doc_id held_out lang_pred score",
+    "op10_language_id": "doc_id held_out lang_pred score", "op11_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256", "op12_feistel_shards": "doc_id size text_crc32 law shard slot grown_shard",
+    "op13_fill_in_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 
 
