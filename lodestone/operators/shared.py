@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is not set this raises, as a folder of one machine would lose data."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where it is not set, as in tests, a local session gets a folder of its own; a cluster without it is an error, as a folder of one machine would lose data.
+    """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or (known.get() if known.isDefined() else None)
-    if not found:
+    if not found and sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    found = found or tempfile.mkdtemp(prefix="lodestone-")
     if not known.isDefined():
         sc.setCheckpointDir(found)
     return found.rstrip("/")

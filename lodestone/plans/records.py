@@ -96,6 +96,9 @@ from (select * from c where ord = cluster) f left join t using (cluster)
 
 QUERIES["dedup_greedy_fuzzy"] = lambda spark, d: linkage.greedy_clusters(linkage.keys(records(spark, d)))
 
+#: Pairs of similar titles; without SQL, as it has no matching blocks. A test holds it against all pairs.
+QUERIES["dedup_similar_titles"] = lambda spark, d: linkage.similar_titles(linkage.keys(records(spark, d)))
+
 _KEEP = ["id", "cited_by"]
 QUERIES["top_reviews"] = lambda spark, d: citations.seeds(records(spark, d), 12, 12)[0].select(*_KEEP)
 ORACLES["top_reviews"] = f"select id, cited_by from ({RECORDS}) r where record_type = 'review' order by cited_by desc, ord limit 12"
