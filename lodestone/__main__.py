@@ -57,8 +57,8 @@ def main(args: list[str] | None = None) -> int:
         options = {"row": a.row} if a.command == "pdf-download" and a.row is not None else {}
         print(json.dumps(stages.run(spark, a.command.replace("-", "_"), config, **options)))
         return 0
-    rows = read_lines(spark, path, "text string, expected array<map<string,string>>").withColumn("doc_id", F.sha2("text", 256))
-    result = score(rows, a.context).first().asDict(recursive=True)
+    rows = read_lines(spark, path, "text string, expected array<map<string,string>>, context_sentences int").withColumn("doc_id", F.monotonically_increasing_id())
+    result = score(rows.withColumn("context", F.coalesce("context_sentences", F.lit(a.context))), "context").first().asDict(recursive=True)
     if a.json:
         print(json.dumps(result))
     else:
@@ -66,11 +66,11 @@ def main(args: list[str] | None = None) -> int:
     return 0
 
 
-def score(rows, context: int = 0):
-    """evaluate() over rows of doc_id, text, expected (array of maps)."""
+def score(rows, context: int | str = 0):
+    """evaluate() over rows of doc_id (a row's own), text, expected (array of maps); context: sentences to both sides, or the column that has them."""
     expected = rows.select("doc_id", F.posexplode("expected").alias("n", "values"))
     c = extract_candidates(rows, context=context)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("candidate_id")) - 1
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.substring("candidate_id", 5, 20).cast("long"))) - 1
     predicted = c.select("doc_id", place.alias("n"), F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f).cast("string"))]).alias("values"))
     return evaluate(rows, expected, predicted)
 

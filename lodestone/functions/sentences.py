@@ -10,7 +10,7 @@ from lodestone.functions.regexes import strip
 #: A text falls into chunks that end with their delimiter, so that lengths add up to places.
 CHUNK = r"(?s).*?(?:[.!?]\s+|\n+)|.+$"
 _WHITE = " \t\n\x0b\x0c\r"
-SPANS = "array<struct<start:int,end:int,text:string>>"
+SPANS = "array<struct<start:int,end:int,text:string,gap:string>>"
 _STEP = 128
 
 
@@ -22,12 +22,14 @@ def _add(acc: Column, chunk: Column) -> Column:
     # ASCII is trimmed without a regular expression
     body = F.when(_ascii(chunk), F.btrim(chunk, F.lit(_WHITE))).otherwise(strip(chunk))
     lead = F.length(chunk) - F.length(F.when(_ascii(chunk), F.ltrim(chunk, F.lit(_WHITE))).otherwise(F.regexp_replace(chunk, r"(?U)^\s+", "")))
-    span = F.struct((acc["at"] + lead).cast("int").alias("start"), (acc["at"] + lead + F.length(body)).cast("int").alias("end"), body.alias("text"))
-    return F.struct((acc["at"] + F.length(chunk)).alias("at"), F.when(body == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+    gap = F.concat(acc["gap"], F.substr(chunk, F.lit(1), lead))
+    span = F.struct((acc["at"] + lead).cast("int").alias("start"), (acc["at"] + lead + F.length(body)).cast("int").alias("end"), body.alias("text"), gap.alias("gap"))
+    after = F.when(body == "", F.concat(acc["gap"], chunk)).otherwise(F.substr(chunk, lead + F.length(body) + 1))
+    return F.struct((acc["at"] + F.length(chunk)).alias("at"), after.alias("gap"), F.when(body == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
 
 def sentence_spans(text: Column) -> Column:
-    """array of struct(start, end, text): sentences end after . ! ? with white space, or at line ends; places in code points, end exclusive.
+    """array of struct(start, end, text, gap): gap is the white space before a sentence; sentences end after . ! ? with white space, or at line ends; places in code points, end exclusive.
 
     Null and blank texts have none. Places are added up in steps, so a text of n sentences takes about n * _STEP moves, not n * n.
     """
@@ -36,14 +38,14 @@ def sentence_spans(text: Column) -> Column:
 
     def block(c: Column):
         def run(acc: Column, i: Column) -> Column:
-            part = F.aggregate(F.slice(c, i * _STEP + 1, F.lit(_STEP)), F.struct(acc["at"].alias("at"), F.array().cast(SPANS).alias("out")), _add)
-            return F.element_at(F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out"))), 1)
+            part = F.aggregate(F.slice(c, i * _STEP + 1, F.lit(_STEP)), F.struct(acc["at"].alias("at"), acc["gap"].alias("gap"), F.array().cast(SPANS).alias("out")), _add)
+            return F.element_at(F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), p["gap"].alias("gap"), F.concat(acc["out"], F.array(p["out"])).alias("out"))), 1)
 
         return run
 
     def whole(c: Column) -> Column:
         steps = F.sequence(F.lit(0), F.floor((F.greatest(F.size(c), F.lit(1)) - 1) / _STEP).cast("int"))
-        return F.flatten(F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), block(c))["out"])
+        return F.flatten(F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit("").alias("gap"), F.array().cast(f"array<{SPANS}>").alias("out")), block(c))["out"])
 
     return F.element_at(F.transform(F.array(chunks), whole), 1)
 

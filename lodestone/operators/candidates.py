@@ -13,19 +13,25 @@ from lodestone.functions.sentences import SPANS, sentence_spans
 METHOD = "rule-baseline-v1"
 
 
-def windows(df: DataFrame, text: str = "text", context: int = 2) -> DataFrame:
-    """df's columns, ordinal (of the anchor, before equal windows go), start, end, evidence.
+def windows(df: DataFrame, text: str = "text", context: int | str = 2) -> DataFrame:
+    """df's columns without its text, ordinal (of the anchor, before equal windows go), start, end, evidence.
 
-    All inside the row: anchors are sentences with a result, windows reach `context` sentences to both sides and
-    grow along the text, so equal windows are neighbours and the first stays.
+    All inside the row: anchors are sentences with a result, windows reach `context` sentences (a number, or the column
+    that has it) to both sides and grow along the text, so equal windows are neighbours and the first stays. Evidence is put
+    together from the window's sentences and what lies between them, so the text itself is neither copied nor read again.
     """
-    if context < 0:
+    if isinstance(context, int) and context < 0:
         raise ValueError("context must not be negative")
+    context = F.lit(context) if isinstance(context, int) else F.col(context)
     anchors = F.filter(F.transform("_s", lambda s, i: F.struct(i.alias("i"), (found(s["text"], R.EE) | found(s["text"], R.YIELD)).alias("hit"))), lambda x: x["hit"])
 
     def window(a, n):
         lo, hi = F.greatest(a["i"] - context, F.lit(0)), F.least(a["i"] + context, F.size("_s") - 1)
-        return F.struct((n + 1).alias("ordinal"), F.get("_s", lo)["start"].alias("start"), F.get("_s", hi)["end"].alias("end"))
+        return F.struct((n + 1).alias("ordinal"), F.get("_s", lo)["start"].alias("start"), F.get("_s", hi)["end"].alias("end"), lo.alias("lo"), hi.alias("hi"))
+
+    def with_evidence(w):
+        rest = F.transform(F.slice("_s", w["lo"] + 2, w["hi"] - w["lo"]), lambda s: F.concat(s["gap"], s["text"]))
+        return F.struct(w["ordinal"].alias("ordinal"), w["start"].alias("start"), w["end"].alias("end"), F.concat(F.get("_s", w["lo"])["text"], F.array_join(rest, "")).alias("evidence"))
 
     def new(w, j):
         before = F.get("_w", j - 1)
@@ -33,15 +39,15 @@ def windows(df: DataFrame, text: str = "text", context: int = 2) -> DataFrame:
 
     # a text without a result needs no sentences
     spans = F.when(found(F.col(text), R.EE) | found(F.col(text), R.YIELD), sentence_spans(F.col(text))).otherwise(F.array().cast(SPANS))
-    d = df.withColumn("_s", spans).withColumn("_w", F.transform(anchors, window)).drop("_s").withColumn("_w", F.filter("_w", new))
+    d = df.withColumn("_s", spans).withColumn("_w", F.transform(anchors, window)).withColumn("_w", F.transform(F.filter("_w", new), with_evidence))
     # an outer explode, as the filter that is inferred for an inner one would work everything out once more
-    d = d.select(*df.columns, F.explode_outer("_w").alias("_w")).where("_w.ordinal is not null")
-    return d.select(*df.columns, "_w.*", F.substring(text, F.col("_w.start") + 1, F.col("_w.end") - F.col("_w.start")).alias("evidence"))
+    kept = [c for c in df.columns if c != text]
+    return d.select(*kept, F.explode_outer("_w").alias("_w")).where("_w.ordinal is not null").select(*kept, "_w.*")
 
 
-def extract_candidates(df: DataFrame, key: str = "doc_id", text: str = "text", context: int = 2) -> DataFrame:
+def extract_candidates(df: DataFrame, key: str = "doc_id", text: str = "text", context: int | str = 2) -> DataFrame:
     """key, candidate_id, the eight values, confidence, evidence and its place."""
-    w = windows(df.select(key, text), text, context).withColumns(window_values(F.col("evidence")))
+    w = windows(df.select(key, text, *([context] if isinstance(context, str) else [])), text, context).withColumns(window_values(F.col("evidence")))
     return w.select(
         key,
         F.format_string("rxn-%04d", "ordinal").alias("candidate_id"),

@@ -179,14 +179,16 @@ select x.field as field, count(*) as total, count(*) filter (x.hit) as correct,
 
 def benchmark_summary(spark: SparkSession, d: str) -> DataFrame:
     r = reactions(spark, d)
-    predicted, expected = _gold(extract_candidates(r, context=0))
-    e = evaluate(r, expected, predicted)
+    c = extract_candidates(r, context=0)
+    predicted, expected = _gold(c)
+    more = c.where(F.length("evidence_text") % 11 == 0).select("doc_id", F.lit(1000).alias("n"), _as_map().alias("values"))  # expected, but found by nothing
+    e = evaluate(r, expected.unionByName(more), predicted)
     return e.select("examples", rounded(F.col("candidate_count_accuracy"), 4).alias("candidate_count_accuracy"), rounded(F.col("macro_field_accuracy"), 4).alias("macro_field_accuracy"))
 
 
 QUERIES["benchmark_summary"] = benchmark_summary
 ORACLES["benchmark_summary"] = f"""
-select (select count(*) from ({REACTIONS}) r) as examples, 1.0::double as candidate_count_accuracy, cast(printf('%.4f', avg(a)) as double) as macro_field_accuracy
+select (select count(*) from ({REACTIONS}) r) as examples, (select cast(printf('%.4f', avg(case when doc_id in (select doc_id from ({_candidates_sql(0)}) c where length(evidence_text) % 11 = 0) then 0.0 else 1.0 end)) as double) from ({REACTIONS}) s) as candidate_count_accuracy, cast(printf('%.4f', avg(a)) as double) as macro_field_accuracy
 from (select field, correct / total as a from ({ORACLES["benchmark_field_accuracy"]}) f) g"""
 
 QUERIES["field_coverage"] = lambda spark, d: coverage(extract_candidates(reactions(spark, d), context=0))

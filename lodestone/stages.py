@@ -128,7 +128,8 @@ def reaction_data_extraction(spark: SparkSession, cfg: Config) -> dict[str, Any]
     """Values of confirmed papers, in the columns that the config names."""
     kept = papers.confirmed(_load(spark, cfg, "fulltext_screening"))
     texts = files.pages_to_text(spark.read.parquet(cfg["fulltext"]["pages"]), "row")
-    d = kept.select("row", "doi", "title", "authors", "year", "journal", "has_pdf").join(texts, "row", "left")
+    paths = files.read_log(spark, f"{cfg['output']['logs_dir']}/downloads", _DOWNLOADS).select("row", "pdf_path")
+    d = kept.select("row", "doi", "title", "authors", "year", "journal", "has_pdf").join(paths, "row", "left").join(texts, "row", "left")
     found = papers.extract_papers(d, configs.screen_pack(cfg), has_pdf="has_pdf")
     found = _save(papers.with_columns(found, cfg.get("extraction", {}).get("columns")), cfg, "reaction_data")
     files.write_sheets({"reaction_data": found, "all_confirmed_metadata": kept}, f"{cfg['output']['outputs_dir']}/reactions")

@@ -99,3 +99,19 @@ def test_score(spark):
     empty = score(spark.createDataFrame([], "doc_id string, text string, expected array<map<string,string>>")).first()
     assert (empty.examples, empty.candidate_count_accuracy, empty.macro_field_accuracy) == (0, 0.0, 0.0)
     assert json.dumps(empty.asDict(recursive=True))
+
+
+def test_evidence_is_the_text_between_its_places(spark):
+    from lodestone.operators.candidates import windows
+
+    gaps = ["  ", "\n\n ", " \t", "\u00a0 ", "\n", " \u2003\n"]
+    text = "".join(f"{'é' if i % 3 else 'e'} number {i} gave {i % 90}% ee.{gaps[i % 6]}{gaps[i % 4] if i % 5 == 0 else ''}" for i in range(400)) + "tail"
+    d = spark.createDataFrame([("d", "  \n" + text, 3), ("e", text, 0)], "doc_id string, text string, around int")
+    texts = {"d": "  \n" + text, "e": text}
+    rows = windows(d, context="around").collect()
+    assert len(rows) > 700 and all(r.evidence == texts[r.doc_id][r.start : r.end] for r in rows)
+
+
+def test_places_beyond_four_digits_stay_in_order(spark):
+    found = one(spark, " ".join(f"Run {i} gave {i % 90 + 1}% ee." for i in range(12_000)), 0)
+    assert len(found) == 12_000 and {c["evidence_text"] for c in found[:3]} <= {f"Run {i} gave {i % 90 + 1}% ee." for i in range(12_000)}

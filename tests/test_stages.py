@@ -8,12 +8,16 @@ import pytest
 
 from lodestone import __main__ as command
 from lodestone import stages
+from lodestone.operators import papers
 from lodestone.sources import config as configs
 from lodestone.sources import files
 
 GOOD = "Iron with H2 gave a chiral product in asymmetric hydrogenation. It had 95% ee and 90% yield. Table 1 shows the substrate scope. BINAP in THF at 20 C for 5 h."
 
 
+STANDARD = "DOI Title Authors Year Journal Metal_catalyst Ligand Substrate_class Substrate_example Product ee_percent yield_percent H2_pressure_bar Temperature_C Solvent Reaction_time_h TON TOF Notes Evidence_sentence Page_number PDF_path".split()
+
+
 @pytest.fixture
 def project(spark, tmp_path):
     works = [
@@ -24,10 +28,10 @@ def project(spark, tmp_path):
     ]
     (tmp_path / "openalex.json").write_text("\n".join(map(json.dumps, works)))
     (tmp_path / "base.yaml").write_text("search: {per_query: 12, sources: [openalex, crossref]}\npdf_download: {min_pdf_bytes: 100}\noutput: {outputs_dir: out, logs_dir: logs, data_subdir: data, prefix: T}\n")
-    (tmp_path / "own.yaml").write_text(f"project: {{name: Fe run/1}}\nsearch:\n  query_groups: {{g: [q1, q2]}}\n  payloads: {{openalex: {tmp_path}/openalex.json}}\npdf_download: {{attempts: {tmp_path}/attempts}}\nfulltext: {{pages: {tmp_path}/pages}}\nextraction: {{columns: [DOI, Title, ee_percent, Product]}}\n")
+    (tmp_path / "own.yaml").write_text(f"project: {{name: Fe run/1}}\nsearch:\n  query_groups: {{g: [q1, q2]}}\n  payloads: {{openalex: {tmp_path}/openalex.json}}\npdf_download: {{attempts: {tmp_path}/attempts}}\nfulltext: {{pages: {tmp_path}/pages}}\nextraction: {{columns: [{", ".join(STANDARD)}]}}\n")
     attempts = [(1, 1, "Unpaywall", "http://x/1", bytearray(b"<html>"), "text/html"), (1, 2, "OpenAlex", "http://x/2", bytearray(b"%PDF-1.7" + b"0" * 200), "application/pdf")]
     spark.createDataFrame(attempts, "row long, ordinal int, source string, url string, content binary, content_type string").write.parquet(f"{tmp_path}/attempts")
-    spark.createDataFrame([(1, 1, GOOD), (1, 2, "End.")], "row long, page_no int, text string").write.parquet(f"{tmp_path}/pages")
+    spark.createDataFrame([(1, 1, GOOD), (1, 2, "Under 50 bar of hydrogen. End.")], "row long, page_no int, text string").write.parquet(f"{tmp_path}/pages")
     return stages.load_config(str(tmp_path / "own.yaml"), str(tmp_path / "base.yaml"))
 
 
@@ -53,7 +57,12 @@ def test_stages(spark, project, tmp_path):
     assert (s["screened"], s["confirmed"]) == (1, 1)
     assert stages.run(spark, "reaction_data_extraction", project)["records_extracted"] == 1
     r = spark.read.parquet(f"{tmp_path}/data/reaction_data").first()
-    assert r.asDict() == {"DOI": "10.1/a", "Title": "Iron catalyst asymmetric hydrogenation with H2", "ee_percent": "95.0", "Product": ""}
+    got = r.asDict()
+    assert list(got) == STANDARD and got.pop("Evidence_sentence") and got.pop("Notes")
+    want = {"DOI": "10.1/a", "Title": "Iron catalyst asymmetric hydrogenation with H2", "Year": "2020", "Metal_catalyst": "Iron", "Ligand": "BINAP", "ee_percent": "95.0", "yield_percent": "90.0", "H2_pressure_bar": "50", "Temperature_C": "20", "Solvent": "THF", "Reaction_time_h": "5", "PDF_path": "10.1_a.pdf"}
+    assert {k: v for k, v in got.items() if v} == want
+    with pytest.raises(ValueError):
+        papers.with_columns(spark.read.parquet(f"{tmp_path}/data/reaction_data"), ["DOI", "H2_presure_bar"])
     states = files.RunLog(spark, f"{tmp_path}/logs/states").states().collect()
     assert {x.stage for x in states if x.status == "done"} == set(stages.RUN) and all(x.run_id.startswith("Fe_run_1_") for x in states)
 
@@ -71,6 +80,13 @@ def test_command_line(spark, project, tmp_path, capsys):
     assert scored["examples"] == 1 and scored["field_accuracy"]["ee_percent"] == 1.0
     assert command.main(["benchmark", "--dataset", str(tmp_path / "gold.jsonl")]) == 0
     assert "examples: 1" in capsys.readouterr().out
+    near = "First line. It gave 95% ee. Then 90% yield of it. Last."
+    rows = [{"text": near, "expected": [{"ee_percent": 95, "comment": "none", "yield_percent": None}, {"yield_percent": 90}]}, {"text": near, "context_sentences": 2, "expected": [{"ee_percent": 95, "yield_percent": 90}]}, {"text": near, "expected": [{"ee_percent": 1}]}]
+    (tmp_path / "gold2.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    assert command.main(["benchmark", str(tmp_path / "gold2.jsonl"), "--json"]) == 0
+    scored = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert (scored["examples"], round(scored["candidate_count_accuracy"], 4)) == (3, 0.6667)
+    assert {k: round(v, 4) for k, v in scored["field_accuracy"].items() if v is not None} == {"ee_percent": 0.6667, "yield_percent": 1.0} and round(scored["macro_field_accuracy"], 4) == 0.8333
     with pytest.raises(SystemExit):
         command.main(["benchmark"])
 
