@@ -27,7 +27,7 @@ def normalise(text: str | None) -> list[bytes]:
 
 
 def _letter(n: int) -> str:
-    """The n-th character, surrogates left out. A block of BLOCK_BYTES has fewer words than there are."""
+    """The n-th character, surrogates left out. A block of BLOCK_BYTES has at most a million words, fewer than there are."""
     return chr(n if n < 0xD800 else n + 0x800)
 
 
@@ -96,7 +96,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("ranges",
 
 def _hits(docs: DataFrame, block: list[tuple[object, str | None]], window: int) -> DataFrame:
     """SCHEMA and text_key, a hash of the text, of each row."""
-    sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex  # at most BLOCK_BYTES, or one item
+    sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex  # at most BLOCK_BYTES
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +110,33 @@ def _hits(docs: DataFrame, block: list[tuple[object, str | None]], window: int)
     return docs.mapInArrow(run, f"{SCHEMA}, text_key binary")
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark in blocks of at most `limit` bytes of text, one in memory at a time."""
+def pieces(text: str | None, window: int, limit: int) -> Iterator[str | None]:
+    """The text, or if it has more than `limit` bytes at four a character, pieces of its words with all its windows among them: each goes on `window` - 1 words before the last one's end."""
+    if len(text or "") * 4 <= limit:
+        yield text
+        return
+    held, size, fresh = [], 0, 0
+    for w in normalise(text):
+        if fresh and len(held) >= window and (size + len(w)) * 4 > limit:
+            yield b" ".join(held).decode("utf-8", "surrogatepass")
+            held = held[len(held) - window + 1 :]
+            size, fresh = sum(map(len, held)) + len(held), 0
+        held.append(w)
+        size, fresh = size + len(w) + 1, fresh + 1
+    yield b" ".join(held).decode("utf-8", "surrogatepass")
+
+
+def blocks(benchmark: DataFrame, window: int, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
+    """The benchmark in blocks of at most `limit` bytes of text (and a few words), one in memory at a time. A larger item goes into several blocks, under its own id in each."""
     block, size = [], 0
     for r in benchmark.toLocalIterator():
-        n = len(r[1] or "") * 4
-        if block and size + n > limit:
-            yield block
-            block, size = [], 0
-        block.append((r[0], r[1]))
-        size += n
+        for text in pieces(r[1], window, limit):
+            n = len(text or "") * 4
+            if block and size + n > limit:
+                yield block
+                block, size = [], 0
+            block.append((r[0], text))
+            size += n
     yield block
 
 
@@ -133,7 +150,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
     item ids are named 'None'.
     """
     d, b = documents(docs), pick(benchmark, "item_id", "text")
-    parts = [_hits(d, block, window) for block in blocks(b, block_bytes)]
+    parts = [_hits(d, block, window) for block in blocks(b, window, block_bytes)]
     if len(parts) == 1:
         return parts[0].drop("text_key")
     merged = None
@@ -165,7 +182,7 @@ def digest(found: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs, all columns kept, without those that hold a benchmark window."""
     d, at = docs, docs.columns.index("text")
-    for block in blocks(pick(benchmark, "item_id", "text")):
+    for block in blocks(pick(benchmark, "item_id", "text"), window):
         sent, key = d.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         @released

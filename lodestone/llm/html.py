@@ -108,11 +108,19 @@ class _Open:
 
 
 _CELLS = ("td", "th", "table")
+#: What may stand in a head; anything else ends one that is still open.
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _IN_TABLE = frozenset("td th tr tbody thead tfoot table body html".split())
 #: A paragraph is not ended across these.
 _AROUND_P = ("td", "th", "li", "div", "article", "section", "body", "button", "table", "blockquote")
 
 
+def _end_head(open_: _Open, other: object) -> None:
+    """Ends an open head before what does not belong in one; a template inside it may hold anything."""
+    if other and open_.by.get("head") and not open_.by.get("template") and open_.path[-1].name not in SILENT - {"head"}:
+        open_.close(open_.depth(("head",)))
+
+
 def parse(page: str | None) -> Node:
     """The element tree of a page; whatever the markup, no text outside SILENT elements is lost. An end tag without its element, or with a table between, is passed over."""
     root = Node("#root", None)
@@ -123,6 +131,7 @@ def parse(page: str | None) -> Node:
         if m is None:
             break
         if m.start() > at:
+            _end_head(open_, page[at : m.start()].strip())
             open_.path[-1].children.append(page[at : m.start()])
         at = pos = m.end()
         name = m[2]
@@ -134,6 +143,7 @@ def parse(page: str | None) -> Node:
             if own and (name in _IN_TABLE or own > open_.depth(_CELLS)):
                 open_.close(own)
             continue
+        _end_head(open_, name not in _IN_HEAD)
         if name in ENDS_P and (p := open_.depth(("p",))) > open_.depth(_AROUND_P):
             open_.close(p)
         if name in CLOSES:
@@ -148,6 +158,7 @@ def parse(page: str | None) -> Node:
         elif name not in VOID and not m[3].endswith("/") or name not in VOID and name in BLOCK:
             open_.add(new)
     if at < len(page):
+        _end_head(open_, page[at:].strip())
         open_.path[-1].children.append(page[at:])
     return root
 
