@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import paper_filename, safe_filename
 from lodestone.operators import acquisition, citations, fulltext, linkage, logs, numbering, papers, screening, search
 from lodestone.sources import config as configs
-from lodestone.sources import files, payloads
+from lodestone.sources import files, payloads, versioned
 
 Config = dict[str, Any]
 
@@ -89,14 +89,15 @@ def pdf_download(spark: SparkSession, cfg: Config, row: int | None = None) -> di
     records = acquisition.pick_row(_load(spark, cfg, "strict_records"), row)
     tried = spark.read.parquet(own["attempts"]).join(records.select("row"), "row")
     ok = acquisition.valid_file(F.col("content"), F.coalesce("content_type", F.lit("")), own.get("min_pdf_bytes", acquisition.MIN_BYTES))
-    before = files.read_log(spark, f"{cfg['output']['logs_dir']}/downloads", _DOWNLOADS)
+    place = f"{cfg['output']['logs_dir']}/downloads"
+    base = versioned.version(spark, place)
+    before = versioned.read(spark, place, _DOWNLOADS)
     exists = records.join(before.where("status in ('SUCCESS', 'REUSED')").select("row", F.lit(True).alias("exists")), "row", "left").select("row", F.coalesce("exists", F.lit(False)).alias("exists"))
     status = acquisition.attempt_status(exists, tried.select("row", "ordinal", "url", ok.alias("ok")))
     named = records.select("row", "doi", "title", "year", F.when(F.col("doi") != "", safe_filename(F.translate("doi", "/", "_"))).otherwise(paper_filename(F.col("year"), F.col("authors"), F.col("title"))).alias("file"))
     lines = named.join(status, "row").select("row", "doi", F.substring("title", 1, 60).alias("title"), "year", "status", F.when(F.col("status").isin("SUCCESS", "REUSED"), F.col("file")).otherwise("").alias("pdf_path"), "url")
-    log = _save(logs.upsert_sorted(before, lines), cfg, "download_log")
-    log.coalesce(1).write.mode("overwrite").json(f"{cfg['output']['logs_dir']}/downloads-new")
-    _replace(spark, f"{cfg['output']['logs_dir']}/downloads-new", f"{cfg['output']['logs_dir']}/downloads")
+    versioned.replace(logs.upsert_sorted(before, lines), place, base)
+    log = versioned.read(spark, place, _DOWNLOADS)
     n = {r.status: r["count"] for r in log.join(records.select("row"), "row").groupBy("status").count().collect()}
     good, reused = n.get("SUCCESS", 0), n.get("REUSED", 0)
     return _done(spark, cfg, "pdf_download_complete", {"success": good, "failed": sum(n.values()) - good - reused, "reused": reused})
@@ -105,16 +106,9 @@ def pdf_download(spark: SparkSession, cfg: Config, row: int | None = None) -> di
 _DOWNLOADS = "row long, doi string, title string, year string, status string, pdf_path string, url string"
 
 
-def _replace(spark: SparkSession, new: str, old: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.delete(path(old), True)
-    system.rename(path(new), path(old))
-
-
 def fulltext_screening(spark: SparkSession, cfg: Config) -> dict[str, Any]:
     records = _load(spark, cfg, "strict_records")
-    log = files.read_log(spark, f"{cfg['output']['logs_dir']}/downloads", _DOWNLOADS).select("row", F.col("status").isin("SUCCESS", "REUSED").alias("has_pdf"))
+    log = versioned.read(spark, f"{cfg['output']['logs_dir']}/downloads", _DOWNLOADS).select("row", F.col("status").isin("SUCCESS", "REUSED").alias("has_pdf"))
     pages = spark.read.parquet(cfg["fulltext"]["pages"])
     errors = pages.groupBy("row").agg(F.max("error").alias("error")) if "error" in pages.columns else pages.select("row", F.lit(None).cast("string").alias("error")).distinct()
     d = records.join(log, "row", "left").join(errors, "row", "left").withColumn("has_pdf", F.coalesce("has_pdf", F.lit(False)))
@@ -128,7 +122,7 @@ def reaction_data_extraction(spark: SparkSession, cfg: Config) -> dict[str, Any]
     """Values of confirmed papers, in the columns that the config names."""
     kept = papers.confirmed(_load(spark, cfg, "fulltext_screening"))
     texts = files.pages_to_text(spark.read.parquet(cfg["fulltext"]["pages"]), "row")
-    paths = files.read_log(spark, f"{cfg['output']['logs_dir']}/downloads", _DOWNLOADS).select("row", "pdf_path")
+    paths = versioned.read(spark, f"{cfg['output']['logs_dir']}/downloads", _DOWNLOADS).select("row", "pdf_path")
     d = kept.select("row", "doi", "title", "authors", "year", "journal", "has_pdf").join(paths, "row", "left").join(texts, "row", "left")
     found = papers.extract_papers(d, configs.screen_pack(cfg), has_pdf="has_pdf")
     found = _save(papers.with_columns(found, cfg.get("extraction", {}).get("columns")), cfg, "reaction_data")

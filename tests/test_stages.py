@@ -10,7 +10,7 @@ from lodestone import __main__ as command
 from lodestone import stages
 from lodestone.operators import papers
 from lodestone.sources import config as configs
-from lodestone.sources import files
+from lodestone.sources import files, versioned
 
 GOOD = "Iron with H2 gave a chiral product in asymmetric hydrogenation. It had 95% ee and 90% yield. Table 1 shows the substrate scope. BINAP in THF at 20 C for 5 h."
 
@@ -51,7 +51,8 @@ def test_stages(spark, project, tmp_path):
         stages.run(spark, "pdf_download", project, row=2)
     assert stages.run(spark, "pdf_download", project) == {"success": 1, "failed": 0, "reused": 0}
     assert stages.run(spark, "pdf_download", project, row=1) == {"success": 0, "failed": 0, "reused": 1}
-    lines = spark.read.json(f"{tmp_path}/logs/downloads").collect()
+    lines = versioned.read(spark, f"{tmp_path}/logs/downloads", stages._DOWNLOADS).collect()
+    assert versioned.version(spark, f"{tmp_path}/logs/downloads") == 2
     assert [(r.row, r.status, r.pdf_path) for r in lines] == [(1, "REUSED", "10.1_a.pdf")]
     s = stages.run(spark, "fulltext_screening", project)
     assert (s["screened"], s["confirmed"]) == (1, 1)
