@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Columns of the search log, and the search modes.
 LOG_COLUMNS = ("timestamp_utc", "source_database", "search_query", "search_group", "search_mode", "results_returned", "status", "notes")
 KEYWORD, OK, FAILED, SKIPPED = "keyword search", "OK", "ERROR", "SKIPPED"
+REFUSED, REFUSED_NOTE, GIVES_UP = "RATE LIMITED", "Set SEMANTIC_SCHOLAR_API_KEY for improved coverage.", "Semantic Scholar"
 
 
 def first_per_query(records: DataFrame, n: int, by: tuple[str, ...] = ("source_database", "search_query"), order: str = "ord") -> DataFrame:
@@ -43,3 +44,16 @@ def stop_after_refusal(calls: DataFrame, status: str = "http_status", order: str
     d = calls.crossJoin(F.broadcast(refused))  # one row
     late = F.coalesce(F.col(order) > F.col("_first"), F.lit(False))
     return d.withColumn("outcome", F.when(late, SKIPPED).when(F.col(status).between(200, 299), OK).otherwise(FAILED)).drop("_first")
+
+
+def with_refusals(log: DataFrame, calls: DataFrame, source: str = GIVES_UP) -> DataFrame:
+    """The log of a service that gives up at the first call that is refused for too many requests: that call's line says so, later ones have none.
+
+    calls: source_database, search_query, ord (of the queries), http_status (null for calls that went well). Lines of other services stay.
+    """
+    mine = calls.where(F.col("source_database") == source)
+    first = mine.where("http_status = 429").agg(F.min("ord").alias("_first"))
+    at = mine.select(F.col("search_query").alias("_query"), F.col("ord").alias("_ord")).crossJoin(F.broadcast(first))  # one row
+    d = log.join(at, (F.col("search_query") == F.col("_query")) & (F.col("source_database") == source), "left").where("_first is null or _ord <= _first")
+    here = F.coalesce(F.col("_ord") == F.col("_first"), F.lit(False))
+    return d.withColumns({"results_returned": F.when(here, "0").otherwise(F.col("results_returned")), "status": F.when(here, REFUSED).otherwise(F.col("status")), "notes": F.when(here, REFUSED_NOTE).otherwise(F.col("notes"))}).select(*log.columns)

@@ -152,3 +152,21 @@ ORACLES["record_types"] = """
 select p_partkey, case when lower(p_name || ' ' || lower(p_type)) like '%review%' then 'review' when lower(p_name || ' ' || lower(p_type)) like '%book-chapter%' or lower(p_name || ' ' || lower(p_type)) like '%book chapter%' then 'book chapter'
  when lower(p_type) in ('article', 'journal-article', 'proceedings-article') then 'primary' else 'unknown' end as keyword,
  case when lower(p_name) like '%review%' then 'review' when lower(p_type) in ('article', 'preprint') then 'primary' else 'unknown' end as backward, case when lower(p_name) like '%review%' then 'review' else 'primary' end as forward from part"""
+
+
+def _expanded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    r = records(spark, d)
+    return citations.expand(r, r.withColumn("type", F.when(F.col("ord") % 2 == 0, "article").otherwise("book")), prefix="", words=False)
+
+
+QUERIES["cited_records"] = lambda spark, d: _expanded(spark, d)[0].select("source_database", "search_query", "id", "record_type")
+_CHASE = f"select c.mode, c.seed_id, c.id, s.title as query, w.title, w.ord from ({ORACLES['citation_chase']}) c join ({RECORDS}) s on s.id = c.seed_id join ({RECORDS}) w on w.id = c.id"
+ORACLES["cited_records"] = f"""
+select 'OpenAlex ' || mode as source_database, query as search_query, id, case when lower(title) like '%review%' then 'review' when mode = 'forward citations' or ord % 2 = 0 then 'primary' else 'unknown' end as record_type
+from (select distinct * from ({_CHASE}) x) q"""
+
+QUERIES["chase_log"] = lambda spark, d: _expanded(spark, d)[1].drop("place")
+ORACLES["chase_log"] = f"""
+with a as (select 'review reference list' as mode, id from ({ORACLES["top_reviews"]}) r union all select unnest(['backward citations', 'forward citations']), id from {_PRI} p)
+select a.mode, s.title as query, cast(coalesce(n, 0) as varchar) as results_returned, 'OK' as status, '' as notes from a join ({RECORDS}) s using (id)
+ left join (select mode, seed_id, count(distinct id) as n from ({ORACLES["citation_chase"]}) c group by 1, 2) k on k.mode = a.mode and k.seed_id = a.id"""

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lodestone.functions.regexes import rounded
 from lodestone.functions.rules import ScreenPack
 from lodestone.functions.text import clean_text
-from lodestone.operators import acquisition, fulltext, logs, screening
+from lodestone.operators import acquisition, fulltext, logs, numbering, screening
 from lodestone.operators.evaluation import prf
+from lodestone.operators.shared import scratch
 from lodestone.plans.corpus import table, texts
 
 QUERIES, ORACLES = {}, {}
@@ -192,15 +193,15 @@ from (select doc_id as "row", doc_id % 7 = 0 as "exists", doc_id % 4 as n, (sele
 
 
 def log_sorted(spark: SparkSession, d: str) -> DataFrame:
-    """The first lines of the log in its order."""
+    """The log in its order, each line with its place."""
     e = table(spark, d, "events").select(F.col("user_id").alias("row"), "event_id", "event_type")
     first = e.groupBy("row").agg(F.min("event_id").alias("event_id"), F.min_by("event_type", "event_id").alias("event_type"))
     new = e.where("event_type = 'purchase'").groupBy("row").agg(F.max("event_id").alias("event_id")).withColumn("event_type", F.lit("new"))
-    return logs.upsert_sorted(first, new).limit(40)
+    return numbering.numbered(logs.upsert(first, new), [F.col("row").asc_nulls_first()], "place", f"{scratch(spark, 'log-sorted')}/sorted", 1)
 
 
 QUERIES["log_sorted"] = log_sorted
-ORACLES["log_sorted"] = f'select * from ({ORACLES["log_upsert"]}) u order by "row" limit 40'
+ORACLES["log_sorted"] = f'select *, row_number() over (order by "row" nulls first) as place from ({ORACLES["log_upsert"]}) u'
 
 QUERIES["run_ids"] = lambda spark, d: table(spark, d, "part").select("p_partkey", logs.run_id(F.concat_ws("/", "p_name", "p_type"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("p_partkey") * 61)).alias("run_id"))
 ORACLES["run_ids"] = r"""select p_partkey, translate(p_name || '/' || p_type, ' /\', '___') || '_' || strftime(epoch_ms((1700000000 + p_partkey * 61) * 1000), '%Y%m%d_%H%M%S') as run_id from part""".replace("\\\\", "\\")

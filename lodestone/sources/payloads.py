@@ -42,7 +42,8 @@ def _first(c: str) -> Column:
     return F.coalesce(F.get(F.col(c), 0), F.lit(""))
 
 
-def openalex_records(payloads: DataFrame) -> DataFrame:
+def openalex_records(payloads: DataFrame, *more: Column) -> DataFrame:
+    """RECORD, and what more of a payload is asked for."""
     title = clean_text(F.col("title"))
     return payloads.select(
         *_record(
@@ -51,7 +52,8 @@ def openalex_records(payloads: DataFrame) -> DataFrame:
                 "doi": normalize_doi(F.col("doi")), "url": F.coalesce("primary_location.landing_page_url", "id"), "source_database": F.lit("OpenAlex"), "search_query": F.col("query"), "record_type": record_type(title, F.coalesce("type", F.lit(""))),
                 "abstract": abstract_from_index(F.col("abstract_inverted_index")), "openalex_id": F.col("id"), "referenced_works": F.array_join("referenced_works", "|"), "cited_by_count": F.coalesce("cited_by_count", F.lit(0)),
             }
-        )
+        ),
+        *more,
     )
 
 

@@ -12,7 +12,8 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import paper_filename, safe_filename
@@ -52,28 +53,61 @@ def _numbered(df: DataFrame, cfg: Config, order: str, key: str, first: int, name
     return _save(numbering.by_files(df.sparkSession, place, key, first), cfg, name)
 
 
+def _works(spark: SparkSession, cfg: Config, merged: DataFrame) -> DataFrame:
+    """What citations are looked up in: the saved works that the configuration names, numbered, else the records themselves."""
+    path = cfg["search"].get("works")
+    if path:
+        found = payloads.openalex_records(payloads.read_payloads(spark, path, "openalex"), F.coalesce("type", F.lit("")).alias("type")).withColumn("read_no", F.monotonically_increasing_id())
+        works = _numbered(found, cfg, "read_no", "ord", 0, "works").drop("read_no")
+    else:
+        works = merged.withColumn("type", F.when(F.col("record_type") == "primary", "article").otherwise(""))
+    return works.where("openalex_id <> ''").dropDuplicates(["openalex_id"]).withColumn("id", F.col("openalex_id"))
+
+
 def literature_search(spark: SparkSession, cfg: Config) -> dict[str, Any]:
-    """Records of all services, at most `per_query` a query, duplicates merged, then what the best of them cite and what cites them."""
+    """Records of all services, at most `per_query` a query, duplicates merged; then what the best of them cite and what cites them, and duplicates merged again.
+
+    `search.payloads` names a file for each service, `search.works` saved works that citations are looked up in, `search.errors`
+    calls that failed (source_database, search_query, error, http_status). A service whose file cannot be read is logged and left out.
+    """
     own, limit = cfg["search"], cfg["search"].get("per_query", 12)
     threshold = cfg.get("screening", {}).get("title_threshold", linkage.THRESHOLD)
-    sources = tuple(s for s in own.get("sources", payloads.READERS) if s in own["payloads"])
-    parts = {s: payloads.read_payloads(spark, own["payloads"][s], s) for s in sources}
-    found = payloads.union_sources(parts, sources).withColumn("read_no", F.monotonically_increasing_id())  # by service, then as the files lie
-    raw = _numbered(found, cfg, "read_no", "ord", 0, "raw_records").drop("read_no")
-    raw = search.first_per_query(raw, limit)
-    merged = _save(linkage.deduplicate(raw.drop("source_no"), threshold), cfg, "merged_records")
-    works = merged.withColumns({"id": F.col("openalex_id"), "cited_by": F.col("cited_by_count")})
-    chased = citations.chase(works, works, own.get("max_reviews", citations.MAX_REVIEWS), own.get("max_primary", citations.MAX_PRIMARY))
-    _save(chased, cfg, "citation_records")
+    parts = {}
+    for s in own.get("sources", payloads.READERS):
+        if s in own["payloads"]:
+            try:
+                parts[s] = payloads.read_payloads(spark, own["payloads"][s], s)
+            except AnalysisException as e:
+                files.append_event(spark, f"{cfg['output']['logs_dir']}/pipeline", "search_source_error", source=_SERVICES[s], error=str(e))
+    found = payloads.union_sources(parts, tuple(parts)).withColumn("read_no", F.monotonically_increasing_id())  # by service, then as the files lie
+    found = _numbered(found, cfg, "read_no", "ord", 0, "raw_records").drop("read_no", "source_no")
+    raw = search.first_per_query(found, limit)
+    merged = _save(linkage.deduplicate(raw, threshold), cfg, "merged_records")
+    works = _works(spark, cfg, merged)
+    best = merged.withColumns({"id": F.col("openalex_id"), "cited_by": F.col("cited_by_count")})
+    cited, calls = citations.expand(best, works, own.get("max_reviews", citations.MAX_REVIEWS), own.get("max_primary", citations.MAX_PRIMARY), own.get("reference_prefix", citations.OPENALEX_PREFIX))
+    after = Window.orderBy("place", "n", "id")  # a few thousand rows at most
+    cited = cited.withColumn("ord", F.row_number().over(after) - 1 + F.lit(found.count())).select("ord", *payloads.RECORD)
+    cited = _save(cited, cfg, "citation_records")
+    calls = _save(calls, cfg, "citation_log")
     queries = payloads.queries_of(spark, own.get("query_groups", {}))
-    names = {"openalex": "OpenAlex", "crossref": "Crossref", "semantic_scholar": "Semantic Scholar"}
-    log = search.search_log(queries.select("group", "query"), raw, tuple(names[s] for s in sources))
-    _save(log, cfg, "search_log")
-    _save(merged, cfg, "master_records")
-    stats = {"raw_records": raw.count(), "citation_records": _load(spark, cfg, "citation_records").count(), "deduplicated_records": merged.count(), "output": _place(cfg, "master_records")}
+    errors = spark.read.schema("source_database string, search_query string, error string, http_status int").json(own["errors"]) if "errors" in own else None
+    log = search.search_log(queries.select("group", "query"), raw, tuple(_SERVICES[s] for s in parts), errors)
+    if errors is not None:
+        order = queries.select(F.col("query").alias("search_query"), (F.col("group_no") * 1_000_000 + F.col("query_no")).alias("ord"))
+        asked = order.crossJoin(spark.createDataFrame([(_SERVICES[s],) for s in parts], "source_database string"))  # three rows
+        log = search.with_refusals(log, asked.join(errors.drop("error"), ["source_database", "search_query"], "left"))
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    chased = calls.select(stamp.alias("timestamp_utc"), F.lit("OpenAlex").alias("source_database"), F.col("query").alias("search_query"), F.col("mode").alias("search_group"), F.lit(citations.CHASING).alias("search_mode"), "results_returned", "status", "notes")
+    _save(log.unionByName(chased), cfg, "search_log")
+    master = _save(linkage.deduplicate(merged.select("ord", *payloads.RECORD).unionByName(cited), threshold), cfg, "master_records")
+    stats = {"raw_records": raw.count(), "citation_records": cited.count(), "deduplicated_records": master.count(), "output": _place(cfg, "master_records")}
     return _done(spark, cfg, "literature_search_complete", stats)
 
 
+_SERVICES = {"openalex": "OpenAlex", "crossref": "Crossref", "semantic_scholar": "Semantic Scholar"}
+
+
 def title_abstract_screening(spark: SparkSession, cfg: Config) -> dict[str, Any]:
     screened = _save(screening.screen(_load(spark, cfg, "master_records"), configs.screen_pack(cfg)), cfg, "screened_records")
     kept = screened.where(F.col("inclusion_decision") != "Exclude")

@@ -20,15 +20,23 @@ STANDARD = "DOI Title Authors Year Journal Metal_catalyst Ligand Substrate_class
 
 @pytest.fixture
 def project(spark, tmp_path):
+    at = "https://openalex.org/W"
     works = [
-        {"id": "W1", "title": "Iron catalyst asymmetric hydrogenation with H2", "doi": "10.1/a", "type": "article", "publication_year": 2020, "cited_by_count": 5, "abstract_inverted_index": {"h2": [0]}, "referenced_works": ["W2"], "query": "q1"},
-        {"id": "W1b", "title": "Iron catalyst asymmetric hydrogenation with H2", "doi": "https://doi.org/10.1/A", "type": "article", "query": "q2"},
-        {"id": "W2", "title": "A review of iron", "doi": "10.1/b", "type": "review", "cited_by_count": 9, "referenced_works": ["W1"], "query": "q1"},
-        {"id": "W3", "title": "Hydrosilylation", "doi": "10.1/c", "type": "article", "query": "q1"},
+        {"id": f"{at}1", "title": "Iron catalyst asymmetric hydrogenation with H2", "doi": "10.1/a", "type": "article", "publication_year": 2020, "cited_by_count": 5, "abstract_inverted_index": {"h2": [0]}, "referenced_works": [f"{at}2", "https://doi.org/10.1/x"], "query": "q1"},
+        {"id": f"{at}1b", "title": "Iron catalyst asymmetric hydrogenation with H2", "doi": "https://doi.org/10.1/A", "type": "article", "query": "q2"},
+        {"id": f"{at}2", "title": "A review of iron", "doi": "10.1/b", "type": "review", "cited_by_count": 9, "referenced_works": [f"{at}8", f"{at}1", f"{at}404", f"{at}8"], "query": "q1"},
+        {"id": f"{at}3", "title": "Hydrosilylation", "doi": "10.1/c", "type": "article", "query": "q1"},
     ]
+    more = [
+        {"id": f"{at}8", "title": "Cobalt hydrogenation of olefins", "doi": "10.1/h", "type": "preprint", "publication_year": 2021},
+        {"id": f"{at}9", "title": "Later work on iron", "doi": "10.1/i", "type": "article", "referenced_works": [f"{at}1"]},
+    ]
+    (tmp_path / "works.json").write_text("\n".join(map(json.dumps, [*works, *more])))
+    refused = [{"source_database": "OpenAlex", "search_query": "q2", "error": "timeout"}]
+    (tmp_path / "errors.json").write_text("\n".join(map(json.dumps, refused)))
     (tmp_path / "openalex.json").write_text("\n".join(map(json.dumps, works)))
     (tmp_path / "base.yaml").write_text("search: {per_query: 12, sources: [openalex, crossref]}\npdf_download: {min_pdf_bytes: 100}\noutput: {outputs_dir: out, logs_dir: logs, data_subdir: data, prefix: T}\n")
-    (tmp_path / "own.yaml").write_text(f"project: {{name: Fe run/1}}\nsearch:\n  query_groups: {{g: [q1, q2]}}\n  payloads: {{openalex: {tmp_path}/openalex.json}}\npdf_download: {{attempts: {tmp_path}/attempts}}\nfulltext: {{pages: {tmp_path}/pages}}\nextraction: {{columns: [{", ".join(STANDARD)}]}}\n")
+    (tmp_path / "own.yaml").write_text(f"project: {{name: Fe run/1}}\nsearch:\n  query_groups: {{g: [q1, q2]}}\n  payloads: {{openalex: {tmp_path}/openalex.json, crossref: {tmp_path}/absent.json}}\n  works: {tmp_path}/works.json\n  errors: {tmp_path}/errors.json\npdf_download: {{attempts: {tmp_path}/attempts}}\nfulltext: {{pages: {tmp_path}/pages}}\nextraction: {{columns: [{", ".join(STANDARD)}]}}\n")
     attempts = [(1, 1, "Unpaywall", "http://x/1", bytearray(b"<html>"), "text/html"), (1, 2, "OpenAlex", "http://x/2", bytearray(b"%PDF-1.7" + b"0" * 200), "application/pdf")]
     spark.createDataFrame(attempts, "row long, ordinal int, source string, url string, content binary, content_type string").write.parquet(f"{tmp_path}/attempts")
     spark.createDataFrame([(1, 1, GOOD), (1, 2, "Under 50 bar of hydrogen. End.")], "row long, page_no int, text string").write.parquet(f"{tmp_path}/pages")
@@ -42,11 +50,19 @@ def test_stages(spark, project, tmp_path):
     with pytest.raises(ValueError):
         stages.run(spark, "nonsense", project)
     s = stages.run(spark, "literature_search", project)
-    assert (s["raw_records"], s["deduplicated_records"]) == (4, 3) and s["citation_records"] > 0
+    # the review cites W8 (new) and W1; W1 cites the review and is cited by it and by W9 (new)
+    assert (s["raw_records"], s["citation_records"], s["deduplicated_records"]) == (4, 5, 5)
+    master = {r.openalex_id[-2:]: r for r in spark.read.parquet(f"{tmp_path}/data/master_records").collect()}
+    assert set(master) == {"W1", "W2", "W3", "W8", "W9"} and master["W8"].source_database == "OpenAlex review reference list" and master["W8"].record_type == "primary"
+    assert master["W9"].source_database == "OpenAlex forward citations" and master["W1"].source_database == "OpenAlex; OpenAlex review reference list"
+    calls = {(r.search_group, r.search_query): (r.results_returned, r.status) for r in spark.read.parquet(f"{tmp_path}/data/search_log").where("search_mode = 'citation chasing'").collect()}
+    first = "Iron catalyst asymmetric hydrogenation with H2"
+    assert calls == {("review reference list", "A review of iron"): ("2", "OK"), ("backward citations", first): ("1", "OK"), ("forward citations", first): ("2", "OK")}
+    assert spark.read.json(f"{tmp_path}/logs/pipeline").where("event = 'search_source_error'").count() == 1
     log = {r.search_query: r for r in spark.read.parquet(f"{tmp_path}/data/search_log").collect()}
-    assert (log["q1"].results_returned, log["q2"].results_returned, log["q1"].status, log["q1"].search_group) == ("3", "1", "OK", "g")
+    assert (log["q1"].results_returned, log["q2"].results_returned, log["q1"].status, log["q2"].status, log["q2"].notes, log["q1"].search_group) == ("3", "0", "OK", "ERROR", "timeout", "g")
     s = stages.run(spark, "title_abstract_screening", project)
-    assert (s["total"], s["excluded"], s["strict_h2"]) == (3, 1, 1)
+    assert (s["total"], s["excluded"], s["strict_h2"]) == (5, 1, 1)
     with pytest.raises(IndexError):
         stages.run(spark, "pdf_download", project, row=2)
     assert stages.run(spark, "pdf_download", project) == {"success": 1, "failed": 0, "reused": 0}
@@ -111,3 +127,13 @@ def test_files(spark, tmp_path):
         except ImportError:
             with pytest.raises(RuntimeError, match=library):
                 call()
+
+
+def test_refused_calls(spark):
+    from lodestone.operators import search
+
+    log = spark.createDataFrame([(s, q, "1", "OK", "") for s in ("OpenAlex", "Semantic Scholar") for q in ("a", "b", "c", "d")], "source_database string, search_query string, results_returned string, status string, notes string")
+    calls = [(s, q, i, 429 if (s, q) in (("Semantic Scholar", "b"), ("Semantic Scholar", "d"), ("OpenAlex", "a")) else None) for s in ("OpenAlex", "Semantic Scholar") for i, q in enumerate("abcd")]
+    got = {(r.source_database, r.search_query): (r.results_returned, r.status) for r in search.with_refusals(log, spark.createDataFrame(calls, "source_database string, search_query string, ord long, http_status int")).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "Semantic Scholar"} == {("Semantic Scholar", "a"): ("1", "OK"), ("Semantic Scholar", "b"): ("0", "RATE LIMITED")}
+    assert sum(k[0] == "OpenAlex" for k in got) == 4 and {v for k, v in got.items() if k[0] == "OpenAlex"} == {("1", "OK")}
