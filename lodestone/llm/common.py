@@ -129,6 +129,18 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return wrapped
 
 
+_KEPT: list = [None, None]
+
+
+def kept(key: object, build: Callable[[], object]) -> object:
+    """What a worker keeps between tasks, one thing at a time: whatever another operator kept before goes first, as workers serve one operator after the other."""
+    if _KEPT[0] != key:
+        _KEPT[:] = [None, None]
+        release()
+        _KEPT[:] = [key, build()]
+    return _KEPT[1]
+
+
 def _trim() -> Callable[[int], int] | None:
     try:
         return ctypes.CDLL(None).malloc_trim

@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, map_whole, pick, read, released
+from lodestone.llm.common import documents, kept, map_whole, pick, read, released
 
 #: Lower case for A-Z, a space for what [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ leaves out (after lowering); other bytes stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -70,15 +70,9 @@ class Finder:
         return len(w), ranges, sorted({self.ids[i] for _, (_, own) in found for i in own})
 
 
-_LAST: list = [None, None]
-
-
 def finder_of(key: str, sent: Broadcast, window: int) -> Finder:
     """The finder of a broadcast block, kept by the worker between tasks under the block's key."""
-    if _LAST[0] != key:
-        _LAST[:] = [key, None]  # the one before goes first
-        _LAST[1] = Finder(sent.value, window)
-    return _LAST[1]
+    return kept(("finder", key), lambda: Finder(sent.value, window))
 
 
 def offsets(text: str | None, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import documents, read, released
+from lodestone.llm.common import documents, kept, read, released
 from lodestone.llm.wordcodes import WordCodes, parts
 
 MARK = "▁"
@@ -406,13 +406,8 @@ class Coder:
         return self.decode_bytes(np.array(ids, np.int64), np.array([len(ids)]))[0].decode("utf-8", "replace")
 
 
-_LAST: list = [None, None]
-
-
 def coder_of(machine: Machine, key: str) -> Coder:
-    if _LAST[0] != key:
-        _LAST[:] = [key, Coder(machine)]
-    return _LAST[1]
+    return kept(("coder", key), lambda: Coder(machine))
 
 
 def _list(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
