@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lodestone.functions import rules as R
+from lodestone.functions.markup import Attr, Selector, select
 from lodestone.functions.text import clean_text
 
 MIN_BYTES = 15_000
-LOGIN = r"(?is)<input[^>]+type\s*=\s*[\"']?password|<form[^>]+action\s*=\s*[\"'][^\"']*(?:login|signin)|\bid\s*=\s*[\"'][^\"']*loginForm|\bclass\s*=\s*[\"'][^\"']*login-form"
+#: What asks for a name and a password.
+LOGINS = (
+    Selector("input", (Attr("type", "=", "password", True),)),
+    Selector("form", (Attr("action", "*", "login", True),)),
+    Selector("form", (Attr("action", "*", "signin", True),)),
+    Selector(None, (Attr("id", "*", "loginForm", True),)),
+    Selector(None, (Attr("class", "*", "login-form", True),)),
+)
 
 
 def page_text(page: Column) -> Column:
@@ -34,7 +42,7 @@ def challenge(text: Column, packs=R.CHALLENGES) -> Column:
 
 
 def login(page: Column) -> Column:
-    return page.rlike(LOGIN)
+    return read_page(page, F.lit(""), logins=LOGINS)["login"]
 
 
 def paywall(text: Column, words: tuple[str, ...] = R.PAYWALL) -> Column:
@@ -45,61 +53,78 @@ def supplementary(url: Column) -> Column:
     return _any(F.lower(url), R.SUPPLEMENTARY)
 
 
+def _joined(base: str, link: str) -> str | None:
+    try:
+        return urljoin(base, link.strip()) if link.strip() else None
+    except ValueError:  # such as a broken IPv6 address
+        return None
+
+
 @F.pandas_udf(StringType())
 def resolve(base: pd.Series, link: pd.Series) -> pd.Series:
-    return pd.Series([urljoin(b, x.strip()) if b is not None and x is not None and x.strip() else None for b, x in zip(base, link, strict=True)], dtype="object")
+    """Links against their pages' urls; null where one is null or blank, or the link is no url."""
+    return pd.Series([_joined(b, x) if b is not None and x is not None else None for b, x in zip(base, link, strict=True)], dtype="object")
 
 
-def _anchor(condition: str, href: str = "[^\"']*") -> str:
-    """The href of an anchor whose start tag meets a look-ahead condition."""
-    return rf"(?is)<a\b(?=[^>]*{condition})[^>]*?\bhref\s*=\s*[\"']({href})[\"']"
+def _link(*attrs: Attr, within: str = "", says: str | None = None, matches: str | None = None) -> Selector:
+    return Selector("a", attrs, (Attr("class", "*", within),) if within else (), says, matches)
 
 
-def _in_class(name: str) -> str:
-    return rf"(?is)<[^>]+class\s*=\s*[\"'][^\"']*{name}[^\"']*[\"'][^>]*>\s*<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
+#: Links to a paper's file in order of preference.
+PDF_LINKS = (
+    _link(Attr("data-track-action", "=", "download pdf", True)),
+    _link(Attr("data-track-action", "=", "pdf download", True)),
+    _link(Attr("data-article-url", "$", ".pdf")),
+    _link(Attr("href", "$", ".pdf")),
+    _link(Attr("href", "*", "/pdf/"), Attr("href", "*", "doi")),
+    _link(Attr("href", "*", "/pdf/")),
+    _link(Attr("title", "=", "Download PDF", True)),
+    _link(Attr("title", "=", "PDF", True)),
+    _link(Attr("aria-label", "*", "Download PDF", True)),
+    _link(Attr("aria-label", "*", "PDF", True)),
+    _link(within="c-pdf-download"),
+    _link(within="pdf-download"),
+    _link(within="download-pdf"),
+    _link(says="PDF"),
+    _link(matches="(?i)^Download PDF$"),
+    _link(matches="(?i)Full.?Text PDF"),
+    _link(matches="(?i)View PDF"),
+    _link(matches="(?i)Open PDF"),
+)
 
 
-def _labelled(text: str) -> str:
-    return rf"(?s)<[aA]\b[^>]*?\b(?i:href)\s*=\s*[\"']([^\"']*)[\"'][^>]*>{text}\s*</[aA]>"
+def read_page(page: Column, url: Column, links: tuple[Selector, ...] = (), logins: tuple[Selector, ...] = ()) -> Column:
+    """struct(login boolean, links array<string>): whether an element meets one of `logins`; hrefs of what meets `links`, selector by selector, resolved against url, each once."""
 
+    @F.pandas_udf("login boolean, links array<string>")
+    def read(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, u in zip(pages, urls, strict=True):
+            found = select(p, (*links, *logins))
+            hrefs = [_joined(u or "", attrs.get("href", "")) for f in found[: len(links)] for attrs in f]
+            out.append((any(found[len(links) :]), list(dict.fromkeys(h for h in hrefs if h))))
+        return pd.DataFrame(out, columns=["login", "links"])
 
-#: Patterns of links to a paper's file in order of preference.
-PDF_LINKS = (
-    _anchor(r"\bdata-track-action\s*=\s*[\"']download pdf[\"']"),
-    _anchor(r"\bdata-track-action\s*=\s*[\"']pdf download[\"']"),
-    _anchor(r"\bdata-article-url\s*=\s*[\"'][^\"']*\.pdf[\"']"),
-    r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*\.pdf)[\"']",
-    r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"'](?=[^\"']*/pdf/)([^\"']*doi[^\"']*)[\"']",
-    r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*/pdf/[^\"']*)[\"']",
-    _anchor(r"\btitle\s*=\s*[\"']download pdf[\"']"),
-    _anchor(r"\btitle\s*=\s*[\"']pdf[\"']"),
-    _anchor(r"\baria-label\s*=\s*[\"'][^\"']*download pdf"),
-    _anchor(r"\baria-label\s*=\s*[\"'][^\"']*pdf"),
-    _in_class("c-pdf-download"),
-    _in_class("pdf-download"),
-    _in_class("download-pdf"),
-    _labelled(r"\s*PDF"),
-    _labelled(r"(?i:\s*download pdf)"),
-    _labelled(r"(?i:[^<]*full.?text pdf[^<]*)"),
-    _labelled(r"(?i:[^<]*view pdf[^<]*)"),
-    _labelled(r"(?i:[^<]*open pdf[^<]*)"),
-)
+    return read(page, url)
 
 
-def pdf_link(page: Column, url: Column, patterns: tuple[str, ...] = PDF_LINKS) -> Column:
-    """The page itself if it is a file; a publisher's rule; else the first link that is no supplement, else the first link (not yet resolved)."""
-    links = F.filter(F.concat(*[F.regexp_extract_all(page, F.lit(p), F.lit(1)) for p in patterns]), lambda x: F.trim(x) != "")
+def _chosen(url: Column, links: Column) -> Column:
     own = F.when(F.lower(url).endswith(".pdf") & ~supplementary(url), url)
     doi = F.split_part(F.nullif(F.regexp_extract(url, r"(10\.\d{4,}/\S+)", 1), F.lit("")), F.lit("?"), F.lit(1))
     acs = F.when(url.contains("pubs.acs.org") & doi.isNotNull(), F.concat(F.lit("https://pubs.acs.org/doi/pdf/"), doi))
     return F.coalesce(own, acs, F.get(F.filter(links, lambda x: ~supplementary(x)), 0), F.get(links, 0))
 
 
-def page_class(pages: DataFrame, page: str = "html", url: str = "url", challenges=R.CHALLENGES, walls=R.PAYWALL, links=PDF_LINKS) -> DataFrame:
-    """pages without their markup, with challenge, login, paywall, pdf_link."""
+def pdf_link(page: Column, url: Column, links: tuple[Selector, ...] = PDF_LINKS) -> Column:
+    """The page itself if it is a file; a publisher's rule; else the first link that is no supplement, else the first link, resolved against the page's url."""
+    return _chosen(url, read_page(page, url, links)["links"])
+
+
+def page_class(pages: DataFrame, page: str = "html", url: str = "url", challenges=R.CHALLENGES, walls=R.PAYWALL, links: tuple[Selector, ...] = PDF_LINKS, logins: tuple[Selector, ...] = LOGINS) -> DataFrame:
+    """pages without their markup, with challenge, login, paywall, pdf_link; tags are read once a page."""
     t = F.col("_t")
-    d = pages.withColumn("_t", page_text(F.col(page)))
-    return d.select(*[c for c in pages.columns if c != page], challenge(t, challenges).alias("challenge"), login(F.col(page)).alias("login"), paywall(t, walls).alias("paywall"), pdf_link(F.col(page), F.col(url), links).alias("pdf_link"))
+    d = pages.withColumns({"_t": page_text(F.col(page)), "_read": read_page(F.col(page), F.col(url), links, logins)})
+    return d.select(*[c for c in pages.columns if c != page], challenge(t, challenges).alias("challenge"), F.col("_read.login").alias("login"), paywall(t, walls).alias("paywall"), _chosen(F.col(url), F.col("_read.links")).alias("pdf_link"))
 
 
 def valid_file(content: Column, content_type: Column, min_bytes: int = MIN_BYTES) -> Column:

@@ -172,7 +172,7 @@ def test_citations(spark):
 def test_acquisition(spark):
     html = '<title>x</title><body><a href="/si/suppl_file.pdf">SI</a><a href="/main.pdf">PDF</a> Just a moment. Access denied <input type="password"></body>'
     r = acquisition.page_class(spark.createDataFrame([(1, "http://h/p", html)], "page_id int, url string, html string")).first()
-    assert (r.challenge, r.login, r.paywall, r.pdf_link) == ("cloudflare", True, True, "/main.pdf")
+    assert (r.challenge, r.login, r.paywall, r.pdf_link) == ("cloudflare", True, True, "http://h/main.pdf")
     d = spark.createDataFrame([("http://h/a/", "x.pdf", bytearray(b"%PDF" + b"0" * 20000), "text/html"), ("http://h/a/", " ", bytearray(b"%PDF"), "application/pdf")], "u string, l string, c binary, t string")
     got = d.select(acquisition.resolve("u", "l").alias("r"), acquisition.valid_file(F.col("c"), F.col("t")).alias("ok")).collect()
     assert [(x.r, x.ok) for x in got] == [("http://h/a/x.pdf", True), (None, False)]
@@ -186,7 +186,7 @@ def test_acquisition(spark):
 )
 def test_pdf_link(spark, attributes, label):
     page = f'<a href="/no" title="PDF of the supplement">more</a><a {attributes} href="/main">{label}</a>'
-    assert value(spark, acquisition.pdf_link(F.col("p"), F.col("u")), p=page, u="http://h/x") == "/main"
+    assert value(spark, acquisition.pdf_link(F.col("p"), F.col("u")), p=page, u="http://h/x") == "http://h/main"
     assert value(spark, acquisition.pdf_link(F.col("p"), F.col("u")), p='<a title="PDF of it" href="/no">pdf</a>', u="http://h/x") is None
 
 
