@@ -137,12 +137,12 @@ select doc_id, case when rule in (0, 1, 9) then 'C. Uncertain' when rule = 7 the
 
 _CHALLENGES, _WALLS = (("first", ("casino", "zzzz")), ("second", ("rere", "tion "))), ("thanonth", "que la que")
 _LINKS = (Selector("a", (Attr("href", "$", "an"),)), Selector("a", (Attr("href", "*", "CO", True), Attr("href", "*", "n"))), Selector("a", says="de"), Selector("a", matches="(?i)^th"), Selector("a"))
-_LOGINS = (Selector("a", (Attr("href", "*", "SCH", True), Attr("href", "$", "t"))), Selector("p", (), (Attr("class", "*", "promo"),)))
+_LOGINS = (Selector("a", (Attr("href", "*", "SCH", True), Attr("href", "*", "e"))), Selector("p", (), (Attr("class", "*", "promo"),)))
 QUERIES["page_access_class"] = lambda spark, d: acquisition.page_class(texts(spark, d, "pages"), challenges=_CHALLENGES, walls=_WALLS, links=_LINKS, logins=_LOGINS).select("page_id", "challenge", "login", "paywall", "pdf_link")
 _UNESCAPED = "replace(replace(replace(replace({0}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
 _TEXT = "lower(trim(regexp_replace(" + _UNESCAPED.format(r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g')") + r", '<[^>]+>', '', 'g'), e' \t\n\r\f\v'))"
 ORACLES["page_access_class"] = f"""
-select page_id, case when t like '%casino%' or t like '%zzzz%' then 'first' when t like '%rere%' or t like '%tion %' then 'second' end as challenge, len(list_filter(hrefs, lambda x: x ilike '%sch%' and x like '%t')) > 0 or regexp_matches(html, '<[a-z]+ class="[^"]*promo') as login, t like '%thanonth%' or t like '%que la que%' as paywall,
+select page_id, case when t like '%casino%' or t like '%zzzz%' then 'first' when t like '%rere%' or t like '%tion %' then 'second' end as challenge, len(list_filter(hrefs, lambda x: x ilike '%sch%' and x like '%e%')) > 0 or regexp_matches(html, '<[a-z]+ class="[^"]*promo') as login, t like '%thanonth%' or t like '%que la que%' as paywall,
  regexp_extract(url, '^https?://[^/]+') || coalesce(list_filter(l, lambda x: not regexp_matches(lower(x), 'suppl_file|suppl/|supplementary|_si_|_si\\.|-si\\.|-si_|supporting_information|supporting-information|supp_|/supp\\.|esm|s1\\.pdf|s2\\.pdf|s3\\.pdf'))[1], l[1]) as pdf_link
 from (select *, list_concat(list_filter(hrefs, lambda x: x like '%an'), list_filter(hrefs, lambda x: x ilike '%co%' and x like '%n%'), list_transform(list_filter(list_zip(hrefs, says), lambda x: x[2] = 'de'), lambda x: x[1]), list_transform(list_filter(list_zip(hrefs, says), lambda x: x[2] ilike 'th%'), lambda x: x[1]), hrefs) as l
  from (select page_id, url, {_TEXT} as t, html, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as says from pages) q) r""".replace("\\\\", "\\")
