@@ -9,7 +9,8 @@ entities, the corpus gives, over all documents, N, n(e), n(t) and n(e,t), and wi
 
 t discloses e if PMI(e;t) >= DISCLOSURE * IC(e) (it gives away nearly all the information of the entity),
 PMI(e;t) >= IC(kind) (more than the generalisation of e, its kind, gives), and the surprise is MARGIN bits above
-log2 of the number of pairs looked at (so that in the whole corpus 2^-MARGIN pairs are expected by chance). With one
+log2 of the number of pairs looked at (so that in the whole corpus 2^-MARGIN pairs are expected by chance at most; a pair counts
+once for each document with both, for entities of MIN_DOCS documents or more). With one
 common document the surprise never suffices: each rare word of a document would be as good a sign as any other. With
 two it does where both words are rare. Such a term becomes a span of the kind `term` wherever it stands, in any
 document, and is generalised to the label of the kind it gives away.
@@ -27,7 +28,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import FEW, documents, if_few, read, scratch
+from lodestone.llm.common import documents, read, scratch
+from lodestone.operators.lookups import lookup
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -42,6 +44,8 @@ MIN_DOCS, DISCLOSURE, MARGIN = 2, 0.95, 10.0
 #: Whole words of letters and digits: three or more of them, or two letters of which the first is a capital.
 TERM = r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}]{3,}+|\p{Lu}\p{L})(?![\p{L}\p{N}])"
 _STEP = 256
+#: Bytes of terms, or of documents' terms, that are sent to every executor at most.
+SENT_BYTES = 16 << 20
 
 
 def located(text: Column, pattern: str, offset: Column | None = None) -> Column:
@@ -111,24 +115,46 @@ def entities(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """The text with spaces in place of the spans, so that what stands outside of them keeps its place."""
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("out"))
+def _replaced(text: Column, spans: Column, put) -> Column:
+    """The text with put(span, at, pos) in place of each span; pos is where the spans before it end, at the later of pos and the span's start.
 
-    def one(acc: Column, x: Column) -> Column:
-        at = F.greatest(acc["pos"], x["s"])
-        before = F.substring(text, (acc["pos"] + 1).cast("int"), (at - acc["pos"]).cast("int"))
-        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), x["e"] - at).cast("int"))
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.concat(acc["out"], F.array(before, blank)).alias("out"))
+    spans: array of struct(s, e, ..), sorted. They are worked off in steps of _STEP, each in the stretch of text that it covers, so that only
+    the stretches are looked for from the text's start, and arrays stay short while they grow.
+    """
+    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    cut = lambda t, start, n: F.substring(t, (start + 1).cast("int"), n.cast("int"))
 
-    def end(a: Column) -> Column:
-        return F.concat(F.array_join(a["out"], ""), F.substring(text, (a["pos"] + 1).cast("int"), F.length(text)))
+    def one(stretch: Column, origin: Column):
+        def add(acc: Column, x: Column) -> Column:
+            at = F.greatest(acc["pos"], x["s"])
+            return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.concat(acc["out"], F.array(cut(stretch, acc["pos"] - origin, at - acc["pos"]), put(x, at, acc["pos"]))).alias("out"))
 
-    places = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    whole = F.element_at(F.transform(F.array(F.aggregate(places, start, one)), end), 1)
+        return add
+
+    def step(acc: Column, i: Column) -> Column:
+        def within(part: Column) -> Column:
+            to = F.greatest(acc["pos"], F.array_max(F.transform(part, lambda x: x["e"])))
+
+            def joined(stretch: Column) -> Column:
+                new = F.aggregate(part, F.struct(acc["pos"].alias("pos"), F.array().cast("array<string>").alias("out")), one(stretch, acc["pos"]))
+                return let(new, lambda n: F.struct(n["pos"].alias("pos"), F.concat(acc["out"], F.array(F.array_join(n["out"], ""))).alias("out")))
+
+            return let(cut(text, acc["pos"], to - acc["pos"]), joined)
+
+        return let(F.slice(spans, i * _STEP + 1, F.lit(_STEP)), within)
+
+    steps = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _STEP).cast("int"))
+    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("out"))
+    whole = let(F.aggregate(steps, start, step), lambda a: F.concat(F.array_join(a["out"], ""), cut(text, a["pos"], F.length(text))))
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans, so that what stands outside of them keeps its place."""
+    places = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    return F.element_at(F.transform(F.array(places), lambda p: _replaced(text, p, lambda x, at, _: F.repeat(F.lit(" "), F.greatest(F.lit(0), x["e"] - at).cast("int")))), 1)
+
+
 def _terms(text: Column) -> Column:
     """The different terms of a text, in lower case."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
@@ -153,6 +179,12 @@ def _surprise(n_et: Column, expected: Column) -> Column:
     return F.when(expected < n_et + 1, first + F.log2(1 - expected / (n_et + 1))).otherwise(0.0)
 
 
+def _sent(df: DataFrame, size: Column) -> DataFrame:
+    """A written table, sent to every executor if its rows and their sizes sum up to SENT_BYTES at most; a larger one is joined by a shuffle."""
+    total = df.agg(F.sum(size.cast("long") + 64)).first()[0] or 0
+    return F.broadcast(df) if total <= SENT_BYTES else df
+
+
 def term_spans(found: DataFrame) -> DataFrame:
     """k1, k2, terms (array of struct(s, e, kind)): all places of terms that disclose an entity of the corpus.
 
@@ -161,19 +193,26 @@ def term_spans(found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     base = scratch(spark, "pii")
     held = found.where(F.size("spans") > 0)
-    per_doc = held.select("k1", "k2", F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), identity(x["kind"], x["m"]).alias("value"))))).alias("x")).select("k1", "k2", "x.*")
-    # an entity of fewer documents cannot reach MIN_DOCS with any term
-    n_e = per_doc.groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= MIN_DOCS)
+    # one string an entity, as arrays of strings are made distinct by hash, those of structs by comparing all pairs
+    ids = F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], identity(x["kind"], x["m"]))))
+    per_doc = held.select("k1", "k2", F.explode(ids).alias("entity"))
+    # an entity of fewer documents cannot reach MIN_DOCS with any term; entities of one kind in the same documents have the same
+    # counts with each term, so they are one class, told by sums of the documents' hashes
+    parts = [F.shiftright(F.xxhash64("k1", "k2", F.lit(seed)), at).bitwiseAND(F.lit(0xFFFFFFFF)) for seed in (1, 2) for at in (0, 32)]
+    n_e = per_doc.groupBy("entity").agg(F.count("*").alias("n_e"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(parts)]).where(F.col("n_e") >= MIN_DOCS)
+    n_e = n_e.select("entity", F.struct(F.substring_index("entity", ":", 1).alias("kind"), "n_e", *[f"s{i}" for i in range(len(parts))]).alias("class"), F.col("n_e").alias("n"))
     kinds = held.select(F.explode(F.array_distinct(F.transform("spans", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_kind"))
-    often = per_doc.join(n_e, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "value", "n_e")).alias("es"))
-    all_pairs = held.join(often, ["k1", "k2"]).select("es", F.explode(_terms(F.col("clear"))).alias("term")).select("term", F.explode("es").alias("x")).groupBy("x.kind", "x.value", "x.n_e", "term").agg(F.count("*").alias("n_et"))
-    all_pairs.write.parquet(f"{base}/pairs")
-    all_pairs = spark.read.parquet(f"{base}/pairs")
-    pairs = all_pairs.where(F.col("n_et") >= MIN_DOCS)
+    met = lookup(per_doc, n_e, "entity", "n", F.col("k2")).where(F.col("class").isNotNull())
+    often = met.groupBy("k1", "k2").agg(F.collect_set("class").alias("classes"), F.count("*").alias("n_entities"))
+    with_terms = held.select("k1", "k2", "clear").join(often, ["k1", "k2"]).select("classes", "n_entities", _terms(F.col("clear")).alias("terms"))
+    looked = with_terms.agg(F.sum(F.col("n_entities") * F.size("terms")).alias("n_pairs"))
+    all_pairs = with_terms.select("classes", F.explode("terms").alias("term")).select("term", F.explode("classes").alias("x")).groupBy("x", "term").agg(F.count("*").alias("n_et"))
+    all_pairs.where(F.col("n_et") >= MIN_DOCS).select("x.kind", "x.n_e", "term", "n_et").distinct().write.parquet(f"{base}/pairs")
+    pairs = spark.read.parquet(f"{base}/pairs")
     # counted before the join, within each partition first: a common word is a few rows, not a row for each of its documents
     # (an inner join, as a semi join would be moved below the count)
     n_t = found.select(F.explode(_terms(F.col("clear"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = found.agg(F.count("*").alias("n")).crossJoin(F.broadcast(all_pairs.agg(F.count("*").alias("n_pairs"))))  # one row each
+    n = found.agg(F.count("*").alias("n")).crossJoin(F.broadcast(looked.select(F.greatest("n_pairs", F.lit(1)).alias("n_pairs"))))  # one row each
     stats = pairs.join(n_t, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(n))  # one row of n, a row a kind
     pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
     pmi = pmi + 1e-9  # equal counts are to give equal logarithms
@@ -181,12 +220,10 @@ def term_spans(found: DataFrame) -> DataFrame:
     told = stats.where((pmi >= DISCLOSURE * F.log2(F.col("n") / F.col("n_e"))) & (pmi >= F.log2(F.col("n") / F.col("n_kind"))) & enough)
     told.groupBy("term").agg(F.min("kind").alias("kind")).write.parquet(f"{base}/risky")
     risky = spark.read.parquet(f"{base}/risky")
-    of_doc = found.select("k1", "k2", F.explode(_terms(F.col("clear"))).alias("term")).join(if_few(risky), "term").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("risky"))
+    of_doc = found.select("k1", "k2", F.explode(_terms(F.col("clear"))).alias("term")).join(_sent(risky, F.octet_length("term")), "term").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("risky"))
     of_doc.write.parquet(f"{base}/of_doc")
     of_doc = spark.read.parquet(f"{base}/of_doc")
-    # a row of these is as long as its terms, so their number is what counts
-    few = (of_doc.agg(F.sum(F.size("risky"))).first()[0] or 0) <= FEW
-    of_doc = F.broadcast(of_doc) if few else of_doc
+    of_doc = _sent(of_doc, F.aggregate(F.map_keys("risky"), F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t) + 16))
     places = F.filter(located(F.col("clear"), TERM), lambda x: F.map_contains_key(F.col("risky"), F.lower(x["m"])))
     places = F.transform(places, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.try_element_at("risky", F.lower(x["m"])).alias("kind")))
     return found.select("k1", "k2", "clear").join(of_doc, ["k1", "k2"]).select("k1", "k2", places.alias("terms")).groupBy("k1", "k2").agg(F.first("terms").alias("terms"))
@@ -222,17 +259,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def _masked(text: Column, spans: Column) -> Column:
     """The text with each span's label in its place; overlapping spans become one under the label of the first."""
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("out"))
-
-    def one(acc: Column, x: Column) -> Column:
-        before = F.substring(text, (acc["pos"] + 1).cast("int"), (x["s"] - acc["pos"]).cast("int"))
-        return F.when(x["s"] < acc["pos"], F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), acc["out"].alias("out"))).otherwise(F.struct(x["e"].alias("pos"), F.concat(acc["out"], F.array(before, x["label"])).alias("out")))
-
-    def end(a: Column) -> Column:
-        return F.concat(F.array_join(a["out"], ""), F.substring(text, (a["pos"] + 1).cast("int"), F.length(text)))
-
-    whole = F.element_at(F.transform(F.array(F.aggregate(spans, start, one)), end), 1)
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+    return _replaced(text, spans, lambda x, _, pos: F.when(x["s"] < pos, F.lit("")).otherwise(x["label"]))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
