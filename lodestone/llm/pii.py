@@ -9,8 +9,7 @@ entities, the corpus gives, over all documents, N, n(e), n(t) and n(e,t), and wi
 
 t discloses e if PMI(e;t) >= DISCLOSURE * IC(e) (it gives away nearly all the information of the entity),
 PMI(e;t) >= IC(kind) (more than the generalisation of e, its kind, gives), and the surprise is MARGIN bits above
-log2 of the number of pairs looked at (so that in the whole corpus 2^-MARGIN pairs are expected by chance at most; a pair counts
-once for each document with both, for entities of MIN_DOCS documents or more). With one
+log2 of the number of pairs looked at (so that in the whole corpus 2^-MARGIN pairs are expected by chance). With one
 common document the surprise never suffices: each rare word of a document would be as good a sign as any other. With
 two it does where both words are rare. Such a term becomes a span of the kind `term` wherever it stands, in any
 document, and is generalised to the label of the kind it gives away.
@@ -203,12 +202,13 @@ def term_spans(found: DataFrame) -> DataFrame:
     n_e = n_e.select("entity", F.struct(F.substring_index("entity", ":", 1).alias("kind"), "n_e", *[f"s{i}" for i in range(len(parts))]).alias("class"), F.col("n_e").alias("n"))
     kinds = held.select(F.explode(F.array_distinct(F.transform("spans", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_kind"))
     met = lookup(per_doc, n_e, "entity", "n", F.col("k2")).where(F.col("class").isNotNull())
-    often = met.groupBy("k1", "k2").agg(F.collect_set("class").alias("classes"), F.count("*").alias("n_entities"))
-    with_terms = held.select("k1", "k2", "clear").join(often, ["k1", "k2"]).select("classes", "n_entities", _terms(F.col("clear")).alias("terms"))
-    looked = with_terms.agg(F.sum(F.col("n_entities") * F.size("terms")).alias("n_pairs"))
-    all_pairs = with_terms.select("classes", F.explode("terms").alias("term")).select("term", F.explode("classes").alias("x")).groupBy("x", "term").agg(F.count("*").alias("n_et"))
-    all_pairs.where(F.col("n_et") >= MIN_DOCS).select("x.kind", "x.n_e", "term", "n_et").distinct().write.parquet(f"{base}/pairs")
-    pairs = spark.read.parquet(f"{base}/pairs")
+    often = met.groupBy("k1", "k2").agg(F.collect_set("class").alias("classes"))
+    terms = held.select("k1", "k2", "clear").join(often, ["k1", "k2"]).select("classes", F.explode(_terms(F.col("clear"))).alias("term"))
+    terms.select("term", F.explode("classes").alias("class")).groupBy("class", "term").agg(F.count("*").alias("n_et")).write.parquet(f"{base}/pairs")
+    all_pairs = spark.read.parquet(f"{base}/pairs")
+    of_class = n_e.groupBy("class").agg(F.count("*").alias("m"))
+    looked = all_pairs.groupBy("class").agg(F.count("*").alias("p")).join(of_class, "class").agg(F.sum(F.col("m") * F.col("p")).alias("n_pairs"))
+    pairs = all_pairs.where(F.col("n_et") >= MIN_DOCS).select("class.kind", "class.n_e", "term", "n_et").distinct()
     # counted before the join, within each partition first: a common word is a few rows, not a row for each of its documents
     # (an inner join, as a semi join would be moved below the count)
     n_t = found.select(F.explode(_terms(F.col("clear"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
