@@ -47,8 +47,12 @@ def windows(df: DataFrame, text: str = "text", context: int | str = 2) -> DataFr
 
 def extract_candidates(df: DataFrame, key: str = "doc_id", text: str = "text", context: int | str = 2) -> DataFrame:
     """key, candidate_id, the eight values, confidence, evidence and its place."""
-    w = windows(df.select(key, text, *([context] if isinstance(context, str) else [])), text, context).withColumns(window_values(F.col("evidence")))
-    return w.select(
+    return with_values(windows(df.select(key, text, *([context] if isinstance(context, str) else [])), text, context), key)
+
+
+def with_values(found: DataFrame, key: str) -> DataFrame:
+    """The columns of a candidate from windows: key, ordinal, start, end, evidence."""
+    return found.withColumns(window_values(F.col("evidence"))).select(
         key,
         F.format_string("rxn-%04d", "ordinal").alias("candidate_id"),
         "ee_percent",

@@ -10,6 +10,7 @@ from lodestone.functions.regexes import found, rounded
 from lodestone.functions.sentences import compact_sentences, sentence_spans
 from lodestone.operators.candidates import extract_candidates
 from lodestone.operators.evaluation import FIELDS, coverage, evaluate, field_accuracy, field_hits
+from lodestone.operators.paged import extract_candidates_of_pages
 from lodestone.operators.papers import extract_papers
 from lodestone.plans.corpus import REACTIONS, reactions, texts
 
@@ -77,6 +78,20 @@ QUERIES["candidates_k0"], ORACLES["candidates_k0"] = _candidates(0), _candidates
 QUERIES["candidates_k2"], ORACLES["candidates_k2"] = _candidates(2), _candidates_sql(2)
 
 
+def _paged(context: int):
+    """Candidates of papers, a page for each of their texts: windows go over the pages' edges."""
+    return lambda spark, d: extract_candidates_of_pages(reactions(spark, d).select(F.col("paper").alias("doc_id"), F.col("doc_id").alias("page_no"), "text"), context=context)
+
+
+def _paged_sql(context: int) -> str:
+    joined = f"(select paper as doc_id, string_agg(text, chr(10) order by doc_id, text) as text from ({REACTIONS}) r group by 1)"
+    return _candidates_sql(context).replace(f"corpus as ({REACTIONS})", f"corpus as {joined}", 1).replace("s as evidence_start, e as evidence_end", "cast(s as bigint) as evidence_start, cast(e as bigint) as evidence_end")
+
+
+for _k in (0, 2):
+    QUERIES[f"candidates_of_pages_k{_k}"], ORACLES[f"candidates_of_pages_k{_k}"] = _paged(_k), _paged_sql(_k)
+
+
 def sentence_spans_q(spark: SparkSession, d: str) -> DataFrame:
     docs = texts(spark, d, "documents").select("doc_id", F.posexplode(sentence_spans(F.col("text"))).alias("i", "s"))
     return docs.select("doc_id", (F.col("i") + 1).cast("long").alias("idx"), F.col("s.start").alias("s"), F.col("s.end").alias("e"), F.col("s.text").alias("sent"))
