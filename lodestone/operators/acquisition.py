@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from lodestone.functions import rules as R
 from lodestone.functions.markup import Attr, Selector, select
 from lodestone.functions.text import clean_text
+from lodestone.operators.shared import small_batches
 
 MIN_BYTES = 15_000
 #: What asks for a name and a password.
@@ -122,6 +123,7 @@ def pdf_link(page: Column, url: Column, links: tuple[Selector, ...] = PDF_LINKS)
 
 def page_class(pages: DataFrame, page: str = "html", url: str = "url", challenges=R.CHALLENGES, walls=R.PAYWALL, links: tuple[Selector, ...] = PDF_LINKS, logins: tuple[Selector, ...] = LOGINS) -> DataFrame:
     """pages without their markup, with challenge, login, paywall, pdf_link; tags are read once a page."""
+    small_batches(pages.sparkSession)
     t = F.col("_t")
     d = pages.withColumns({"_t": page_text(F.col(page)), "_read": read_page(F.col(page), F.col(url), links, logins)})
     return d.select(*[c for c in pages.columns if c != page], challenge(t, challenges).alias("challenge"), F.col("_read.login").alias("login"), paywall(t, walls).alias("paywall"), _chosen(F.col(url), F.col("_read.links")).alias("pdf_link"))
