@@ -27,7 +27,7 @@ _RECORDS = "select doc_id, array_to_string(list_slice(string_split(text, ' '), 1
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    title = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
+    title = F.array_join(F.slice(F.split("text", " ", 9), 1, 8), " ")
     kind = F.when(F.col("doc_id") % 3 == 0, "primary").when(F.col("doc_id") % 3 == 1, "unknown").otherwise("")
     return texts(spark, d, "documents").select("doc_id", title.alias("title"), F.col("text").alias("abstract"), kind.alias("record_type"))
 
