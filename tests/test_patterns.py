@@ -50,3 +50,37 @@ def test_a_pattern_is_looked_for_once(spark):
     d = spark.createDataFrame([("5 bar",)], "text string").select(F.when(F.col("text") != "", first_group(F.col("text"), r"(\d+)qqq")).alias("x"))
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("qqq") == 2  # the ASCII form and the Unicode form
+
+
+def test_evidence_around_the_first_result(spark):
+    """The surroundings of the first ee are those that a search by the pattern gives, also where its letters come again."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import rules as R
+    from lodestone.operators.papers import evidence_sentence
+
+    texts = ["x" * n + f"\t{e} {'y' * m} {e}\n z" for n in (0, 3, 100, 101, 250) for m in (0, 150, 400) for e in ("9% ee", "12.5 % EE", "²٣% ee", "1999% ee")] + ["no result", " 5% ee ", "\n\n 5% ee "]
+    got = [r.e for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", evidence_sentence(F.col("t"), R.IRON.metal).alias("e")).orderBy("i").collect()]
+    want = []
+    for t in texts:
+        m = re.search("(?i)" + R.EE, t)
+        want.append(t[max(m.start() - 100, 0) : m.end() + 200].replace("\n", " ").strip()[:600] if m else "")
+    assert got == want
+
+
+def test_rounding_without_text(spark):
+    """Nearest whole numbers of units say what the exact value says; near the middle of two results text decides."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lodestone.functions.regexes import rounded
+
+    rng = random.Random(5)
+    xs = [rng.uniform(-200, 200) for _ in range(500)] + [rng.randint(0, 9_999_999) / 100_000 for _ in range(500)] + [0.00005, 0.00015, 1.00005, 2.5, -0.00001, 0.0, 1e5, 123456789.00005, 1e17, None]
+    text = F.regexp_replace(F.format_number("x", 4), ",", "").cast("double")
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", "x", rounded(F.col("x"), 4).alias("y"), text.alias("z")).orderBy("i").collect()
+    assert [r.y for r in got] == [r.z for r in got]
+    assert [r.y for r in got[:500]] == [float(f"{r.x:.4f}") for r in got[:500]]
